@@ -7,21 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, sharding
+from . import common, linededup, mixing, packing, sharding
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(common.table(spark, sf_dir, "documents"))
 
 
+def op3_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(common.table(spark, sf_dir, "documents"))
+
+
 def op5_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = sharding.with_slots(placed.drop("text"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mix_sources, op5_shard_documents)
+    f.__name__: f for f in (op2_mix_sources, op3_pack_documents, op5_shard_documents, op9_dedup_lines)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_dedup_lines": linededup.line_cuts_sql()}
