@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, linededup, mixing, packing, sharding
+from . import common, langid, linededup, mixing, packing, sharding
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,12 +24,17 @@ def op5_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mix_sources, op3_pack_documents, op5_shard_documents, op9_dedup_lines)
+    f.__name__: f for f in (op2_mix_sources, op3_pack_documents, op5_shard_documents, op7_identify_language, op9_dedup_lines)
 }
 
 ORACLES: dict[str, str] = {"op9_dedup_lines": linededup.line_cuts_sql()}
