@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, linededup, mixing, packing, sharding
+from . import common, langid, linededup, mixing, packing, sharding, warc
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,12 +29,17 @@ def op7_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_archives(common.table(spark, sf_dir, "pages"), common.scratch_path(spark, "warc"))
+    return warc.read_records(warc.read_chunks(files, data=False)).drop("uri")
+
+
 def op9_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mix_sources, op3_pack_documents, op5_shard_documents, op7_identify_language, op9_dedup_lines)
+    f.__name__: f for f in (op2_mix_sources, op3_pack_documents, op5_shard_documents, op7_identify_language, op8_warc_round_trip, op9_dedup_lines)
 }
 
 ORACLES: dict[str, str] = {"op9_dedup_lines": linededup.line_cuts_sql()}
