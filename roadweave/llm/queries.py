@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, linededup, mixing, packing, sharding, warc
+from . import common, langid, linededup, mixing, packing, sharding, topk, vecdedup, warc
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,12 +18,21 @@ def op3_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"))
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op5_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = sharding.with_slots(placed.drop("text"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdedup.near_duplicates(common.table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op7_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -39,7 +48,7 @@ def op9_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mix_sources, op3_pack_documents, op5_shard_documents, op7_identify_language, op8_warc_round_trip, op9_dedup_lines)
+    f.__name__: f for f in (op2_mix_sources, op3_pack_documents, op4_top_k, op5_shard_documents, op6_near_vectors, op7_identify_language, op8_warc_round_trip, op9_dedup_lines)
 }
 
-ORACLES: dict[str, str] = {"op9_dedup_lines": linededup.line_cuts_sql()}
+ORACLES: dict[str, str] = {"op4_top_k": topk.top_k_sql(100, 10), "op6_near_vectors": vecdedup.near_duplicates_sql(0.98), "op9_dedup_lines": linededup.line_cuts_sql()}
