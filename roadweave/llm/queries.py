@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, linededup, mixing, packing, sharding, topk, vecdedup, warc
+from . import common, langid, linededup, minhash, mixing, packing, sharding, topk, vecdedup, warc
+
+
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +52,7 @@ def op9_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mix_sources, op3_pack_documents, op4_top_k, op5_shard_documents, op6_near_vectors, op7_identify_language, op8_warc_round_trip, op9_dedup_lines)
+    f.__name__: f for f in (op1_near_duplicates, op2_mix_sources, op3_pack_documents, op4_top_k, op5_shard_documents, op6_near_vectors, op7_identify_language, op8_warc_round_trip, op9_dedup_lines)
 }
 
-ORACLES: dict[str, str] = {"op4_top_k": topk.top_k_sql(100, 10), "op6_near_vectors": vecdedup.near_duplicates_sql(0.98), "op9_dedup_lines": linededup.line_cuts_sql()}
+ORACLES: dict[str, str] = {"op1_near_duplicates": minhash.near_duplicates_sql(75), "op4_top_k": topk.top_k_sql(100, 10), "op6_near_vectors": vecdedup.near_duplicates_sql(0.98), "op9_dedup_lines": linededup.line_cuts_sql()}
