@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, linededup, minhash, mixing, packing, sharding, topk, vecdedup, warc
+from . import common, ctw, langid, linededup, minhash, mixing, packing, sharding, topk, vecdedup, warc
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +51,12 @@ def op9_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op10_score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_duplicates, op2_mix_sources, op3_pack_documents, op4_top_k, op5_shard_documents, op6_near_vectors, op7_identify_language, op8_warc_round_trip, op9_dedup_lines)
+    f.__name__: f for f in (op1_near_duplicates, op2_mix_sources, op3_pack_documents, op4_top_k, op5_shard_documents, op6_near_vectors, op7_identify_language, op8_warc_round_trip, op9_dedup_lines, op10_score_documents)
 }
 
 ORACLES: dict[str, str] = {"op1_near_duplicates": minhash.near_duplicates_sql(75), "op4_top_k": topk.top_k_sql(100, 10), "op6_near_vectors": vecdedup.near_duplicates_sql(0.98), "op9_dedup_lines": linededup.line_cuts_sql()}
