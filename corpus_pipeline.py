@@ -3,17 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from roadweave.llm import common, mixing
+from roadweave.llm import common, langid, linededup, minhash, mixing, packing
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which some language is found; those without letters or without any n-gram of any language go."""
+    found = langid.identify(docs).where("lang_pred <> 'und' and score > 0")
+    return found.select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without repeated runs of lines, n_chars brought up to date; documents that lose all their lines go."""
+    edited = linededup.dedup_lines(docs).where("n_removed = 0 or text <> ''")
+    return edited.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return minhash.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each draw of a document, so that sources meet their target weights."""
     return mixing.mix_sources(docs).select(*docs.columns)
 
 
-STAGES = [("mixing sources to target weights", mix)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens in full sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", dedup_lines),
+    ("MinHash near-dedup", dedup_documents),
+    ("mixing sources to target weights", mix_sources),
+    ("packing", pack_sequences),
+]
 
-#: Hashing, sampling and packing are not expressible in SQL.
+#: Filters, mixing and token packing are not expressible in SQL.
 ORACLE_SQL = None
 
 

@@ -199,6 +199,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 64, least: int
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def one_of_each(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` whose document stays, one for each group of linked documents: the one of smallest doc_id.
+
+    Rows that repeat a doc_id count once.  Rows without doc_id, which the
+    groups cannot name, stay once for each text.
+    """
+    kept = near_duplicates(docs, **settings).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(common.stored(kept, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
+
+
 def near_duplicates_sql(percent: int) -> str:
     """The same over table documents in DuckDB SQL."""
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
