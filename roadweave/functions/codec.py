@@ -92,7 +92,7 @@ def leading_year(text: Column) -> Column:
 def year_record(text: Column, djma: Column, cam: Column, first: bool) -> Column:
     """The yearly record rebuilt with a completed count and truck share; its other parts are kept, ``30e h`` in slot 1 only."""
     count = F.coalesce(whole(djma).cast("string"), F.lit(""))
-    share = F.coalesce(F.format_number(half_even(cam, 1), "0.0"), F.lit(""))
+    share = F.when(cam.isNull(), "").otherwise(F.format_string("%.1f", half_even(cam, 1)))
     parts = [leading_year(text), F.lit(" DJMA:"), count, F.lit(" / DJME:"), component(text, "DJME"), F.lit(" / DJMH:"), component(text, "DJMH"), F.lit(" / %cam:"), share]
     return F.concat(*parts, *([F.lit(" / 30e h:"), component(text, "30e h")] if first else []))
 

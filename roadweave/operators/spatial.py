@@ -23,25 +23,51 @@ def _cells(lo: Column, hi: Column, size: float) -> Column:
 
 
 def _edge_rows(lines: DataFrame, id_: str, grow: float, size: float, key: str) -> DataFrame:
-    """A row for each edge and each cell its box, grown by ``grow``, meets."""
+    """A row for each edge and each cell its box, grown by ``grow``, meets; with the box and its first cell."""
     e = lines.select(F.col(id_).alias(key), F.posexplode(geo.edges(F.col("line"))).alias(f"{key}_no", "e"))
-    e = e.select(key, f"{key}_no", F.col("e.a").alias(f"{key}_a"), F.col("e.b").alias(f"{key}_b"))
-    a, b = F.col(f"{key}_a"), F.col(f"{key}_b")
-    e = e.withColumn("cx", _cells(F.least(a["x"], b["x"]) - grow, F.greatest(a["x"], b["x"]) + grow, size))
-    return e.withColumn("cy", _cells(F.least(a["y"], b["y"]) - grow, F.greatest(a["y"], b["y"]) + grow, size))
+    a, b = F.col("e.a"), F.col("e.b")
+    ends = {f"{key}_{c}{n}": f(a[c], b[c]) + s for c in "xy" for n, f, s in (("0", F.least, -grow), ("1", F.greatest, grow))}
+    e = e.select(key, f"{key}_no", a.alias(f"{key}_a"), b.alias(f"{key}_b"), *[v.alias(k) for k, v in ends.items()])
+    for c in "xy":
+        e = e.withColumn(f"{key}_c{c}", F.floor(F.col(f"{key}_{c}0") / size).cast("long")).withColumn(f"c{c}", _cells(F.col(f"{key}_{c}0"), F.col(f"{key}_{c}1"), size))
+    return e
 
 
 def near_edges(left: DataFrame, right: DataFrame, radius: float, left_id: str = "id", right_id: str = "id", cell: float | None = None) -> DataFrame:
-    """Pairs of edges (l, l_no, l_a, l_b, r, r_no, r_a, r_b) that share a cell; all within ``radius`` are among them, some repeated."""
+    """Pairs of edges (l, l_no, l_a, l_b, r, r_no, r_a, r_b) whose boxes are within ``radius``, each pair once.
+
+    Two edges may share many cells; they meet in the first cell both have.
+    """
     size = float(cell or max(radius, 1e-9))
-    return _edge_rows(left, left_id, radius, size, "l").join(_edge_rows(right, right_id, 0.0, size, "r"), ["cx", "cy"])
+    both = _edge_rows(left, left_id, radius, size, "l").join(_edge_rows(right, right_id, 0.0, size, "r"), ["cx", "cy"])
+    for c in "xy":
+        both = both.where((F.col(f"c{c}") == F.greatest(f"l_c{c}", f"r_c{c}")) & (F.col(f"l_{c}0") <= F.col(f"r_{c}1")) & (F.col(f"r_{c}0") <= F.col(f"l_{c}1")))
+    return both.select("l", "l_no", "l_a", "l_b", "r", "r_no", "r_a", "r_b")
+
+
+def _with_distance(near: DataFrame) -> DataFrame:
+    """``near`` plus d, the distance of its edges, as :func:`geometry.edge_edge`; step by step, so that shared terms stay columns and plans small."""
+    ends = {"p": "l_a", "q": "l_b", "u": "r_a", "v": "r_b"}
+    out = near.select("l", "r", *[F.col(c)[axis].alias(k + axis) for k, c in ends.items() for axis in "xy"])
+    out = out.withColumns({f"{k}{axis}": F.col(b + axis) - F.col(a + axis) for k, a, b in (("e", "p", "q"), ("f", "u", "v")) for axis in "xy"})
+    out = out.withColumns({"ee": F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey"), "ff": F.col("fx") * F.col("fx") + F.col("fy") * F.col("fy")})
+    turns, places = {}, {}
+    for point, at, way, square in (("p", "u", "f", "ff"), ("q", "u", "f", "ff"), ("u", "p", "e", "ee"), ("v", "p", "e", "ee")):
+        dx, dy = F.col(point + "x") - F.col(at + "x"), F.col(point + "y") - F.col(at + "y")
+        turns[f"turn_{point}"] = F.signum(F.col(way + "x") * dy - F.col(way + "y") * dx)
+        places[f"t_{point}"] = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.col(square) > 0, (dx * F.col(way + "x") + dy * F.col(way + "y")) / F.col(square)).otherwise(0.0)))
+    out = out.withColumns(turns | places)
+    gaps = {f"{axis}_{point}": F.col(at + axis) + F.col(f"t_{point}") * F.col(way + axis) - F.col(point + axis) for point, at, way in (("p", "u", "f"), ("q", "u", "f"), ("u", "p", "e"), ("v", "p", "e")) for axis in "xy"}
+    out = out.withColumns(gaps)
+    least = F.least(*[F.col(f"x_{k}") * F.col(f"x_{k}") + F.col(f"y_{k}") * F.col(f"y_{k}") for k in ends])
+    cross = (F.col("turn_p") * F.col("turn_q") < 0) & (F.col("turn_u") * F.col("turn_v") < 0)
+    return out.select("l", "r", F.when(cross, 0.0).otherwise(F.sqrt(least)).alias("d"))
 
 
 def pairs_within(left: DataFrame, right: DataFrame, radius: float, left_id: str = "id", right_id: str = "id", cell: float | None = None) -> DataFrame:
     """(l, r, distance) of all pairs of lines at most ``radius`` apart."""
-    near = near_edges(left, right, radius, left_id, right_id, cell)
-    d = geo.edge_edge(F.col("l_a"), F.col("l_b"), F.col("r_a"), F.col("r_b"))
-    return near.withColumn("d", d).where(F.col("d") <= radius).groupBy("l", "r").agg(F.min("d").alias("distance"))
+    near = _with_distance(near_edges(left, right, radius, left_id, right_id, cell))
+    return near.groupBy("l", "r").agg(F.min("d").alias("distance")).where(F.col("distance") <= radius)
 
 
 def nearest_lines(targets: DataFrame, sources: DataFrame, radius: float, target_id: str = "id", source_id: str = "id", rounds: int = 40) -> DataFrame:
