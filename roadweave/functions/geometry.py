@@ -12,6 +12,11 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it; keeps expression trees small."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def span(p: Column, q: Column) -> Column:
     """Distance of two points."""
     return F.sqrt((q["x"] - p["x"]) * (q["x"] - p["x"]) + (q["y"] - p["y"]) * (q["y"] - p["y"]))
@@ -49,18 +54,19 @@ def line_angle(line: Column) -> Column:
 
 def angle_between(a: Column, b: Column) -> Column:
     """Folded difference of two directions, 0 to 90."""
-    d = F.pmod(F.abs(a - b), F.lit(180.0))
-    return F.least(d, 180.0 - d)
+    return let(F.pmod(F.abs(a - b), F.lit(180.0)), lambda d: F.least(d, 180.0 - d))
 
 
 def point_edge(p: Column, a: Column, b: Column) -> Column:
     """Distance of a point from an edge."""
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-    square = dx * dx + dy * dy
-    t = F.when(square > 0, ((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / square).otherwise(0.0)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    x, y = a["x"] + t * dx - p["x"], a["y"] + t * dy - p["y"]
-    return F.sqrt(x * x + y * y)
+    place = let(dx * dx + dy * dy, lambda square: F.when(square > 0, ((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / square).otherwise(0.0))
+
+    def gap(t: Column) -> Column:
+        x, y = a["x"] + t * dx - p["x"], a["y"] + t * dy - p["y"]
+        return F.sqrt(x * x + y * y)
+
+    return let(F.greatest(F.lit(0.0), F.least(F.lit(1.0), place)), gap)
 
 
 def _turn(a: Column, b: Column, c: Column) -> Column:
@@ -96,33 +102,33 @@ def near_interval(p: Column, q: Column, a: Column, b: Column, r: float) -> Colum
     The set within ``r`` of an edge is convex: two discs and a slab.  Each
     gives an interval on the line of ``p q``; theirs spans the whole.
     """
+    interval = lambda lo, hi: F.struct(lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
     dx, dy = q["x"] - p["x"], q["y"] - p["y"]
-    square = dx * dx + dy * dy
+    ux, uy = b["x"] - a["x"], b["y"] - a["y"]
+    wx, wy = p["x"] - a["x"], p["y"] - a["y"]
 
-    def disc(c: Column) -> tuple[Column, Column]:
+    def disc(c: Column) -> Column:
         ex, ey = p["x"] - c["x"], p["y"] - c["y"]
-        half, rest = ex * dx + ey * dy, ex * ex + ey * ey - r * r
-        root = half * half - square * rest
-        s = F.when(root >= 0, F.sqrt(F.greatest(root, F.lit(0.0))))
-        return F.try_divide(-half - s, square), F.try_divide(-half + s, square)
+        parts = F.struct((ex * dx + ey * dy).alias("half"), (dx * dx + dy * dy).alias("square"), (ex * ex + ey * ey - r * r).alias("rest"))
 
-    ux, uy = b["x"] - a["x"], b["y"] - a["y"]
-    long_ = F.sqrt(ux * ux + uy * uy)
+        def cut(v: Column) -> Column:
+            root = let(v["half"] * v["half"] - v["square"] * v["rest"], lambda x: F.when(x >= 0, F.sqrt(x)))
+            return let(root, lambda s: interval(F.try_divide(-v["half"] - s, v["square"]), F.try_divide(-v["half"] + s, v["square"])))
 
-    def between(value: Column, slope: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
-        t, u = F.try_divide(lo - value, slope), F.try_divide(hi - value, slope)
-        fits = value.between(lo, hi)
-        flat = slope == 0
-        return F.when(flat, F.when(fits, F.lit(float("-inf")))).otherwise(F.least(t, u)), F.when(flat, F.when(fits, F.lit(float("inf")))).otherwise(F.greatest(t, u))
+        return let(parts, cut)
 
-    wx, wy = p["x"] - a["x"], p["y"] - a["y"]
-    a0, a1 = between(wx * ux + wy * uy, dx * ux + dy * uy, F.lit(0.0), long_ * long_)
-    b0, b1 = between(ux * wy - uy * wx, ux * dy - uy * dx, -r * long_, r * long_)
-    s0, s1 = F.greatest(a0, b0), F.least(a1, b1)
-    slab = a0.isNotNull() & b0.isNotNull() & (s0 <= s1) & (long_ > 0)
-    d0, d1 = disc(a)
-    e0, e1 = disc(b)
-    low = F.least(d0, e0, F.when(slab, s0))
-    high = F.greatest(d1, e1, F.when(slab, s1))
-    t0, t1 = F.greatest(low, F.lit(0.0)), F.least(high, F.lit(1.0))
-    return F.when(low.isNotNull() & (t0 < t1) & (square > 0), F.struct(t0.alias("t0"), t1.alias("t1")))
+    def between(value: Column, slope: Column, lo: Column, hi: Column) -> Column:
+        inside = F.when(value.between(lo, hi), interval(F.lit(float("-inf")), F.lit(float("inf"))))
+        return F.when(slope == 0, inside).otherwise(let(F.struct(((lo - value) / F.nullif(slope, F.lit(0.0))).alias("t"), ((hi - value) / F.nullif(slope, F.lit(0.0))).alias("u")), lambda v: interval(F.least(v["t"], v["u"]), F.greatest(v["t"], v["u"]))))
+
+    terms = F.struct((wx * ux + wy * uy).alias("along"), (dx * ux + dy * uy).alias("along_by"), (ux * wy - uy * wx).alias("across"), (ux * dy - uy * dx).alias("across_by"), (ux * ux + uy * uy).alias("square"))
+
+    def slab(v: Column) -> Column:
+        both = F.struct(between(v["along"], v["along_by"], F.lit(0.0), v["square"]).alias("a"), between(v["across"], v["across_by"], -r * F.sqrt(v["square"]), r * F.sqrt(v["square"])).alias("b"))
+        meet = lambda w: interval(F.when(w["a"].isNotNull() & w["b"].isNotNull(), F.greatest(w["a"]["lo"], w["b"]["lo"])), F.when(w["a"].isNotNull() & w["b"].isNotNull(), F.least(w["a"]["hi"], w["b"]["hi"])))
+        return F.when(v["square"] > 0, let(let(both, meet), lambda w: F.when(w["lo"] <= w["hi"], w)))
+
+    three = F.struct(disc(a).alias("a"), disc(b).alias("b"), let(terms, slab).alias("s"))
+    whole = let(three, lambda v: interval(F.least(v["a"]["lo"], v["b"]["lo"], v["s"]["lo"]), F.greatest(v["a"]["hi"], v["b"]["hi"], v["s"]["hi"])))
+    kept = let(whole, lambda v: F.struct(F.greatest(v["lo"], F.lit(0.0)).alias("t0"), F.when(v["lo"].isNotNull(), F.least(v["hi"], F.lit(1.0))).alias("t1")))
+    return let(kept, lambda v: F.when(v["t0"] < v["t1"], v))

@@ -130,13 +130,12 @@ def local_angle(line: Column, p: Column) -> Column:
 
 def aligned(segment: Column, trace: Column, most: float = ANGLE_DEG) -> Column:
     """Whether a segment runs along the trace where the trace is nearest to its centroid."""
-    return geo.angle_between(geo.line_angle(segment), local_angle(trace, geo.centroid(segment))) <= most
+    return geo.let(geo.centroid(segment), lambda c: geo.angle_between(geo.line_angle(segment), local_angle(trace, c))) <= most
 
 
 def off_nodes(segment: Column, a: Column, b: Column, reach: float = NODES_M) -> Column:
     """Whether a segment's centroid keeps off both ends; always, if these are less than twice the reach apart."""
-    c = geo.centroid(segment)
-    return (geo.span(a, b) < 2 * reach) | ~((geo.span(c, a) < reach) | (geo.span(c, b) < reach))
+    return (geo.span(a, b) < 2 * reach) | geo.let(geo.centroid(segment), lambda c: ~((geo.span(c, a) < reach) | (geo.span(c, b) < reach)))
 
 
 def matched_segments(traces: DataFrame, segments: DataFrame, distance: float = DISTANCE_M, angle: float = ANGLE_DEG, reach: float = NODES_M) -> DataFrame:
