@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -46,7 +47,39 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(h)
 
 
-def _sketches(batches, k: int) -> Iterator[pa.RecordBatch]:
+@lru_cache(maxsize=None)
+def _quantile(union: int, k: int, percent: int, miss: float) -> int:
+    """The most ``m`` such that the ``k`` smallest hashes of a union of that size hold fewer than ``m`` common ones with a chance of ``miss`` at most.
+
+    The similarity is ``percent``; the draw is without replacement, so small unions need more.
+    """
+    common_ = -(-union * percent // 100)
+    if union <= k:
+        return common_
+    logs = lambda n, x: lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1)
+    all_, below = logs(union, k), 0.0
+    for m in range(max(0, k - union + common_), k + 1):
+        below += np.exp(logs(common_, m) + logs(union - common_, k - m) - all_)
+        if below > miss:
+            return m
+    return k
+
+
+def _rounded(union: int, k: int) -> int:
+    """Large unions on a coarse grid, upwards, so that few quantiles are computed; the quantile falls slowly with the size."""
+    step = max(1, union // (4 * k))
+    return -(-union // step) * step
+
+
+@lru_cache(maxsize=1 << 16)
+def least_shared(size: int, k: int, percent: int, miss: float) -> int:
+    """Hashes that the sketch of a set of ``size`` shares with that of any set linked with it, but for a chance of ``miss``."""
+    most = size * 100 // percent
+    tries = {size, most, *(size + (most - size) * i // 8 for i in range(1, 8))}
+    return min(-(-size * percent // 100), *(_quantile(_rounded(u, k), k, percent, miss) for u in tries))
+
+
+def _sketches(batches, k: int, percent: int, miss: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs = batch.column("doc_id")
         for first, texts in common.slices(batch, "text"):
@@ -55,7 +88,7 @@ def _sketches(batches, k: int) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum([0, *map(len, low)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*low, np.empty(0, np.uint64)]).view(np.int64)))
             prints = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([docs.slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), prints, lists], ["doc_id", "n_shingles", "print", "sketch"])
+            yield pa.RecordBatch.from_arrays([docs.slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([least_shared(len(s), k, percent, miss) for s in sets], pa.int32()), prints, lists], ["doc_id", "n_shingles", "least", "print", "sketch"])
 
 
 def _full_sets(batches) -> Iterator[pa.RecordBatch]:
@@ -83,12 +116,14 @@ def overlap(a: np.ndarray, b: np.ndarray, k: int) -> tuple[int, int]:
     return int(np.searchsorted(shared, union[k - 1], side="right")), k
 
 
-def _likely(batches, k: int, least: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _likely(batches, k: int, percent: int, miss: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
-        for x, y in zip(_rows(batch.column("sa")), _rows(batch.column("sb"))):
+        sizes = zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist())
+        for x, y, (m, n) in zip(_rows(batch.column("sa")), _rows(batch.column("sb")), sizes):
             shared, size = overlap(x, y, k)
-            keep.append(shared >= least if size == k else 100 * shared >= percent * size)
+            most = (m + n) * 100 // (100 + percent)  # a linked pair's union is not larger
+            keep.append(shared >= min(_quantile(_rounded(u, k), k, percent, miss) for u in (max(m, n), most)) if size == k else 100 * shared >= percent * size)
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -101,20 +136,16 @@ def _true(batches, percent: int) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def least_shared(size: Column, k: int, least: int, percent: int) -> Column:
-    """Hashes that the sketch of a set of ``size`` shares with that of any set it is linked with."""
-    return F.when(size * 100 <= k * percent, F.ceil(size * percent / 100)).otherwise(F.lit(least)).cast("int")
-
-
-def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, least: int, percent: int, name: str) -> DataFrame:
-    side = lambda t, col, x: t.select(F.col("id").alias(x), F.col(col).alias(("s" if col == "sketch" else "f") + x))
-    near = pairs.join(side(sketches, "sketch", "a"), "a").join(side(sketches, "sketch", "b"), "b")
-    near = common.stored(near.mapInArrow(partial(_likely, k=k, least=least, percent=percent), "a long, b long"), f"{name}-likely")
-    full = near.join(side(sets, "full", "a"), "a").join(side(sets, "full", "b"), "b")
-    return common.stored(full.mapInArrow(partial(_true, percent=percent), "a long, b long").distinct(), f"{name}-links")
+def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, percent: int, miss: float, name: str) -> DataFrame:
+    side = lambda t, col, x: t.select(*[F.col(c).alias(n + x) for c, n in {"id": "", **col}.items()])
+    sketch, full = {"sketch": "s", "n_shingles": "n"}, {"full": "f"}
+    near = pairs.join(side(sketches, sketch, "a"), "a").join(side(sketches, sketch, "b"), "b")
+    near = common.stored(near.mapInArrow(partial(_likely, k=k, percent=percent, miss=miss), "a long, b long"), f"{name}-likely")
+    near = near.join(side(sets, full, "a"), "a").join(side(sets, full, "b"), "b")
+    return common.stored(near.mapInArrow(partial(_true, percent=percent), "a long, b long").distinct(), f"{name}-links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 64, least: int = 28, residual: int = 4, star_rounds: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 128, miss: float = 1e-7, residual: int = 4, star_rounds: int = 6) -> DataFrame:
     """A row for each document: doc_id LONG, n_shingles LONG, component_id LONG, kept BOOLEAN.
 
     Documents link when their sets of five-word shingles have a Jaccard
@@ -123,18 +154,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 64, least: int
 
     * Each set is sketched by its ``k`` smallest hashes.  Equal sets (by
       128-bit fingerprint of the whole set) are one node from here on.
-    * Linked sets share ``least`` hashes of their sketches: the union's sketch
-      holds binomially many common hashes, 48 of 64 on average at 0.75, under
-      28 with a chance below one in ten million.  Sketches that are
-      the whole set need no chance.  So if a sketch's hashes are ordered from rare to
+    * Linked sets share so many hashes of their sketches: of the ``k`` in
+      the union's sketch, those common follow a hypergeometric law, 96 of 128
+      on average at 0.75, and more than ``least_shared`` of the set's size but for
+      a chance of ``miss``; sketches that hold the whole union need no chance.
+      So if a sketch's hashes are ordered from rare to
       frequent, all but the last ``least - 1`` suffice as inverted lists: common
       passages, being frequent, come last and lead few documents together.
       Hashes that occur once are dropped beforehand.
     * In each list every document is paired with one leader; what links joins
       a component.  While the pairs of different components left in the lists
-      exceed ``residual`` times the postings, other leaders are tried
-      (``star_rounds`` at most); then all those left are compared, so
-      no list is cut, and only pairs known to be connected are spared.
+      exceed ``residual`` times the postings and the last leaders halved
+      them, other leaders are tried (``star_rounds`` at most); then all
+      those left are compared, so no list is cut, and only pairs known to be
+      connected are spared.
     * Pairs pass the estimate from the union sketch, then the exact check on
       the full sets of hashes.
 
@@ -144,28 +177,29 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 64, least: int
     node.  Other columns are not read.  An empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    sk = common.stored(texts.mapInArrow(partial(_sketches, k=k), "doc_id long, n_shingles long, print binary, sketch array<long>"), "sketches")
+    sk = common.stored(texts.mapInArrow(partial(_sketches, k=k, percent=percent, miss=miss), "doc_id long, n_shingles long, least int, print binary, sketch array<long>"), "sketches")
     some = sk.where("n_shingles > 0")
     copies = common.stored(some.groupBy("print").agg(F.count("*").alias("n"), F.min("doc_id").alias("id")).where("n > 1").select("print", "id"), "copies")
-    nodes = some.join(copies, "print", "left").where("doc_id is not null and (id is null or doc_id = id)").select(F.col("doc_id").alias("id"), "n_shingles", "sketch")
+    nodes = some.join(copies, "print", "left").where("doc_id is not null and (id is null or doc_id = id)").select(F.col("doc_id").alias("id"), "n_shingles", "least", "sketch")
 
-    posted = nodes.select("id", "n_shingles", F.explode("sketch").alias("value"))
+    posted = nodes.select("id", F.explode("sketch").alias("value"))
     shared = posted.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
-    kept = posted.join(shared, "value").groupBy("id", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("values"))
-    room = F.size("values") - least_shared(F.col("n_shingles"), k, least, percent) + 1
-    lists = kept.where(room > 0).select("id", "n_shingles", F.explode(F.slice("values", F.lit(1), room)).alias("v")).select("id", "n_shingles", F.col("v.value").alias("value"))
+    kept = posted.join(shared, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("values"))
+    room = F.size("values") - F.col("least") + 1
+    lists = kept.join(nodes.select("id", "n_shingles", "least"), "id").where(room > 0).select("id", "n_shingles", F.explode(F.slice("values", F.lit(1), room)).alias("v"))
+    lists = lists.select("id", "n_shingles", F.col("v.value").alias("value"))
     lists = common.stored(lists, "lists")
     used = lists.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
     lists = common.stored(lists.join(used, "value"), "lists")
 
     taking = lists.select("id").distinct()
-    sketches = common.stored(nodes.join(taking, "id", "left_semi").select("id", "sketch"), "taking-sketches")
+    sketches = common.stored(nodes.join(taking, "id", "left_semi").select("id", "n_shingles", "sketch"), "taking-sketches")
     sets = texts.withColumnRenamed("doc_id", "id").join(taking, "id", "left_semi").mapInArrow(_full_sets, "id long, full binary")
     sets = common.stored(sets, "taking-sets")
 
-    check = partial(_verified, sketches=sketches, sets=sets, k=k, least=least, percent=percent)
+    check = partial(_verified, sketches=sketches, sets=sets, k=k, percent=percent, miss=miss)
     fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    n_postings, links, parts, spread = lists.count(), None, None, lists.withColumn("part", F.col("id"))
+    n_postings, links, parts, before, spread = lists.count(), None, None, float("inf"), lists.withColumn("part", F.col("id"))
     for turn in range(star_rounds + 1):
         by_part = spread.groupBy("value", "part").agg(F.count("*").cast("double").alias("n"))
         open_ = by_part.groupBy("value").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same")).where("all * all > same")
@@ -174,7 +208,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 64, least: int
         if not left:
             break
         spread = common.stored(spread.join(open_.select("value"), "value"), f"open-lists-{turn}")
-        last = turn == star_rounds or left <= residual * n_postings
+        last = turn == star_rounds or left <= residual * n_postings or 2 * left > before
+        before = left
         if last:
             x, y = spread, spread.select("value", F.col("id").alias("b"), F.col("n_shingles").alias("m"), F.col("part").alias("part_b"))
             pairs = x.join(y, "value").where((F.col("part") < F.col("part_b")) & fits("n_shingles", "m")).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
