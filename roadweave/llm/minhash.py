@@ -9,12 +9,13 @@ from math import lgamma
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 WORDS = 5
+BITS = 512
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -87,8 +88,10 @@ def _sketches(batches, k: int, percent: int, miss: float) -> Iterator[pa.RecordB
             low = [s[:k] for s in sets]
             ends = np.cumsum([0, *map(len, low)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*low, np.empty(0, np.uint64)]).view(np.int64)))
+            bits = np.array([np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.intp), minlength=BITS) & 1).view(np.int64) for s in low], np.int64).reshape(-1)
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bits) + 1, BITS // 64, dtype=np.int32)), pa.array(bits))
             prints = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([docs.slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([least_shared(len(s), k, percent, miss) for s in sets], pa.int32()), prints, lists], ["doc_id", "n_shingles", "least", "print", "sketch"])
+            yield pa.RecordBatch.from_arrays([docs.slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([least_shared(len(s), k, percent, miss) for s in sets], pa.int32()), prints, lists, bits], ["doc_id", "n_shingles", "least", "print", "sketch", "bits"])
 
 
 def _full_sets(batches) -> Iterator[pa.RecordBatch]:
@@ -136,6 +139,19 @@ def _true(batches, percent: int) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _fits(k: int, percent: int) -> Column:
+    """Whether two postings, the second one in column ``o``, may be of linked sets.
+
+    The parities of the hashes' places differ in no more bits than the
+    sketches differ in hashes, so this refuses no pair that shares enough.
+    """
+    n, m = F.col("n_shingles"), F.col("o.n_shingles")
+    least = F.when((n + m) * 100 <= k * (100 + percent), F.ceil((n + m) * percent / (100 + percent))).otherwise(F.greatest("least", "o.least"))
+    differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("o.bits")[i])) for i in range(BITS // 64)), F.lit(0))
+    sizes = (n * 100 >= m * percent) & (m * 100 >= n * percent)
+    return sizes & (differ <= F.least(n, F.lit(k)) + F.least(m, F.lit(k)) - 2 * least)
+
+
 def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, percent: int, miss: float, name: str) -> DataFrame:
     side = lambda t, col, x: t.select(*[F.col(c).alias(n + x) for c, n in {"id": "", **col}.items()])
     sketch, full = {"sketch": "s", "n_shingles": "n"}, {"full": "f"}
@@ -145,7 +161,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, pe
     return common.stored(near.mapInArrow(partial(_true, percent=percent), "a long, b long").distinct(), f"{name}-links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 128, miss: float = 1e-7, residual: int = 4, star_rounds: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 256, miss: float = 1e-7, residual: int = 4, star_rounds: int = 6) -> DataFrame:
     """A row for each document: doc_id LONG, n_shingles LONG, component_id LONG, kept BOOLEAN.
 
     Documents link when their sets of five-word shingles have a Jaccard
@@ -155,7 +171,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 128, miss: floa
     * Each set is sketched by its ``k`` smallest hashes.  Equal sets (by
       128-bit fingerprint of the whole set) are one node from here on.
     * Linked sets share so many hashes of their sketches: of the ``k`` in
-      the union's sketch, those common follow a hypergeometric law, 96 of 128
+      the union's sketch, those common follow a hypergeometric law, 192 of 256
       on average at 0.75, and more than ``least_shared`` of the set's size but for
       a chance of ``miss``; sketches that hold the whole union need no chance.
       So if a sketch's hashes are ordered from rare to
@@ -164,10 +180,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 128, miss: floa
       Hashes that occur once are dropped beforehand.
     * In each list every document is paired with one leader; what links joins
       a component.  While the pairs of different components left in the lists
-      exceed ``residual`` times the postings and the last leaders halved
+      exceed ``residual`` times the postings and the last leaders spared a tenth of
       them, other leaders are tried (``star_rounds`` at most); then all
       those left are compared, so no list is cut, and only pairs known to be
       connected are spared.
+    * Pairs whose sketches differ too much by a bitmap of 512 parities, which
+      postings carry, do not leave the lists; it refuses none that share enough.
     * Pairs pass the estimate from the union sketch, then the exact check on
       the full sets of hashes.
 
@@ -177,17 +195,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 128, miss: floa
     node.  Other columns are not read.  An empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    sk = common.stored(texts.mapInArrow(partial(_sketches, k=k, percent=percent, miss=miss), "doc_id long, n_shingles long, least int, print binary, sketch array<long>"), "sketches")
+    sk = common.stored(texts.mapInArrow(partial(_sketches, k=k, percent=percent, miss=miss), "doc_id long, n_shingles long, least int, print binary, sketch array<long>, bits array<long>"), "sketches")
     some = sk.where("n_shingles > 0")
     copies = common.stored(some.groupBy("print").agg(F.count("*").alias("n"), F.min("doc_id").alias("id")).where("n > 1").select("print", "id"), "copies")
-    nodes = some.join(copies, "print", "left").where("doc_id is not null and (id is null or doc_id = id)").select(F.col("doc_id").alias("id"), "n_shingles", "least", "sketch")
+    nodes = some.join(copies, "print", "left").where("doc_id is not null and (id is null or doc_id = id)").select(F.col("doc_id").alias("id"), "n_shingles", "least", "sketch", "bits")
 
+    about = ["n_shingles", "least", "bits"]
     posted = nodes.select("id", F.explode("sketch").alias("value"))
     shared = posted.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
     kept = posted.join(shared, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("values"))
     room = F.size("values") - F.col("least") + 1
-    lists = kept.join(nodes.select("id", "n_shingles", "least"), "id").where(room > 0).select("id", "n_shingles", F.explode(F.slice("values", F.lit(1), room)).alias("v"))
-    lists = lists.select("id", "n_shingles", F.col("v.value").alias("value"))
+    lists = kept.join(nodes.select("id", *about), "id").where(room > 0).select("id", *about, F.explode(F.slice("values", F.lit(1), room)).alias("v"))
+    lists = lists.select("id", *about, F.col("v.value").alias("value"))
     lists = common.stored(lists, "lists")
     used = lists.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
     lists = common.stored(lists.join(used, "value"), "lists")
@@ -198,7 +217,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 128, miss: floa
     sets = common.stored(sets, "taking-sets")
 
     check = partial(_verified, sketches=sketches, sets=sets, k=k, percent=percent, miss=miss)
-    fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
+    fits, pair = _fits(k, percent), [F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")]
     n_postings, links, parts, before, spread = lists.count(), None, None, float("inf"), lists.withColumn("part", F.col("id"))
     for turn in range(star_rounds + 1):
         by_part = spread.groupBy("value", "part").agg(F.count("*").cast("double").alias("n"))
@@ -208,22 +227,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 128, miss: floa
         if not left:
             break
         spread = common.stored(spread.join(open_.select("value"), "value"), f"open-lists-{turn}")
-        last = turn == star_rounds or left <= residual * n_postings or 2 * left > before
+        last = turn == star_rounds or left <= residual * n_postings or 10 * left > 9 * before
         before = left
         if last:
-            x, y = spread, spread.select("value", F.col("id").alias("b"), F.col("n_shingles").alias("m"), F.col("part").alias("part_b"))
-            pairs = x.join(y, "value").where((F.col("part") < F.col("part_b")) & fits("n_shingles", "m")).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
+            others = spread.select("value", F.struct("id", *about, "part").alias("o"))
+            pairs = spread.join(others, "value").where((F.col("part") < F.col("o.part")) & fits).select(*pair)
         else:
             at = F.xxhash64(F.lit(turn), "part", "id")
-            head = spread.groupBy("value").agg(F.min(F.struct(at.alias("h"), "id", "n_shingles", "part")).alias("head"))
-            pairs = spread.join(head, "value").where((F.col("part") != F.col("head.part"))).select("id", "n_shingles", F.col("head.id").alias("b"), F.col("head.n_shingles").alias("m"))
-            pairs = pairs.where(fits("n_shingles", "m")).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
+            head = spread.groupBy("value").agg(F.min_by(F.struct("id", *about, "part"), F.struct(at, "id")).alias("o"))
+            pairs = spread.join(head, "value").where((F.col("part") != F.col("o.part")) & fits).select(*pair)
         found = check(pairs.where("a <> b").distinct(), name=f"round-{turn}")
         links = found if links is None else links.union(found)
         parts = common.components(links, f"parts-{turn}")
         if last:
             break
-        spread = lists.join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", "n_shingles", "value", F.coalesce("component", "id").alias("part"))
+        spread = lists.join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", *about, "value", F.coalesce("component", "id").alias("part"))
 
     out = sk.select("doc_id", "n_shingles", "print").join(copies, "print", "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.coalesce("id", "doc_id")))
     if parts is None:
