@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WORDS = 5
-BITS = 512
+BITS = 256
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -161,7 +161,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, pe
     return common.stored(near.mapInArrow(partial(_true, percent=percent), "a long, b long").distinct(), f"{name}-links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 256, miss: float = 1e-7, residual: int = 4, star_rounds: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 128, miss: float = 1e-7, residual: int = 4, star_rounds: int = 6) -> DataFrame:
     """A row for each document: doc_id LONG, n_shingles LONG, component_id LONG, kept BOOLEAN.
 
     Documents link when their sets of five-word shingles have a Jaccard
@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 256, miss: floa
     * Each set is sketched by its ``k`` smallest hashes.  Equal sets (by
       128-bit fingerprint of the whole set) are one node from here on.
     * Linked sets share so many hashes of their sketches: of the ``k`` in
-      the union's sketch, those common follow a hypergeometric law, 192 of 256
+      the union's sketch, those common follow a hypergeometric law, 96 of 128
       on average at 0.75, and more than ``least_shared`` of the set's size but for
       a chance of ``miss``; sketches that hold the whole union need no chance.
       So if a sketch's hashes are ordered from rare to
@@ -180,11 +180,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 256, miss: floa
       Hashes that occur once are dropped beforehand.
     * In each list every document is paired with one leader; what links joins
       a component.  While the pairs of different components left in the lists
-      exceed ``residual`` times the postings and the last leaders spared a tenth of
+      exceed ``residual`` times the postings and the last leaders halved
       them, other leaders are tried (``star_rounds`` at most); then all
       those left are compared, so no list is cut, and only pairs known to be
       connected are spared.
-    * Pairs whose sketches differ too much by a bitmap of 512 parities, which
+    * Pairs whose sketches differ too much by a bitmap of 256 parities, which
       postings carry, do not leave the lists; it refuses none that share enough.
     * Pairs pass the estimate from the union sketch, then the exact check on
       the full sets of hashes.
@@ -205,11 +205,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 256, miss: floa
     shared = posted.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
     kept = posted.join(shared, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("values"))
     room = F.size("values") - F.col("least") + 1
-    lists = kept.join(nodes.select("id", *about), "id").where(room > 0).select("id", *about, F.explode(F.slice("values", F.lit(1), room)).alias("v"))
-    lists = lists.select("id", *about, F.col("v.value").alias("value"))
+    lists = kept.join(nodes.select("id", "least"), "id").where(room > 0).select("id", F.explode(F.slice("values", F.lit(1), room)).alias("v"))
+    lists = lists.select("id", F.col("v.value").alias("value"))
     lists = common.stored(lists, "lists")
     used = lists.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
-    lists = common.stored(lists.join(used, "value"), "lists")
+    lists = common.stored(lists.join(used, "value").join(nodes.select("id", *about), "id"), "lists")
 
     taking = lists.select("id").distinct()
     sketches = common.stored(nodes.join(taking, "id", "left_semi").select("id", "n_shingles", "sketch"), "taking-sketches")
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 256, miss: floa
         if not left:
             break
         spread = common.stored(spread.join(open_.select("value"), "value"), f"open-lists-{turn}")
-        last = turn == star_rounds or left <= residual * n_postings or 10 * left > 9 * before
+        last = turn == star_rounds or left <= residual * n_postings or 2 * left > before
         before = left
         if last:
             others = spread.select("value", F.struct("id", *about, "part").alias("o"))
