@@ -16,6 +16,8 @@ from . import common
 
 #: Bytes of context of the deepest nodes.  A gram packs them with the byte that follows in 8 * (DEPTH + 1) bits.
 DEPTH = 5
+#: Bytes of context below which one task builds the subtree, and about how many rows of subtrees a task holds at once.
+HEAD, CHUNK = 3, 200_000
 SLICE = 4 << 20
 OTHER = 256
 _LN10 = math.log(10)
@@ -100,13 +102,23 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
+_HALVES, _WHOLES = log_gamma(np.arange(8192) + 0.5), log_gamma(np.arange(8192) + 1.0)
+
+
+def _log_gamma_at(x: np.ndarray, known: np.ndarray, shift: float) -> np.ndarray:
+    """log_gamma(x + shift) of whole numbers x, the small ones looked up in ``known``."""
+    out, large = known[np.minimum(x, len(known) - 1).astype(np.int64)], x >= len(known)
+    out[large] = log_gamma(x[large] + shift)
+    return out
+
+
 def kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """ln of the Krichevsky-Trofimov estimate of a sequence with so many zeros and ones."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
+    return _log_gamma_at(zeros, _HALVES, 0.5) + _log_gamma_at(ones, _HALVES, 0.5) - _log_gamma_at(zeros + ones, _WHOLES, 1.0) - math.log(math.pi)
 
 
 def tree_bits(path: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Probability of a one at each leaf of a context tree, weighted over all its depths.
+    """Probability of a one at each leaf of a context tree, weighted over all its depths; :func:`byte_model` does so in parts.
 
     ``path``: DEPTH fields of 9 bits, the most recent byte highest; OTHER in a
     field stands for all bytes without a node of their own, and ends the path.
@@ -141,65 +153,122 @@ def tree_bits(path: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> np.ndarr
     return found + rest * (ones + 0.5) / (zeros + ones + 1)
 
 
-def _tree(group: pa.Table) -> pa.Table:
-    """Rows of one tree (bit prefix): (entry, path, bit, n) to (entry, ln p of its bit)."""
-    path, bit, n = (group.column(c).to_numpy() for c in ("path", "bit", "n"))
-    leaves, at = np.unique(path.view(np.uint64), return_inverse=True)
-    zeros, ones = np.bincount(at, n * (bit == 0), len(leaves)), np.bincount(at, n * (bit == 1), len(leaves))
-    p = tree_bits(leaves, zeros, ones)[at]
-    return pa.table([group.column("entry"), pa.array(np.log(np.where(bit == 1, p, 1 - p)))], ["entry", "ln"])
-
+def _low(n_bytes: int) -> int:
+    return (1 << (8 * n_bytes)) - 1
 
-def _path(depth: Column, gram: Column) -> Column:
-    """The tree path of a gram's context, ``depth`` bytes deep."""
-    out = F.lit(0).cast("long")
-    for k in range(DEPTH):
-        byte = F.shiftright(gram, 8 * (k + 1)).bitwiseAND(F.lit(255).cast("long"))
-        field = F.when(depth > k, byte).when(depth == k, F.lit(OTHER).cast("long")).otherwise(F.lit(0).cast("long"))
-        out = out.bitwiseOR(F.shiftleft(field, 9 * (DEPTH - 1 - k)))
-    return out
 
+def _mixed(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ln weighted, share of its own estimate) of nodes whose children's ln weighted add up to ``below``."""
+    own = kt(zeros, ones) - math.log(2)
+    mixed = np.logaddexp(own, below - math.log(2))
+    return mixed, np.exp(own - mixed)
 
-def _context(gram: Column, d: int) -> Column:
-    return F.shiftright(gram, 8).bitwiseAND(F.lit((1 << (8 * d)) - 1).cast("long"))
 
+def _subtrees(gram: np.ndarray, n: np.ndarray, k: int) -> tuple:
+    """The nodes of bit ``k`` from depth DEPTH up to HEAD: those of depth HEAD, and every level's from the deepest up.
 
-def byte_model(grams: DataFrame, most_entries: int = 2_000_000) -> DataFrame:
-    """(depth INT, gram LONG, ln DOUBLE): the model's ln probability of a byte in a context.
-
-    ``grams``: (key, n) of the whole corpus, n counted in training.  A context
-    has a node if training holds it at least t times, t the least power of two
-    at which at most ``most_entries`` entries of context and byte remain, the bound
-    on what is broadcast; at smaller corpora t is 1.  Contexts without a node
-    are counted in the leaf ``other`` of their longest suffix that has one.
-    Each of the eight bits of a byte, given those before it, has its tree.
+    A node is its context's bytes, the most recent lowest, above the bits of
+    the byte before bit k behind a leading one.
     """
-    counts = []
-    level = grams.select(F.col("key").alias("gram"), "n")
-    for d in range(DEPTH, 0, -1):
-        pairs = level if d == DEPTH else level.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1).cast("long")).alias("gram")).agg(F.sum("n").alias("n"))
-        level = pairs
-        by = pairs.groupBy(_context(F.col("gram"), d).alias(f"c{d}")).agg(F.sum("n").alias(f"n{d}"), F.count("*").alias("k"))
-        counts.append((d, common.stored(by.where(F.col(f"n{d}") > 0), f"contexts-{d}")))
-    sizes = np.zeros(64, np.int64)
-    for d, by in counts:
-        for r in by.groupBy(F.floor(F.log2(F.col(f"n{d}").cast("double"))).alias("power")).agg(F.sum("k").alias("k")).collect():
-            sizes[int(r["power"])] += r["k"]
-    above = np.cumsum(sizes[::-1])[::-1]
-    least = 1 << int(np.argmax(above <= most_entries))
-    rows = grams.select(F.col("key").alias("gram"), "n")
-    for d, by in counts:
-        rows = rows.withColumn(f"c{d}", _context(F.col("gram"), d)).join(by.where(F.col(f"n{d}") >= least).select(f"c{d}", F.lit(d).alias(f"d{d}")), f"c{d}", "left").drop(f"c{d}")
-    depth = F.coalesce(F.greatest(*[f"d{d}" for d in range(1, DEPTH + 1)]), F.lit(0))
-    kept = F.element_at(F.array(*[F.lit((1 << (8 * (d + 1))) - 1).cast("long") for d in range(DEPTH + 1)]), depth + 1)
-    entries = rows.select(depth.alias("depth"), F.col("gram").bitwiseAND(kept).alias("gram"), "n").groupBy("depth", "gram").agg(F.sum("n").alias("n"))
-    entries = common.stored(entries.withColumn("entry", F.shiftleft(_path(F.col("depth"), F.col("gram")), 8).bitwiseOR(F.col("gram").bitwiseAND(F.lit(255).cast("long")))), "entries")
-    bits = entries.select("entry", F.shiftright("entry", 8).alias("path"), "n", F.col("entry").bitwiseAND(F.lit(255).cast("long")).cast("int").alias("sym"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("at"))
-    prefix = F.expr("(256 + sym) >> (8 - at)").cast("int")
-    bit = F.expr("(sym >> (7 - at)) & 1").cast("int")
-    lns = bits.select("entry", "path", "n", prefix.alias("prefix"), bit.alias("bit")).groupBy("prefix").applyInArrow(_tree, "entry long, ln double")
-    lns = lns.groupBy("entry").agg(F.sum("ln").alias("ln"))
-    return entries.join(lns, "entry").select("depth", "gram", "ln")
+    sym = gram & np.uint64(255)
+    one = (sym >> np.uint64(7 - k)) & np.uint64(1) == 1
+    node = (gram & ~np.uint64(255)) | ((np.uint64(256) | sym) >> np.uint64(8 - k))
+    zeros, ones, weighted, levels = np.where(one, 0, n).astype(float), np.where(one, n, 0).astype(float), None, []
+    for d in range(DEPTH, HEAD - 1, -1):
+        node, at = np.unique(node & np.uint64(_low(d + 1)), return_inverse=True)
+        zeros, ones = np.bincount(at, zeros, len(node)), np.bincount(at, ones, len(node))
+        if d == DEPTH:
+            weighted, stop = kt(zeros, ones), np.ones(len(node))
+        else:
+            weighted, stop = _mixed(zeros, ones, np.bincount(at, weighted, len(node)))
+        levels.append((at, zeros, ones, stop))
+    return node, zeros, ones, weighted, one, levels
+
+
+def _heads(batches) -> Iterator[pa.RecordBatch]:
+    """(node, zeros, ones, weighted) of the nodes of depth HEAD; rows come sorted by head."""
+    for t in _whole_heads(batches):
+        gram, n = t.column("gram").to_numpy().view(np.uint64), t.column("n").to_numpy()
+        for k in range(8):
+            node, zeros, ones, weighted, _, _ = _subtrees(gram, n, k)
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *map(pa.array, (zeros, ones, weighted))], ["node", "zeros", "ones", "weighted"])
+
+
+def _upper(batches) -> Iterator[pa.RecordBatch]:
+    """(node, zeros, ones, weighted, stop, guess) of nodes whose children's ln weighted have been added up."""
+    for b in batches:
+        zeros, ones, below = (b.column(c).to_numpy() for c in ("zeros", "ones", "below"))
+        weighted, stop = _mixed(zeros, ones, below)
+        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("zeros"), b.column("ones"), *map(pa.array, (weighted, stop, (ones + 0.5) / (zeros + ones + 1)))], ["node", "zeros", "ones", "weighted", "stop", "guess"])
+
+
+def _leaves(batches) -> Iterator[pa.RecordBatch]:
+    """(gram, n, ln) of every gram, from rows sorted by head: grams, and heads (n null) with what lies above them."""
+    for t in _whole_heads(batches):
+        is_head = t.column("n").is_null().to_numpy()
+        key, found, rest = t.column("gram").to_numpy().view(np.uint64), t.column("found").to_numpy()[is_head], t.column("rest").to_numpy()[is_head]
+        order = np.argsort(key[is_head])
+        heads, found, rest = key[is_head][order], found[order], rest[order]
+        gram, n = key[~is_head], t.column("n").drop_null().to_numpy()
+        ln = np.zeros(len(gram))
+        for k in range(8):
+            node, _, _, _, one, levels = _subtrees(gram, n, k)
+            at = np.searchsorted(heads, node)
+            p, left = found[at], rest[at]
+            for at, zeros, ones, stop in reversed(levels):
+                p = (p + left * stop * (ones + 0.5) / (zeros + ones + 1))[at]
+                left = (left * (1 - stop))[at]
+            ln += np.log(np.where(one, p, 1 - p))
+        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n), pa.array(ln)], ["gram", "n", "ln"])
+
+
+def _whole_heads(batches) -> Iterator[pa.Table]:
+    """Runs of rows sorted by head, none of which parts the rows of one head."""
+    held, size, due = [], 0, CHUNK
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= due:
+            t = pa.Table.from_batches(held)
+            head = t.column("head").to_numpy()
+            cut = int(np.searchsorted(head, head[-1]))
+            if cut:
+                yield t.slice(0, cut)
+            held, size = t.slice(cut).to_batches(), len(t) - cut
+            due = max(CHUNK, 2 * size)
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+def byte_model(grams: DataFrame) -> DataFrame:
+    """(gram LONG, n LONG, ln DOUBLE): the model's ln probability of each gram's last byte after the DEPTH before it.
+
+    ``grams``: (key, n) of the whole corpus, n counted in training.  Each of
+    the eight bits of a byte, given those before it, has its tree, and every
+    context has its node, however rare and at any size; what training never
+    held predicts one half.  The subtrees below the contexts of HEAD bytes are
+    built one beside the other; their counts and weighted probabilities are
+    added up level by level to the roots.  The shares of the nodes above then
+    go down to the subtrees, which give the probabilities.  The rows of one
+    head are held by one task, 256 ** (DEPTH - HEAD + 1) at most.
+    """
+    head = lambda gram: F.shiftright(gram, 8).bitwiseAND(F.lit(_low(HEAD)).cast("long"))
+    up = lambda d: F.col("node").bitwiseAND(F.lit(_low(d + 1)).cast("long"))
+    entries = grams.select(head(F.col("key")).alias("head"), F.col("key").alias("gram"), "n")
+    level = common.stored(entries.repartition("head").sortWithinPartitions("head").mapInArrow(_heads, "node long, zeros double, ones double, weighted double"), "heads")
+    heads, above = level, []
+    for d in range(HEAD - 1, -1, -1):
+        summed = level.groupBy(up(d).alias("node")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
+        level = common.stored(summed.mapInArrow(_upper, "node long, zeros double, ones double, weighted double, stop double, guess double"), f"nodes-{d}")
+        above.append(level.select(F.col("node").alias("of"), "stop", "guess"))
+    down = heads.select("node", F.lit(0.0).alias("found"), F.lit(1.0).alias("rest"))
+    for d, nodes in enumerate(reversed(above)):
+        nodes = F.broadcast(nodes) if d < 2 else nodes  # 255 and 255 * 256 rows at most
+        share = F.col("rest") * F.col("stop")
+        down = down.join(nodes, up(d) == F.col("of")).select("node", (F.col("found") + share * F.col("guess")).alias("found"), (F.col("rest") - share).alias("rest"))
+    rows = entries.select("head", "gram", "n", F.lit(None).cast("double").alias("found"), F.lit(None).cast("double").alias("rest"))
+    rows = rows.union(down.select(head(F.col("node")), "node", F.lit(None).cast("long"), "found", "rest"))
+    return rows.repartition("head").sortWithinPartitions("head").mapInArrow(_leaves, "gram long, n long, ln double")
 
 
 @dataclass
@@ -246,21 +315,12 @@ class Table:
         return values, found
 
 
-def _tagged(depth, gram: np.ndarray) -> np.ndarray:
-    return (np.asarray(depth, np.uint64) << np.uint64(56)) | gram
-
-
-def stream_ln(table: Table, grams: np.ndarray) -> np.ndarray:
-    """ln probability of each gram's last byte: the deepest context that has a node holds it."""
-    out, left = np.zeros(len(grams)), np.arange(len(grams))
-    for d in range(DEPTH, -1, -1):
-        key = _tagged(d, grams[left] & np.uint64((1 << (8 * (d + 1))) - 1))
-        values, found = table.get(key)
-        out[left[found]] = values[found]
-        left = left[~found]
-        if not len(left):
-            return out
-    raise ValueError("a gram of the corpus is missing in the model")
+def _count_of_most(counts: DataFrame, most: int) -> int:
+    """The least count, 0 or a power of two, that no more than ``most`` rows of ``counts`` (n) reach."""
+    by = counts.groupBy(F.when(F.col("n") > 0, F.floor(F.log2(F.col("n").cast("double")))).otherwise(-1).alias("p")).count()
+    powers = {int(r[0]): r[1] for r in by.collect()}
+    power = next(p for p in range(-1, 65) if sum(k for q, k in powers.items() if q >= p) <= most)
+    return 1 << power if power >= 0 else 0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -278,10 +338,11 @@ def score_documents(docs: DataFrame, most_entries: int = 2_000_000, most_words:
     bits_per_byte is its code length over the stream's bytes.
 
     One pass counts words and grams, combined in each task; counts meet in an
-    aggregation.  The byte model, of ``most_entries`` entries at most, and the
-    ``most_words`` most frequent words are broadcast (48 and 20 MB at most for each worker);
-    a second pass scores with them, and the rarer words' counts come by a join,
-    so the vocabulary may grow with the corpus.  Words are told apart by 64-bit hash.
+    aggregation.  The byte model has every context of the training rows.  Its
+    ``most_entries`` most frequent grams and the ``most_words`` most frequent
+    words are broadcast; a second pass scores with them, and the counts of the
+    rarer words and the probabilities of the rarer grams come by a join, so the
+    two bounds change no score.  Words are told apart by 64-bit hash.
 
     Null texts count as empty, one token.  Null doc_ids are held out.  Rows
     with equal doc_id and text are scored alike and returned once each.
@@ -297,20 +358,21 @@ def score_documents(docs: DataFrame, most_entries: int = 2_000_000, most_words:
     seen, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     train_tokens, vocabulary = total + ends, seen + (ends > 0)
 
-    powers = {int(r[0]): r[1] for r in words.groupBy(F.floor(F.log2(F.col("n").cast("double"))).alias("p")).count().collect()}
-    power = next(p for p in range(65) if sum(k for q, k in powers.items() if q >= p) <= most_words)
-    frequent = words.where(F.col("n") >= F.lit(float(1 << power))).toArrow()
+    word_cut = _count_of_most(words, most_words)
+    frequent = words.where(F.col("n") >= word_cut).toArrow()
     by_word = Table.of(frequent.column(0).to_numpy().view(np.uint64), frequent.column(1).to_numpy().astype(float))
-    model = byte_model(grams, most_entries).toArrow()
-    by_gram = Table.of(_tagged(model.column(0).to_numpy().astype(np.uint64), model.column(1).to_numpy().view(np.uint64)), model.column(2).to_numpy())
+    model = common.stored(byte_model(grams), "byte-model")
+    gram_cut = _count_of_most(model, most_entries)
+    frequent = model.where(F.col("n") >= gram_cut).select("gram", "ln").toArrow()
+    by_gram = Table.of(frequent.column(0).to_numpy().view(np.uint64), frequent.column(1).to_numpy())
     shared = spark.sparkContext.broadcast((by_word, by_gram))
 
     def score(batches) -> Iterator[pa.RecordBatch]:
         word_table, gram_table = shared.value
-        names = ["doc_id", "mark", "word", "tokens", "known", "logs", "held_out", "ln", "bytes"]
+        names = ["doc_id", "mark", "kind", "key", "tokens", "known", "logs", "held_out", "ln", "bytes"]
         for batch in batches:
             ids, marks, held = batch.column("doc_id"), batch.column("mark"), batch.column("held_out")
-            for first, texts in common.slices(batch, "text", SLICE):
+            for first, texts in common.slices(batch, "text", SLICE // 4):
                 split = [words_of(t) for t in texts]
                 n = np.array([len(w) for w in split])
                 of = np.repeat(np.arange(len(split)), n)
@@ -318,23 +380,30 @@ def score_documents(docs: DataFrame, most_entries: int = 2_000_000, most_words:
                 c, found = word_table.get(hashes)
                 known, logs = np.bincount(of[found], minlength=len(split)), np.bincount(of[found], np.log10(c[found] + 1), len(split))
                 g, size = grams_of(split)
-                ln = np.add.reduceat(stream_ln(gram_table, g), np.cumsum(size) - size)
-                rare, times = np.unique(np.rec.fromarrays([of[~found], hashes[~found]], names="d,h"), return_counts=True)
-                at = pa.array(np.concatenate([np.arange(len(split)), rare["d"]]) + first, pa.int64())
-                m, none = len(rare), np.zeros(len(rare))
-                word = pa.concat_arrays([pa.nulls(len(split), pa.int64()), pa.array(np.ascontiguousarray(rare["h"]).view(np.int64))])
-                columns = [np.concatenate([n, times]).astype(np.int64), np.concatenate([known, none]).astype(np.int64), np.concatenate([logs, none])]
+                ln, in_table = gram_table.get(g)
+                doc = np.repeat(np.arange(len(split)), size)[~in_table]
+                ln = np.add.reduceat(ln, np.cumsum(size) - size)
+                at, kind, key, times = [np.arange(len(split))], [np.zeros(len(split), np.int32)], [np.zeros(len(split), np.uint64)], [n]
+                for what, d, k in ((1, of[~found], hashes[~found]), (2, doc, g[~in_table])):
+                    rare, of_rare = np.unique(np.rec.fromarrays([d, k], names="d,k"), return_counts=True)
+                    at, kind, key, times = [*at, rare["d"]], [*kind, np.full(len(rare), what, np.int32)], [*key, rare["k"]], [*times, of_rare]
+                at, none = pa.array(np.concatenate(at) + first, pa.int64()), np.zeros(sum(map(len, at)) - len(split))
+                columns = [np.concatenate(kind), np.concatenate(key).view(np.int64), np.concatenate(times).astype(np.int64), np.concatenate([known, none]).astype(np.int64), np.concatenate([logs, none])]
                 tail = [np.concatenate([ln, none]), np.concatenate([size, none]).astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([ids.take(at), marks.take(at), word, *map(pa.array, columns), held.take(at), *map(pa.array, tail)], names)
+                yield pa.RecordBatch.from_arrays([ids.take(at), marks.take(at), *map(pa.array, columns), held.take(at), *map(pa.array, tail)], names)
 
     marked = rows.withColumn("mark", F.xxhash64("text"))
-    parts = common.stored(marked.mapInArrow(score, "doc_id long, mark long, word long, tokens long, known long, logs double, held_out boolean, ln double, bytes long"), "lm-scores")
-    heads = parts.where("word is null").drop("word")
-    rare = parts.where("word is not null").join(words.where(F.col("n") < F.lit(float(1 << power))).withColumnRenamed("key", "word"), "word")
-    rare = rare.groupBy("doc_id", "mark").agg(F.sum("tokens").alias("more"), F.sum(F.col("tokens") * F.log10(F.col("n") + 1)).alias("more_logs"))
+    parts = common.stored(marked.mapInArrow(score, "doc_id long, mark long, kind int, key long, tokens long, known long, logs double, held_out boolean, ln double, bytes long"), "lm-scores")
+    heads = parts.where("kind = 0").drop("kind", "key")
+    values = words.where(F.col("n") < word_cut).select(F.lit(1).alias("kind"), "key", F.log10(F.col("n") + 1).alias("value"))
+    values = values.union(model.where(F.col("n") < gram_cut).select(F.lit(2), "gram", "ln"))
+    rare = parts.where("kind > 0").select("doc_id", "mark", "kind", "key", "tokens").join(values, ["kind", "key"])
+    sum_of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
+    of_value = F.col("tokens") * F.col("value")
+    rare = rare.groupBy("doc_id", "mark").agg(sum_of(1, F.col("tokens")).alias("more"), sum_of(1, of_value).alias("more_logs"), sum_of(2, of_value).alias("more_ln"))
     copies = heads.groupBy("doc_id", "mark").agg(F.count("*").alias("copies"))
-    rare = rare.join(copies, (rare["doc_id"].eqNullSafe(copies["doc_id"])) & (rare["mark"] == copies["mark"])).select(rare["doc_id"].alias("rd"), rare["mark"].alias("rm"), (F.col("more") / F.col("copies")).cast("long").alias("more"), (F.col("more_logs") / F.col("copies")).alias("more_logs"))
-    whole = heads.join(rare, F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("mark") == F.col("rm")), "left")
+    rare = rare.join(copies, (rare["doc_id"].eqNullSafe(copies["doc_id"])) & (rare["mark"] == copies["mark"])).select(rare["doc_id"].alias("rd"), rare["mark"].alias("rm"), (F.col("more") / F.col("copies")).cast("long").alias("more"), *[(F.col(c) / F.col("copies")).alias(c) for c in ("more_logs", "more_ln")])
+    whole = heads.join(rare, F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("mark") == F.col("rm")), "left").withColumn("ln", F.col("ln") + F.coalesce("more_ln", F.lit(0.0)))
     end_log, base = math.log10(ends + 1), math.log10(train_tokens + vocabulary + 1)
     n_tokens = F.col("tokens") + 1
     return whole.select(

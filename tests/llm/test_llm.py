@@ -180,6 +180,34 @@ def test_byte_model_is_a_distribution():
     assert 0 < p[0] < 0.5 < q[0] < 1 and math.isclose(p[0] + q[0], 1)
 
 
+def test_scores_keep_rare_contexts(spark, documents):
+    """Bounds on what is broadcast change no score, and every context of training has its node."""
+    import numpy as np
+
+    docs = documents.limit(60)
+    texts = [(ctw.words_of((r["text"] or "").encode()), zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2, r["doc_id"]) for r in docs.collect()]
+    counts = Counter()
+    for w, trains, _ in texts:
+        for g in ctw.grams_of([w])[0].tolist():
+            counts[g] += trains
+    grams = np.array(sorted(counts), np.uint64)
+    n, sym = np.array([counts[g] for g in grams.tolist()]), grams & np.uint64(255)
+    path = sum(((grams >> np.uint64(8 * (k + 1))) & np.uint64(255)) << np.uint64(9 * (ctw.DEPTH - 1 - k)) for k in range(ctw.DEPTH))
+    ln = np.zeros(len(grams))
+    for k in range(8):
+        prefix, one = (np.uint64(256) | sym) >> np.uint64(8 - k), (sym >> np.uint64(7 - k)) & np.uint64(1) == 1
+        for tree in np.unique(prefix):
+            some = prefix == tree
+            leaves, at = np.unique(path[some], return_inverse=True)
+            p = ctw.tree_bits(leaves, np.bincount(at, n[some] * ~one[some]), np.bincount(at, n[some] * one[some]))[at]
+            ln[some] += np.log(np.where(one[some], p, 1 - p))
+    of = dict(zip(grams.tolist(), ln))
+    want = {i: sum(of[g] for g in ctw.grams_of([w])[0].tolist()) / math.log(10) for w, _, i in texts}
+    for most in (2_000_000, 300):
+        got = {r["doc_id"]: r["score"] for r in ctw.score_documents(docs, most_entries=most).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
 def test_pipeline_stages(spark, documents):
     import corpus_pipeline
 
