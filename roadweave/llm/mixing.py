@@ -14,6 +14,8 @@ from . import common
 #: A document's place in its source's permutation is a 60-bit key: the top bits name its block, deeper digits its place in it.
 DIGIT_BITS, DIGITS = 10, 6
 BLOCKS = 1 << DIGIT_BITS
+#: Bits of mix_order by which a shard's rows are parted, so that no task has to hold a whole shard.
+PART_BITS = 6
 
 
 def water_fill(sizes: dict, weights: dict, total: float, most: float) -> dict:
@@ -120,25 +122,35 @@ def plan_mix(keyed: DataFrame, share: float, most: float, cycle: tuple) -> list[
     return [plans[s] for s in order]
 
 
-def _plan_frame(spark, plans: list[Plan]) -> DataFrame:
-    rows = [(p.source, p.size, p.target, p.passes, p.cut) for p in plans]
-    return F.broadcast(spark.createDataFrame(rows, "mix_source string, source_size long, target double, mix_passes long, mix_cut long"))
-
-
-def _taken(docs: DataFrame, share: float, most: float, cycle: tuple, seed: int) -> tuple[DataFrame, list[Plan]]:
-    keyed = _keyed(docs, seed)
-    plans = plan_mix(common.stored(keyed.select("source", "mix_size", "mix_key"), "mix-keys"), share, most, cycle)
-    joined = keyed.join(_plan_frame(docs.sparkSession, plans), F.col("source").eqNullSafe(F.col("mix_source")), "left").drop("mix_source")
+def _dealt(keyed: DataFrame, plans: list[Plan], seed: int, shards: int) -> DataFrame:
+    """A row for each draw that the splitting tree places: ``keyed`` with mix_draw, mix_shard and mix_order, in mixed order."""
+    spark = keyed.sparkSession
+    quotas = np.array([BLOCKS * p.passes + (p.cut + (1 << 50) - 1 >> 50) for p in plans], dtype=np.int64)
+    per_shard = split_quotas(quotas, shards, np.random.default_rng(seed)) if len(plans) else np.zeros((shards, 0), np.int64)
+    ends = np.cumsum(per_shard, axis=0)
+    rows = [(p.source, p.passes, p.cut, ends[:, i].tolist()) for i, p in enumerate(plans)]
+    where = F.broadcast(spark.createDataFrame(rows, "mix_of string, mix_passes long, mix_cut long, mix_ends array<long>"))
+    joined = keyed.join(where, F.col("source").eqNullSafe(F.col("mix_of")))
     draws = F.col("mix_passes") + (F.col("mix_key") < F.col("mix_cut")).cast("long")
-    return joined.withColumn("mix_draws", draws), plans
+    drawn = joined.withColumn("mix_draw", F.explode(F.when(draws > 0, F.sequence(F.lit(0).cast("long"), draws - 1)).otherwise(F.array().cast("array<long>"))))
+    block = F.col("mix_draw") * BLOCKS + F.shiftrightunsigned("mix_key", DIGIT_BITS * (DIGITS - 1))
+    placed = drawn.withColumn("mix_shard", F.size(F.filter("mix_ends", lambda e: e <= block))).where(F.col("mix_shard") < shards)
+    placed = placed.withColumn("mix_order", F.xxhash64(F.lit(seed + 1), "mix_key", "mix_draw"))
+    placed = placed.drop("mix_of", "mix_passes", "mix_cut", "mix_ends")
+    return placed.repartition("mix_shard", F.shiftright("mix_order", 64 - PART_BITS)).sortWithinPartitions("mix_shard", "mix_order")
 
 
-def mix_digest(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tuple = (3, 1, 2), seed: int = 17) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, draws; see :func:`mix_sources`."""
-    taken, _ = _taken(docs.select("doc_id", "text", "source"), share, most, cycle, seed)
-    return taken.select(
-        "doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("mix_draws")).alias("taken"), F.col("mix_draws").alias("draws")
-    )
+def mix_digest(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tuple = (3, 1, 2), seed: int = 17, shards: int = 64) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, draws, counted from the draws as dealt; see :func:`mix_sources`."""
+    keyed = common.stored(_keyed(docs.select("doc_id", "text", "source"), seed).drop("text"), "mix-keys")
+    plans = plan_mix(keyed.select("source", "mix_size", "mix_key"), share, most, cycle)
+    dealt = common.stored(_dealt(keyed, plans, seed, shards).select("doc_id", "source", "mix_key", "mix_draw", "mix_shard", "mix_order"), "mix-dealt")
+    # Rows with equal doc_id and text share their draws: each draw counts once for each of them.
+    drawn = dealt.groupBy(F.col("doc_id").alias("mix_doc"), F.col("source").alias("mix_from"), F.col("mix_key").alias("mix_at")).agg(F.count_distinct("mix_draw").alias("found"))
+    rows = keyed.join(drawn, (F.col("mix_key") == F.col("mix_at")) & F.col("doc_id").eqNullSafe(F.col("mix_doc")) & F.col("source").eqNullSafe(F.col("mix_from")), "left")
+    of = F.broadcast(docs.sparkSession.createDataFrame([(p.source, p.size, p.target) for p in plans], "mix_source string, source_size long, target double"))
+    rows = rows.withColumn("draws", F.coalesce("found", F.lit(0)).cast("long")).join(of, F.col("source").eqNullSafe(F.col("mix_source")), "left")
+    return rows.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("draws")).alias("taken"), "draws")
 
 
 def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tuple = (3, 1, 2), seed: int = 17, shards: int = 64) -> DataFrame:
@@ -153,23 +165,14 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: t
     most.  A splitting tree shares every source's block draws among
     the output shards exactly; each shard takes the next blocks of the
     permutation, so draws are disjoint, and mix_order shuffles inside a shard.
+    The rows are moved to that place: partitions hold ranges of mix_order of
+    shards, sorted by mix_shard and mix_order.
 
     Null or empty texts have size 0, and are drawn with their block.  Rows with
     equal doc_id and text share a key: they are drawn alike.  A null source is
     a source of its own.  An empty table gives an empty mix.  Own columns are
     kept; ones named like the added ones (mix_*, source_size, target) are an error of the caller.
     """
-    spark = docs.sparkSession
-    taken, plans = _taken(docs, share, most, cycle, seed)
-    passes = [p.passes + (p.cut > 0) for p in plans]
-    quotas = np.array([BLOCKS * p.passes + (p.cut + (1 << 50) - 1 >> 50) for p in plans], dtype=np.int64)
-    per_shard = split_quotas(quotas, shards, np.random.default_rng(seed)) if len(plans) else np.zeros((shards, 0), np.int64)
-    ends = np.cumsum(per_shard, axis=0)
-    rows = [(p.source, ends[:, i].tolist()) for i, p in enumerate(plans)]
-    where = F.broadcast(spark.createDataFrame(rows, "mix_of string, mix_ends array<long>"))
-    most_passes = max(passes, default=0)
-    draws = taken.withColumn("mix_draw", F.explode(F.when(F.col("mix_draws") > 0, F.sequence(F.lit(0).cast("long"), F.col("mix_draws") - 1)).otherwise(F.array().cast("array<long>")))) if most_passes else taken.where(F.lit(False)).withColumn("mix_draw", F.lit(0).cast("long"))
-    block = F.col("mix_draw") * BLOCKS + F.shiftrightunsigned("mix_key", DIGIT_BITS * (DIGITS - 1))
-    placed = draws.join(where, F.col("source").eqNullSafe(F.col("mix_of")), "left").withColumn("mix_shard", F.size(F.filter("mix_ends", lambda e: e <= block)))
-    placed = placed.withColumn("mix_order", F.xxhash64(F.lit(seed + 1), "mix_key", "mix_draw"))
-    return placed.select(*docs.columns, "mix_shard", "mix_order")
+    keyed = _keyed(docs, seed)
+    plans = plan_mix(common.stored(keyed.select("source", "mix_size", "mix_key"), "mix-keys"), share, most, cycle)
+    return _dealt(keyed, plans, seed, shards).select(*docs.columns, "mix_shard", "mix_order")

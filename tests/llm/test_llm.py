@@ -69,6 +69,26 @@ def test_mixture_meets_targets(spark, documents):
     assert mixing.mix_digest(odd(spark)).count() == 9 and mixing.mix_sources(odd(spark).limit(0)).count() == 0
 
 
+def test_mixture_is_dealt_by_the_tree(spark, documents, monkeypatch):
+    mix = mixing.mix_sources(documents, shards=8)
+    parts = mix.select(F.spark_partition_id().alias("part"), "mix_shard", "mix_order", "source").collect()
+    whose, by = {}, defaultdict(list)
+    for r in parts:
+        by[r["part"]].append((r["mix_shard"], r["mix_order"]))
+        assert whose.setdefault((r["mix_shard"], r["mix_order"] >> 58), r["part"]) == r["part"]
+    assert all(x == sorted(x) for x in by.values()) and {r["mix_shard"] for r in parts} == set(range(8))
+    whole = sum(r["draws"] for r in mixing.mix_digest(documents, shards=8).collect())
+    assert whole == len(parts)
+    split, shares = mixing.split_quotas, Counter(r["mix_shard"] for r in parts)
+    monkeypatch.setattr(mixing, "split_quotas", lambda q, n, rng: split(q, n, rng) if n < 8 else np_without_last(split(q, n, rng)))
+    assert sum(r["draws"] for r in mixing.mix_digest(documents, shards=8).collect()) == whole - shares[7]
+
+
+def np_without_last(quotas):
+    quotas[-1] = 0
+    return quotas
+
+
 def test_packing_round_trip(spark, documents):
     import public_tokenizers
     from tokenizers import Tokenizer
