@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from roadweave.llm import common, langid, linededup, minhash, mixing, packing
 
 
+#: With fewer n-grams than this a text without any hit is too short to judge, and stays.
+LEAST_GRAMS = 20
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which some language is found; those without letters or without any n-gram of any language go."""
-    found = langid.identify(docs).where("lang_pred <> 'und' and score > 0")
+    """Documents in which some language is found, or too short to judge; those without letters go, and longer ones without any n-gram of any language."""
+    found = langid.identify(docs, n_grams=True).where(f"lang_pred <> 'und' and (score > 0 or n_grams < {LEAST_GRAMS})")
     return found.select(*docs.columns)
 
 

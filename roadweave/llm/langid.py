@@ -66,7 +66,7 @@ class Model:
     false: np.ndarray
     default: int
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[int]]:
         doc, h, letters = grams_of([t or "" for t in texts])
         at = slots_of(h)
         total, n = np.bincount(doc, minlength=len(texts)), len(self.languages)
@@ -89,7 +89,7 @@ class Model:
                 s = float(hits[i].sum())
                 names.append(self.languages[b if s else self.default])
                 scores.append(float(hits[i, b]) / s if s else 0.0)
-        return names, scores
+        return names, scores, total.tolist()
 
 
 def _count(batches) -> Iterator[pa.RecordBatch]:
@@ -145,7 +145,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def identify(docs: DataFrame, **settings) -> DataFrame:
+def identify(docs: DataFrame, n_grams: bool = False, **settings) -> DataFrame:
     """``docs`` plus held_out BOOLEAN, lang_pred STRING, score DOUBLE (columns of these names are replaced).
 
     A filter of 2**20 slots holds, in the bits of each slot, all languages
@@ -155,14 +155,15 @@ def identify(docs: DataFrame, **settings) -> DataFrame:
     language of most hits wins (ties: first in code points) and its share of
     all hits is the score.  The filter is learned from doc_id-hashed rows that
     are not held out; see :func:`fit` for its bound.  It takes 8 MB for each
-    64 languages and is sent to every executor once.
+    64 languages and is sent to every executor once.  With ``n_grams`` a
+    column n_grams LONG tells how many n-grams were looked up.
 
     ``und``, score 0: null text, no letter, or nothing to learn from.  Without
     any hit: the most frequent language, score 0.  Rows with null lang are
     predicted but not learned from; repeated rows are predicted alike; an
     empty table stays empty.
     """
-    docs = docs.drop("held_out", "lang_pred", "score")
+    docs = docs.drop("held_out", "lang_pred", "score", *(["n_grams"] if n_grams else []))
     spark = docs.sparkSession
     rows = docs.withColumn("held_out", held_out(F.col("doc_id")))
     model = fit(rows.where("not held_out").select("text", "lang", F.xxhash64("doc_id", "text").alias("hash")), **settings)
@@ -170,12 +171,14 @@ def identify(docs: DataFrame, **settings) -> DataFrame:
 
     def predict(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = [], []
+            names, scores, looked = [], [], []
             for _, texts in common.slices(batch, "text", SLICE):
                 got = shared.value.predict(texts)
                 names += got[0]
                 scores += got[1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+                looked += got[2]
+            more = {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())} | ({"n_grams": pa.array(looked, pa.int64())} if n_grams else {})
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more.values()], [*batch.schema.names, *more])
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField("n_grams", T.LongType())] if n_grams else [])])
     return rows.mapInArrow(predict, schema)

@@ -255,12 +255,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 128, miss: floa
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` whose document stays, one for each group of linked documents: the one of smallest doc_id.
 
-    Rows that repeat a doc_id count once.  Rows without doc_id, which the
-    groups cannot name, stay once for each text.
+    A document is a doc_id with a text: rows that repeat both count once, and
+    texts that only share a doc_id are not linked by it.  Rows without doc_id,
+    which the groups cannot name, stay once for each text.
     """
-    kept = near_duplicates(docs, **settings).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(common.stored(kept, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
+    (own,) = common.fresh(docs, "mark")
+    marked = docs.where("doc_id is not null").withColumn(own, F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.col("text").isNull()))
+    groups = near_duplicates(marked.select(F.col(own).alias("doc_id"), "text"), **settings).select(F.col("doc_id").alias(own), "component_id").distinct()
+    first = marked.select(own, "doc_id").distinct().join(groups, own).groupBy("component_id").agg(F.min(F.struct("doc_id", own)).alias("first"))
+    kept = common.stored(first.select(f"first.{own}"), "kept")
+    named = marked.join(kept, own, "left_semi").dropDuplicates([own]).select(*docs.columns)
+    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 
 
 def near_duplicates_sql(percent: int) -> str:

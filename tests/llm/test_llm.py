@@ -228,6 +228,40 @@ def test_scores_keep_rare_contexts(spark, documents):
         assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
 
 
+def test_pipeline_keeps_what_no_rule_rejects(spark, tmp_path):
+    """Small corpus through all five stages: what goes, what stays whole, and how often it is drawn."""
+    import random
+
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    vocabulary = [word() for _ in range(300)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows = [(i, text(rng.randint(20, 200)), "a") for i in range(60)]
+    near = text(150)
+    block = "\n".join(text(8) for _ in range(3))
+    rows += [(100, near, "a"), (101, near, "a"), (102, near + " " + vocabulary[0], "a"), (103, "12 34", "a"), (104, "", "a"), (105, "a", "a")]
+    rows += [(106, block, "a"), (107, block + "\n" + text(40), "a"), (7, text(90), "a"), (101, text(70), "a")]
+    want = Counter((i, t) for i, t, _ in rows if (i, t) not in {(101, near), (102, rows[62][1]), (103, "12 34"), (104, ""), (107, rows[67][1])})
+    want[107, rows[67][1].removeprefix(block + "\n")] += 1
+    docs(spark, rows).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    encoder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    size = Counter()
+    for i, t in want:
+        size[i, len(encoder.encode(t, add_special_tokens=False).ids) + 1] += 1
+    got = Counter()
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[r["doc_id"], r["doc_tokens"]] += r["length"]
+    assert got.keys() == size.keys()
+    draws = {k: got[k] / k[1] for k in got}
+    assert all(d in (size[k], 2 * size[k]) for k, d in draws.items())
+    words_of = {(i, len(encoder.encode(t, add_special_tokens=False).ids) + 1): len(t.split()) for i, t in want}
+    assert abs(sum(words_of[k] * d for k, d in draws.items()) - 1.5 * sum(words_of.values())) <= max(words_of.values()) / 2
+
+
 def test_pipeline_stages(spark, documents):
     import corpus_pipeline
 
