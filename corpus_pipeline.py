@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roadweave.llm import common, langid, linededup, minhash, mixing, packing
 
 
-#: With fewer n-grams than this a text without any hit is too short to judge, and stays.
+#: With fewer different n-grams than this a text without any hit is too short to judge, and stays.
 LEAST_GRAMS = 20
 
 

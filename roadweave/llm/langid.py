@@ -89,7 +89,9 @@ class Model:
                 s = float(hits[i].sum())
                 names.append(self.languages[b if s else self.default])
                 scores.append(float(hits[i, b]) / s if s else 0.0)
-        return names, scores, total.tolist()
+        unknown = (hits.sum(axis=1) == 0)[doc]
+        different = np.unique(np.rec.fromarrays([doc[unknown], h[unknown]], names="d,h"))["d"]
+        return names, scores, np.bincount(different, minlength=len(texts)).tolist()
 
 
 def _count(batches) -> Iterator[pa.RecordBatch]:
@@ -156,7 +158,7 @@ def identify(docs: DataFrame, n_grams: bool = False, **settings) -> DataFrame:
     all hits is the score.  The filter is learned from doc_id-hashed rows that
     are not held out; see :func:`fit` for its bound.  It takes 8 MB for each
     64 languages and is sent to every executor once.  With ``n_grams`` a
-    column n_grams LONG tells how many n-grams were looked up.
+    column n_grams LONG tells how many different n-grams a text without any hit has.
 
     ``und``, score 0: null text, no letter, or nothing to learn from.  Without
     any hit: the most frequent language, score 0.  Rows with null lang are
