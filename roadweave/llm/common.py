@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +18,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset, and on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -55,7 +62,48 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def slices(batch, column: str, max_bytes: int = 16 << 20) -> Iterator[tuple[int, list]]:
+_kept: dict = {}
+
+
+def kept(key, make: Callable):
+    """What ``make`` gives, once for each Python worker; it outlives a task until another key is asked for, so that one cache at most stays."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+class _WordHashes(dict):
+    """64-bit hashes of words; the most frequent words are met early, and stay."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < 50_000 and len(word) < 64:
+            self[word] = h
+        return h
+
+
+def word_hash() -> Callable[[bytes], int]:
+    return kept("word hashes", _WordHashes).__getitem__
+
+
+def tidy(task):
+    """A task over Arrow batches that hands its memory back at its end: Python workers outlive their tasks."""
+
+    @wraps(task)
+    def run(batches, *args, **settings):
+        try:
+            yield from task(batches, *args, **settings)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
+def slices(batch, column: str, max_bytes: int = 4 << 20) -> Iterator[tuple[int, list]]:
     """Runs of rows of an Arrow batch, each of at most about ``max_bytes`` of ``column``: (first row, values)."""
     values = batch.column(column)
     start = size = 0

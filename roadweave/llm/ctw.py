@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +22,6 @@ OTHER = 256
 _LN10 = math.log(10)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 200_000 and len(word) < 64:
-            self[word] = h
-        return h
-
-
-_hash_of = _WordHashes().__getitem__
-
-
 def words_of(text: bytes) -> list[bytes]:
     """Words of a text, A-Z lower-cased."""
     return text.lower().split()
@@ -59,6 +47,7 @@ def grams_of(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return g[inside], n
 
 
+@common.tidy
 def _counts(batches) -> Iterator[pa.RecordBatch]:
     """(kind, key, n): 0 words of training documents by hash, 1 grams of all documents with their count in training."""
     held = {0: [], 1: []}
@@ -80,7 +69,7 @@ def _counts(batches) -> Iterator[pa.RecordBatch]:
             words = [words_of(t) for t in texts]
             learned = [w for w, t in zip(words, trains[first:]) if t]
             flat = [x for w in learned for x in w]
-            held[0].append(np.unique(np.fromiter(map(_hash_of, flat), np.uint64, len(flat)), return_counts=True))
+            held[0].append(np.unique(np.fromiter(map(common.word_hash(), flat), np.uint64, len(flat)), return_counts=True))
             for some, weight in ((learned, 1), ([w for w, t in zip(words, trains[first:]) if not t], 0)):
                 if some:
                     g, n = np.unique(grams_of(some)[0], return_counts=True)
@@ -367,6 +356,7 @@ def score_documents(docs: DataFrame, most_entries: int = 2_000_000, most_words:
     by_gram = Table.of(frequent.column(0).to_numpy().view(np.uint64), frequent.column(1).to_numpy())
     shared = spark.sparkContext.broadcast((by_word, by_gram))
 
+    @common.tidy
     def score(batches) -> Iterator[pa.RecordBatch]:
         word_table, gram_table = shared.value
         names = ["doc_id", "mark", "kind", "key", "tokens", "known", "logs", "held_out", "ln", "bytes"]
@@ -376,7 +366,7 @@ def score_documents(docs: DataFrame, most_entries: int = 2_000_000, most_words:
                 split = [words_of(t) for t in texts]
                 n = np.array([len(w) for w in split])
                 of = np.repeat(np.arange(len(split)), n)
-                hashes = np.fromiter((_hash_of(x) for w in split for x in w), np.uint64, int(n.sum()))
+                hashes = np.fromiter(map(common.word_hash(), (x for w in split for x in w)), np.uint64, int(n.sum()))
                 c, found = word_table.get(hashes)
                 known, logs = np.bincount(of[found], minlength=len(split)), np.bincount(of[found], np.log10(c[found] + 1), len(split))
                 g, size = grams_of(split)

@@ -19,25 +19,12 @@ BITS = 256
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words; the most frequent words are met early, and stay."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 200_000 and len(word) < 64:
-            self[word] = h
-        return h
-
-
-_hash_of = _WordHashes().__getitem__
-
-
 def shingle_set(text: bytes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of five words, A-Z lower-cased; of fewer words, of all of them; of none, nothing."""
     words = text.lower().split()  # of bytes: A-Z only, and the six white-space characters only
     if not words:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(_hash_of, words), np.uint64, len(words))
+    w = np.fromiter(map(common.word_hash(), words), np.uint64, len(words))
     k = min(WORDS, len(w))
     h = np.full(len(w) - k + 1, k, np.uint64)
     for i in range(k):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -61,17 +60,6 @@ class WordTokens:
         return np.frombuffer(b"".join(map(self._of_word, text.split())), "<u2")
 
 
-_tokens: dict[str, WordTokens] = {}
-
-
-def word_tokens(path: str) -> WordTokens:
-    """One per Python worker: the caches outlive a task."""
-    if path not in _tokens:
-        gc.disable()  # the caches hold no cycles; scanning them again and again costs more than the work
-        _tokens[path] = WordTokens(path)
-    return _tokens[path]
-
-
 class Packer:
     """Packs the documents of one task, window by window.
 
@@ -154,8 +142,9 @@ class Packer:
         self.rests, self.waiting = [], 0
 
 
+@common.tidy
 def _pack(batches, path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    tokens, packer = word_tokens(path), Packer(TaskContext.get().partitionId() << 40, capacity)
+    tokens, packer = common.kept(("tokens", path), partial(WordTokens, path)), Packer(TaskContext.get().partitionId() << 40, capacity)
     end = np.array([end_id], "<u2")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
