@@ -46,6 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def broadcast_if_small(df: DataFrame, most_rows: int = 1 << 21) -> DataFrame:
+    """``df``, a stored table of a few numbers a row, marked for broadcast if it has ``most_rows`` at most; beyond that Spark shuffles it."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as LONG; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

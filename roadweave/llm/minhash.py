@@ -9,13 +9,12 @@ from math import lgamma
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 WORDS = 5
-BITS = 256
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -67,6 +66,7 @@ def least_shared(size: int, k: int, percent: int, miss: float) -> int:
     return min(-(-size * percent // 100), *(_quantile(_rounded(u, k), k, percent, miss) for u in tries))
 
 
+@common.tidy
 def _sketches(batches, k: int, percent: int, miss: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs = batch.column("doc_id")
@@ -75,80 +75,105 @@ def _sketches(batches, k: int, percent: int, miss: float) -> Iterator[pa.RecordB
             low = [s[:k] for s in sets]
             ends = np.cumsum([0, *map(len, low)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*low, np.empty(0, np.uint64)]).view(np.int64)))
-            bits = np.array([np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.intp), minlength=BITS) & 1).view(np.int64) for s in low], np.int64).reshape(-1)
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bits) + 1, BITS // 64, dtype=np.int32)), pa.array(bits))
-            prints = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([docs.slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([least_shared(len(s), k, percent, miss) for s in sets], pa.int32()), prints, lists, bits], ["doc_id", "n_shingles", "least", "print", "sketch", "bits"])
+            prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            tags = pa.array(map(tag_of, prints), pa.int64())
+            yield pa.RecordBatch.from_arrays([docs.slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([least_shared(len(s), k, percent, miss) for s in sets], pa.int32()), pa.array(prints, pa.binary()), tags, lists], ["doc_id", "n_shingles", "least", "print", "tag", "sketch"])
 
 
+def tag_of(digest: bytes) -> int:
+    """What tells apart the sets of one doc_id."""
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+@common.tidy
 def _full_sets(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("id")
         for first, texts in common.slices(batch, "text"):
-            sets = pa.array([shingle_set(t).tobytes() for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), sets], ["id", "full"])
-
-
-def _rows(column) -> list[np.ndarray]:
-    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-    return [values[a:b].view(np.uint64) for a, b in zip(ends[:-1], ends[1:])]
-
-
-def overlap(a: np.ndarray, b: np.ndarray, k: int) -> tuple[int, int]:
-    """Of the ``k`` smallest hashes of the union of two sets, given by their ``k`` smallest: how many lie in both, and how many there are."""
-    both = np.concatenate([a, b])
-    both.sort()
-    twice = both[1:] == both[:-1]
-    union = both[np.concatenate([[True], ~twice])] if len(both) else both
-    shared = both[1:][twice]
-    if len(union) <= k:
-        return len(shared), len(union)
-    return int(np.searchsorted(shared, union[k - 1], side="right")), k
-
-
-def _likely(batches, k: int, percent: int, miss: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        sizes = zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist())
-        for x, y, (m, n) in zip(_rows(batch.column("sa")), _rows(batch.column("sb")), sizes):
-            shared, size = overlap(x, y, k)
-            most = (m + n) * 100 // (100 + percent)  # a linked pair's union is not larger
-            keep.append(shared >= min(_quantile(_rounded(u, k), k, percent, miss) for u in (max(m, n), most)) if size == k else 100 * shared >= percent * size)
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _true(batches, percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist()):
-            shared, size = overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), 1 << 62)
-            keep.append(100 * shared >= percent * size)
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _fits(k: int, percent: int) -> Column:
-    """Whether two postings, the second one in column ``o``, may be of linked sets.
-
-    The parities of the hashes' places differ in no more bits than the
-    sketches differ in hashes, so this refuses no pair that shares enough.
+            sets = [shingle_set(t).tobytes() for t in texts]
+            tags = pa.array([tag_of(xxhash.xxh3_128_digest(x)) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), tags, pa.array(sets, pa.binary())], ["id", "tag", "full"])
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes every two of the sets share, as a square; columns of it are taken in blocks, so memory is bounded."""
+    n = len(sets)
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row, twice = np.repeat(np.arange(n), [len(s) for s in sets]), np.bincount(at, minlength=len(values)) > 1
+    place = np.cumsum(twice) - 1
+    row, at = row[twice[at]], place[at[twice[at]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    out, width = np.zeros((n, n), np.float32), max(64, (1 << 22) // n)
+    for lo in range(0, int(twice.sum()), width):
+        i, j = np.searchsorted(at, (lo, lo + width))
+        held = np.zeros((n, min(width, int(twice.sum()) - lo)), np.float32)
+        held[row[i:j], at[i:j] - lo] = 1
+        out += held @ held.T
+    return out
+
+
+def linked(sets: list[np.ndarray], least: np.ndarray, k: int, percent: int) -> np.ndarray:
+    """For each set the first one that it is connected with: what passes the estimate from the sketches is compared in full.
+
+    The hashes that two sketches share hold those that their union's sketch shares, so with fewer than ``least`` no two sets are linked.
     """
-    n, m = F.col("n_shingles"), F.col("o.n_shingles")
-    least = F.when((n + m) * 100 <= k * (100 + percent), F.ceil((n + m) * percent / (100 + percent))).otherwise(F.greatest("least", "o.least"))
-    differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("o.bits")[i])) for i in range(BITS // 64)), F.lit(0))
-    sizes = (n * 100 >= m * percent) & (m * 100 >= n * percent)
-    return sizes & (differ <= F.least(n, F.lit(k)) + F.least(m, F.lit(k)) - 2 * least)
+    root = np.arange(len(sets))
+    likely = overlaps([s[:k] for s in sets]) >= np.maximum(least[:, None], least[None, :])
+    np.fill_diagonal(likely, False)
+    some = np.flatnonzero(likely.any(axis=1))
+    if not len(some):
+        return root
+    size = np.array([len(sets[i]) for i in some], np.float64)
+    shared = overlaps([sets[i] for i in some]).astype(np.float64)
+    link = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+    label = np.arange(len(some))
+    while True:
+        near = np.where(link, label[None, :], len(some)).min(axis=1)
+        near = np.minimum(label, near)
+        near = near[near]
+        if (near == label).all():
+            break
+        label = near
+    root[some] = some[label]
+    return root
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, percent: int, miss: float, name: str) -> DataFrame:
-    side = lambda t, col, x: t.select(*[F.col(c).alias(n + x) for c, n in {"id": "", **col}.items()])
-    sketch, full = {"sketch": "s", "n_shingles": "n"}, {"full": "f"}
-    near = pairs.join(side(sketches, sketch, "a"), "a").join(side(sketches, sketch, "b"), "b")
-    near = common.stored(near.mapInArrow(partial(_likely, k=k, percent=percent, miss=miss), "a long, b long"), f"{name}-likely")
-    near = near.join(side(sets, full, "a"), "a").join(side(sets, full, "b"), "b")
-    return common.stored(near.mapInArrow(partial(_true, percent=percent), "a long, b long").distinct(), f"{name}-links")
+@common.tidy
+def _forests(batches, k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) of sets connected within a group; rows come sorted by (value, part), and a group holds a bounded number of sets."""
+    held: dict = {"of": None, "id": [], "least": [], "set": []}
 
+    def links() -> pa.RecordBatch | None:
+        if len(held["id"]) < 2:
+            return None
+        ids = np.array(held["id"], np.int64)
+        root = linked(held["set"], np.array(held["least"]), k, percent)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[root[moved]]), pa.array(ids[moved])], ["a", "b"]) if len(moved) else None
 
-def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 128, miss: float = 1e-7, residual: int = 4, star_rounds: int = 6) -> DataFrame:
+    for batch in batches:
+        value, part, ids, least = (batch.column(c).to_numpy() for c in ("value", "part", "id", "least"))
+        full = batch.column("full")
+        for i in range(batch.num_rows):
+            if held["of"] != (value[i], part[i]):
+                if (found := links()) is not None:
+                    yield found
+                held = {"of": (value[i], part[i]), "id": [], "least": [], "set": []}
+            held["id"].append(ids[i])
+            held["least"].append(least[i])
+            held["set"].append(np.frombuffer(full[i].as_py(), np.uint64))
+    if (found := links()) is not None:
+        yield found
+
+
+def _connected(rows: DataFrame, k: int, percent: int, name: str) -> DataFrame:
+    """Links (a, b) within the groups (value, part) of ``rows`` (with id, least, full)."""
+    dealt = rows.select("value", "part", "id", "least", "full").repartition("value", "part").sortWithinPartitions("value", "part")
+    return common.stored(dealt.mapInArrow(partial(_forests, k=k, percent=percent), "a long, b long").distinct(), name)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 128, miss: float = 1e-7, chunk: int = 1024, chunk_mb: int = 16) -> DataFrame:
     """A row for each document: doc_id LONG, n_shingles LONG, component_id LONG, kept BOOLEAN.
 
     Documents link when their sets of five-word shingles have a Jaccard
@@ -161,20 +186,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 128, miss: floa
       the union's sketch, those common follow a hypergeometric law, 96 of 128
       on average at 0.75, and more than ``least_shared`` of the set's size but for
       a chance of ``miss``; sketches that hold the whole union need no chance.
-      So if a sketch's hashes are ordered from rare to
-      frequent, all but the last ``least - 1`` suffice as inverted lists: common
-      passages, being frequent, come last and lead few documents together.
-      Hashes that occur once are dropped beforehand.
-    * In each list every document is paired with one leader; what links joins
-      a component.  While the pairs of different components left in the lists
-      exceed ``residual`` times the postings and the last leaders halved
-      them, other leaders are tried (``star_rounds`` at most); then all
-      those left are compared, so no list is cut, and only pairs known to be
-      connected are spared.
-    * Pairs whose sketches differ too much by a bitmap of 256 parities, which
-      postings carry, do not leave the lists; it refuses none that share enough.
-    * Pairs pass the estimate from the union sketch, then the exact check on
-      the full sets of hashes.
+      Hashes that occur once are dropped; sets with fewer than ``least`` left
+      leave, which are nearly all that have no near-duplicate.
+    * If a sketch's hashes are ordered from rare to frequent, all but the last
+      ``least - 1`` suffice as inverted lists: common passages, being frequent,
+      come last and lead few documents together.  Of lists of the same sets one stays.
+    * A list is dealt into groups of ``chunk`` sets or ``chunk_mb`` at most.
+      In a group, pairs pass the estimate from the sketches, then the exact
+      check on the full sets; what leaves it is a forest of the
+      connected sets, never pairs.
+    * Lists of more than one group go on between groups: sets that are already
+      connected with most of their list meet only the others.  So large groups
+      of near copies cost a pass, while a list of n sets that are similar but
+      not linked costs about (n / chunk) ** 2 groups; none is cut.
 
     Null and empty texts and texts without words: n_shingles 0, linked with
     nothing, component_id their own doc_id.  Rows without doc_id take the
@@ -182,60 +206,51 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 128, miss: floa
     node.  Other columns are not read.  An empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    sk = common.stored(texts.mapInArrow(partial(_sketches, k=k, percent=percent, miss=miss), "doc_id long, n_shingles long, least int, print binary, sketch array<long>, bits array<long>"), "sketches")
+    sk = common.stored(texts.mapInArrow(partial(_sketches, k=k, percent=percent, miss=miss), "doc_id long, n_shingles long, least int, print binary, tag long, sketch array<long>"), "sketches")
     some = sk.where("n_shingles > 0")
     copies = common.stored(some.groupBy("print").agg(F.count("*").alias("n"), F.min("doc_id").alias("id")).where("n > 1").select("print", "id"), "copies")
-    nodes = some.join(copies, "print", "left").where("doc_id is not null and (id is null or doc_id = id)").select(F.col("doc_id").alias("id"), "n_shingles", "least", "sketch", "bits")
+    nodes = some.join(copies, "print", "left").where("doc_id is not null and (id is null or doc_id = id)").select(F.col("doc_id").alias("id"), "tag", "least", "sketch")
+    nodes, node = nodes.dropDuplicates(["id", "tag"]), ["id", "tag"]
 
-    about = ["n_shingles", "least", "bits"]
-    posted = nodes.select("id", F.explode("sketch").alias("value"))
+    posted = nodes.select(*node, "least", F.explode("sketch").alias("value"))
     shared = posted.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
-    kept = posted.join(shared, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("values"))
-    room = F.size("values") - F.col("least") + 1
-    lists = kept.join(nodes.select("id", "least"), "id").where(room > 0).select("id", F.explode(F.slice("values", F.lit(1), room)).alias("v"))
-    lists = lists.select("id", F.col("v.value").alias("value"))
-    lists = common.stored(lists, "lists")
-    used = lists.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
-    lists = common.stored(lists.join(used, "value").join(nodes.select("id", *about), "id"), "lists")
-
-    taking = lists.select("id").distinct()
-    sketches = common.stored(nodes.join(taking, "id", "left_semi").select("id", "n_shingles", "sketch"), "taking-sketches")
-    sets = texts.withColumnRenamed("doc_id", "id").join(taking, "id", "left_semi").mapInArrow(_full_sets, "id long, full binary")
-    sets = common.stored(sets, "taking-sets")
-
-    check = partial(_verified, sketches=sketches, sets=sets, k=k, percent=percent, miss=miss)
-    fits, pair = _fits(k, percent), [F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")]
-    n_postings, links, parts, before, spread = lists.count(), None, None, float("inf"), lists.withColumn("part", F.col("id"))
-    for turn in range(star_rounds + 1):
-        by_part = spread.groupBy("value", "part").agg(F.count("*").cast("double").alias("n"))
-        open_ = by_part.groupBy("value").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same")).where("all * all > same")
-        open_ = common.stored(open_.select("value", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs")), f"open-{turn}")
-        left = open_.agg(F.sum("pairs")).first()[0] or 0
-        if not left:
-            break
-        spread = common.stored(spread.join(open_.select("value"), "value"), f"open-lists-{turn}")
-        last = turn == star_rounds or left <= residual * n_postings or 2 * left > before
-        before = left
-        if last:
-            others = spread.select("value", F.struct("id", *about, "part").alias("o"))
-            pairs = spread.join(others, "value").where((F.col("part") < F.col("o.part")) & fits).select(*pair)
-        else:
-            at = F.xxhash64(F.lit(turn), "part", "id")
-            head = spread.groupBy("value").agg(F.min_by(F.struct("id", *about, "part"), F.struct(at, "id")).alias("o"))
-            pairs = spread.join(head, "value").where((F.col("part") != F.col("o.part")) & fits).select(*pair)
-        found = check(pairs.where("a <> b").distinct(), name=f"round-{turn}")
-        links = found if links is None else links.union(found)
-        parts = common.components(links, f"parts-{turn}")
-        if last:
-            break
-        spread = lists.join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", *about, "value", F.coalesce("component", "id").alias("part"))
+    values = posted.join(shared.select("value"), "value").groupBy(*node).agg(F.collect_list("value").alias("values"), F.first("least").alias("least"))
+    taking = common.stored(values.where(F.size("values") >= F.col("least")), "taking")
+    posted = taking.select(*node, "least", F.explode("values").alias("value"))
+    shared = posted.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+    ordered = posted.join(shared, "value").groupBy(*node).agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("values"), F.first("least").alias("least"))
+    lists = common.stored(ordered.select(*node, F.explode(F.slice("values", F.lit(1), F.greatest(F.lit(0), F.size("values") - F.col("least") + 1))).alias("v")).select(*node, F.col("v.value").alias("value")), "lists")
+
+    sets = texts.withColumnRenamed("doc_id", "id").join(common.broadcast_if_small(taking.select("id").distinct()), "id", "left_semi").mapInArrow(_full_sets, "id long, tag long, full binary")
+    sets = common.stored(sets.dropDuplicates(node).join(taking.select(*node, "least"), node), "taking-sets")
+    size = F.octet_length("full")
+    sizes = sets.select(*node, size.alias("bytes"))
+    about = lists.join(sizes, node).groupBy("value").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor(F.xxhash64(F.lit(1), *node)).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), *node)).alias("y"))
+    about = about.where("n > 1").groupBy("n", "x", "y").agg(F.min("value").alias("value"), F.max("bytes").alias("bytes"))
+    parts = lambda n, of: F.ceil(F.greatest(n / chunk, of / (chunk_mb << 20))).cast("int")
+    about = common.stored(about.select("value", parts(F.col("n"), F.col("bytes")).alias("parts")), "list-parts")
+    dealt = lists.join(about, "value").withColumn("part", F.pmod(F.xxhash64("value", *node), F.col("parts")).cast("int"))
+    links = _connected(dealt.join(sets, node), k, percent, "links")
+    groups = common.components(links, "groups")
+
+    long_ = about.where("parts > 1").select("value")
+    if not long_.isEmpty():
+        left = lists.join(long_, "value").join(sizes, node).join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id"))
+        by_group = left.groupBy("value", "group").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+        main = by_group.groupBy("value").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("value", "main")
+        left = common.stored(left.join(main, "value").select("value", *node, "bytes", (F.col("group") == F.col("main")).alias("is_main")), "long-lists")
+        counts = left.groupBy("value").agg(*[parts(F.count_if(c), F.sum(F.when(c, F.col("bytes")).otherwise(0))).alias(n) for n, c in (("mains", F.col("is_main")), ("others", ~F.col("is_main")))])
+        left = left.join(counts, "value")
+        own = F.pmod(F.xxhash64("value", *node), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+        to = F.when(F.col("is_main"), F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct(F.lit(True).alias("m"), own.alias("i"), j.alias("j"))))
+        pair = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct(F.lit(False).alias("m"), F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+        both = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda i: F.struct(F.lit(True).alias("m"), i.alias("i"), own.alias("j")))
+        dealt = left.select("value", *node, F.explode(F.coalesce(to, F.concat(both, pair))).alias("g")).withColumn("part", F.xxhash64("g.m", "g.i", "g.j"))
+        links = links.union(_connected(dealt.join(sets, node), k, percent, "long-links"))
+        groups = common.components(links, "long-groups")
 
     out = sk.select("doc_id", "n_shingles", "print").join(copies, "print", "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.coalesce("id", "doc_id")))
-    if parts is None:
-        out = out.withColumn("component", F.lit(None).cast("long"))
-    else:
-        out = out.join(parts, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
+    out = out.join(groups, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

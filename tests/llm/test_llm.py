@@ -47,6 +47,34 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash.near_duplicates(odd(spark).limit(0)).count() == 0
 
 
+def test_near_duplicates_in_small_groups(spark, documents):
+    """Groups of two sets: lists go on between groups, and find the same."""
+    key = lambda r: (r["doc_id"], r["n_shingles"], r["component_id"], r["kept"])
+    again = documents.select("*", F.lit(1).alias("id"), F.lit(2).alias("value"), F.lit(3).alias("print"), F.lit(4).alias("component_id"))
+    want = sorted(map(key, minhash.near_duplicates(documents).collect()))
+    assert sorted(map(key, minhash.near_duplicates(again, chunk=2).collect())) == want
+    assert minhash.one_of_each(again).columns == again.columns
+
+
+def test_links_within_a_group():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 60, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 260, replace=False), rng.integers(0, 1 << 60, n).astype(np.uint64)])) for n in rng.integers(0, 90, 60)]
+    least = np.array([minhash.least_shared(len(s), 128, 75, 1e-7) for s in sets])
+    root = np.arange(len(sets))
+    for _ in sets:
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                both = len(np.intersect1d(x, y))
+                if 100 * both >= 75 * (len(x) + len(y) - both):
+                    root[i] = root[j] = min(root[i], root[j])
+        if (root[root] == root).all():
+            break
+    assert minhash.linked(sets, least, 128, 75).tolist() == root.tolist()
+
+
 def test_mixture_meets_targets(spark, documents):
     rows = mixing.mix_digest(documents).collect()
     sizes, taken, target = Counter(), Counter(), {}
