@@ -115,17 +115,36 @@ def test_gpkg_layers(spark, tmp_path):
     assert spark.read.format("gpkg").option("path", path).option("layer", "b").load().count() == 6
 
 
-def test_project_document():
+def test_project_document(spark, tmp_path):
     import io
     import zipfile
 
-    doc = '<qgis projectname="x"><title>t</title><layer-tree-group><layer-tree-group name="old"><layer-tree-layer id="1" name="n"/></layer-tree-group><layer-tree-group name="g"><layer-tree-layer id="2" name="m"/></layer-tree-group></layer-tree-group><projectlayers><maplayer><id>1</id></maplayer><maplayer><id>2</id><datasource>./a/b.gpkg</datasource><layername>m</layername></maplayer></projectlayers></qgis>'
+    doc = (
+        '<qgis projectname="x"><title>t</title><layer-tree-group><layer-tree-group name="old"><layer-tree-group name="deep"><layer-tree-layer id="1" name="m"/></layer-tree-group></layer-tree-group>'
+        '<layer-tree-group name="g"><layer-tree-layer id="2" name="m"/><layer-tree-group name="old"/></layer-tree-group></layer-tree-group>'
+        "<projectlayers><maplayer><id>1</id><datasource>./a/x.gpkg</datasource><layername>m</layername></maplayer><maplayer><id>2</id><datasource>./a/b.gpkg</datasource><layername>m</layername><title>own</title></maplayer></projectlayers></qgis>"
+    )
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("p.qgs", doc)
-    data, done = project.rewrite(out.getvalue(), "T", {"g": "G"}, "old", {"./a/": "./c/"}, {"m": "M"})
-    text = zipfile.ZipFile(io.BytesIO(data)).read("p.qgs").decode()
-    assert done == {"groups": 1, "removed": 1, "sources": 1, "labels": 2} and "./c/b.gpkg" in text and 'id="1"' not in text
+        z.writestr("p.db", b"data")
+    path = tmp_path / "p.qgz"
+    path.write_bytes(out.getvalue())
+    rules = project.Rules("T", {"g": "G"}, "old", {"./a/": "./c/"}, {"m": "M"})
+    files = spark.read.format("binaryFile").load(str(path))
+    rows = [(r["kind"], r["layer_id"], r["name"], r["group_path"], r["depth"]) for r in project.listing(files).orderBy("no").collect()]
+    assert rows == [("group", None, "old", "", 0), ("group", None, "deep", "old", 1), ("layer", "1", "m", "old/deep", 2), ("group", None, "g", "", 0), ("layer", "2", "m", "g", 1), ("group", None, "old", "g", 1)]
+    assert project.clean_file(spark, str(path), rules) == {"groups": 1, "removed": 1, "sources": 1, "labels": 2}
+    assert (tmp_path / "p.qgz.bak").read_bytes() == out.getvalue()
+    with zipfile.ZipFile(path) as z:
+        text = z.read("p.qgs").decode()
+        assert z.read("p.db") == b"data"
+    assert text.split("?>", 1)[1].strip() == (
+        '<qgis projectname="T"><title>T</title><layer-tree-group><layer-tree-group name="G"><layer-tree-layer id="2" name="M" /><layer-tree-group name="old" /></layer-tree-group></layer-tree-group>'
+        "<projectlayers><maplayer><id>2</id><datasource>./c/b.gpkg</datasource><layername>M</layername><title>own</title></maplayer></projectlayers></qgis>"
+    )
+    with pytest.raises(FileNotFoundError):
+        project.clean_file(spark, str(tmp_path / "absent.qgz"), rules)
 
 
 def test_stream_refresh(spark, tmp_path):
