@@ -164,6 +164,104 @@ def test_shards(spark, documents):
     assert sharding.shard_documents(odd(spark)).count() == 9
 
 
+def test_runs_place_as_one_by_one():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(200):
+        items, bins = [rng.randint(1, 30) for _ in range(rng.randint(1, 60))], rng.randint(1, 9)
+        capacity = max(max(items), -(-sum(items) // bins)) + rng.randint(0, 5)
+        classes, room, want = sorted(Counter(items).items()), [capacity] * bins, Counter()
+        for x in sorted(items, reverse=True):
+            fits = [(room[b], b) for b in range(bins) if room[b] >= x]
+            if not fits:
+                want = None
+                break
+            room[min(fits)[1]] -= x
+            want[x, min(fits)[1]] += 1
+        got = sharding.best_fit_decreasing(classes, capacity, bins)
+        assert (got is None) == (want is None)
+        if want is not None:
+            assert {(s, b): n for (s, _), runs in zip(classes, got) for b, n in runs} == want
+            best = sharding.pack_classes(classes, bins)
+            assert all(sum(n for _, n in runs) == count for (_, count), runs in zip(classes, best))
+
+
+def test_shards_of_odd_rows(spark):
+    rows = odd(spark).select("*", *[F.lit(k).alias(c) for k, c in enumerate(("own_shard", "sh_group", "class", "run", "g", "base", "bins", "slot"))])
+    got = sharding.with_slots(sharding.shard_documents(rows, shards=3)).collect()
+    assert len(got) == 9 and all(r["own_shard"] == 0 and r["class"] == 2 and r["sh_group"] == 1 and r["bins"] == 6 for r in got)
+    at = defaultdict(set)
+    for r in got:
+        at[r["text"]].add(r["shard"])
+    assert all(len(x) == 1 for x in at.values()) and next(iter(at[None])) in (0, 1, 2)
+    assert sharding.with_slots(sharding.shard_documents(rows.limit(0))).count() == 0
+    sizes = [1, 8191, 8192, 8193, 16383, 1 << 20, (1 << 20) + 1, (1 << 40) + 1]
+    classes = [r[0] for r in spark.createDataFrame([(x,) for x in sizes], "s long").select(sharding.size_class(F.col("s"))).collect()]
+    assert all(x <= c <= x * (1 + 1 / 4096) and c.bit_length() <= x.bit_length() + 1 for x, c in zip(sizes, classes)) and classes[:4] == [1, 8191, 8192, 8194]
+
+
+def test_clashing_columns(spark):
+    names = ["target", "of", "head", "draws", "mix_key", "mix_of", "mix_ends", "mix_size", "source_size", "ld_doc", "ld_of", "ld_mark", "window", "pos", "first"]
+    rows = odd(spark).select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    same = lambda got: all(r[c] == k for r in got for k, c in enumerate(names))
+    mixed = mixing.mix_sources(rows)
+    assert mixed.columns == [*rows.columns, "mix_shard", "mix_order"] and same(mixed.collect()) and mixed.count() == mixing.mix_sources(odd(spark)).count()
+    assert mixing.mix_digest(rows).count() == 9
+    edited = linededup.dedup_lines(rows)
+    assert edited.columns == [*rows.columns, "n_lines", "n_removed"] and edited.count() == 9 and same(edited.collect())
+    named = langid.identify(rows)
+    assert named.count() == 9 and same(named.collect())
+    packed = packing.pack_documents(rows)
+    assert packed.columns == packing.pack_documents(odd(spark)).columns
+    assert ctw.score_documents(rows).count() == 9
+
+
+def test_empty_tables(spark):
+    none = odd(spark).limit(0)
+    for f in (packing.pack_documents, linededup.dedup_lines, langid.identify, ctw.score_documents, minhash.one_of_each):
+        assert f(none).count() == 0
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert topk.top_k(vectors, vectors).count() == 0 and vecdedup.near_duplicates(vectors).count() == 0
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    odd(spark).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_equals_brute_force(spark, documents):
+    """The same rules with sets of n-grams in place of filters."""
+    import re
+
+    def grams(text):
+        t = " " + re.sub(r"[\W\d_]+", " ", text.lower()) + " "
+        t = re.sub(" +", " ", t)
+        return [t[i : i + 4] for i in range(len(t) - 3)]
+
+    rows = documents.collect()
+    learned = [r for r in rows if r["text"] is not None and r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    n, holds = Counter(r["lang"] for r in learned), defaultdict(Counter)
+    for r in learned:
+        for g in set(grams(r["text"])):
+            holds[g][r["lang"]] += 1
+    own = {}
+    for g, by in holds.items():
+        rate = {s: k / n[s] for s, k in by.items()}
+        own[g] = {s for s, x in rate.items() if x >= 0.003 and x >= 0.3 * max(rate.values())}
+    got = {r["doc_id"]: r for r in langid.identify(documents).collect()}
+    same = judged = 0
+    for r in rows:
+        hits = Counter(s for g in grams(r["text"] or "") for s in own.get(g, ()))
+        if sum(hits.values()) >= 50:
+            best, share = max(hits, key=lambda s: (hits[s], s)), max(hits.values()) / sum(hits.values())
+            judged += 1
+            same += got[r["doc_id"]]["lang_pred"] == best and abs(got[r["doc_id"]]["score"] - share) < 0.05
+    assert judged > 150 and same == judged
+
+
 def test_near_vectors_of_odd_rows(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [1.0, 0.01], 1), (4, [1.0, 0.0], 2), (5, [0.0, 0.0], 1), (6, None, 1), (7, [1.0, 0.0], None)], "vec_id long, embedding array<float>, label int")
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vecdedup.near_duplicates(v).collect()}
