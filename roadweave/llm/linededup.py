@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from . import common
 
 
+@common.tidy
 def _windows(batches, n: int) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh3_128_digest
     for batch in batches:
@@ -64,17 +65,17 @@ def dedup_lines(docs: DataFrame, n: int = 3) -> DataFrame:
     Own columns called n_lines or n_removed are replaced.  An empty table stays empty.
     """
     docs = docs.drop("n_lines", "n_removed")
-    mark, cut = common.fresh(docs, "ld_mark", "ld_cut")
+    mark, cut, of_doc, of_mark = common.fresh(docs, "ld_mark", "ld_cut", "ld_doc", "ld_of")
     marked = docs.withColumn(mark, F.xxhash64("text"))
     read = marked.where("text is not null").select("doc_id", F.col(mark).alias("mark"), F.col("text").cast("binary").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    windows = read.mapInArrow(partial(_windows, n=n), f"window binary, doc_id {kind}, mark long, pos int")
+    windows = common.stored(read.mapInArrow(partial(_windows, n=n), f"window binary, doc_id {kind}, mark long, pos int"), "windows")
     place = F.struct("doc_id", "mark", "pos")
     first = windows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("window", "first")
     later = windows.join(first, "window").where(~place.eqNullSafe(F.col("first")))
     cuts = later.groupBy("doc_id", "mark").agg(F.collect_set("pos").alias(cut))
-    cuts = cuts.select(F.col("doc_id").alias("ld_doc"), F.col("mark").alias("ld_of"), cut)
-    joined = marked.join(cuts, F.col("doc_id").eqNullSafe(F.col("ld_doc")) & (F.col(mark) == F.col("ld_of")), "left").drop("ld_doc", "ld_of", mark)
+    cuts = cuts.select(F.col("doc_id").alias(of_doc), F.col("mark").alias(of_mark), cut)
+    joined = marked.join(cuts, F.col("doc_id").eqNullSafe(F.col(of_doc)) & (F.col(mark) == F.col(of_mark)), "left").drop(of_doc, of_mark, mark)
     lines = F.split("text", "\n", -1)
     gone = F.array_distinct(F.flatten(F.transform(cut, lambda p: F.sequence(p, p + n - 1))))
     kept = _without(F.when(F.col(cut).isNotNull(), F.col("text")), gone)

@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -16,6 +16,8 @@ DIGIT_BITS, DIGITS = 10, 6
 BLOCKS = 1 << DIGIT_BITS
 #: Bits of mix_order by which a shard's rows are parted, so that no task has to hold a whole shard.
 PART_BITS = 6
+#: Sources up to which their table, of shards numbers each, is broadcast.
+MOST_SOURCES = 20_000
 
 
 def water_fill(sizes: dict, weights: dict, total: float, most: float) -> dict:
@@ -64,15 +66,27 @@ class Plan:
     cut: int
 
 
+def _per_source(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table by source; broadcast up to :data:`MOST_SOURCES` sources, beyond that Spark joins it by its size."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= MOST_SOURCES else table
+
+
 def _digit(key: Column, level: int) -> Column:
     shift = DIGIT_BITS * (DIGITS - 1 - level)
     return F.shiftrightunsigned(key, shift).bitwiseAND(F.lit(BLOCKS - 1).cast("long"))
 
 
-def _keyed(docs: DataFrame, seed: int) -> DataFrame:
+def _names(docs: DataFrame) -> dict[str, str]:
+    """Names of the columns that mixing adds on its way, none of which ``docs`` has."""
+    names = ("mix_size", "mix_key", "mix_draw", "mix_of", "mix_passes", "mix_cut", "mix_ends", "mix_place")
+    return dict(zip(names, common.fresh(docs, *names)))
+
+
+def _keyed(docs: DataFrame, seed: int, n: dict[str, str]) -> DataFrame:
     """Adds mix_size (words) and mix_key (60 bits of a hash of seed, doc_id and text)."""
     key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), 4)
-    return docs.withColumns({"mix_size": common.n_words(F.col("text")), "mix_key": key})
+    return docs.withColumns({n["mix_size"]: common.n_words(F.col("text")), n["mix_key"]: key})
 
 
 def plan_mix(keyed: DataFrame, share: float, most: float, cycle: tuple) -> list[Plan]:
@@ -98,8 +112,8 @@ def plan_mix(keyed: DataFrame, share: float, most: float, cycle: tuple) -> list[
         if not want:
             break
         shift = DIGIT_BITS * (DIGITS - level)
-        heads = spark.createDataFrame([(s, plans[s].cut >> shift) for s in want], "of string, head long")
-        inside = keyed.join(F.broadcast(heads), F.col("source").eqNullSafe(F.col("of")) & (F.shiftrightunsigned("mix_key", shift) == F.col("head")))
+        heads = _per_source(spark, [(s, plans[s].cut >> shift) for s in want], "of string, head long")
+        inside = keyed.join(heads, F.col("source").eqNullSafe(F.col("of")) & (F.shiftrightunsigned("mix_key", shift) == F.col("head")))
         found = inside.groupBy("of", _digit(F.col("mix_key"), level).alias("digit")).agg(F.sum("mix_size").alias("words"), F.count("*").alias("n"), F.min("mix_key").alias("least"), F.max("mix_key").alias("most"))
         by: dict = {}
         for r in found.collect():
@@ -122,33 +136,34 @@ def plan_mix(keyed: DataFrame, share: float, most: float, cycle: tuple) -> list[
     return [plans[s] for s in order]
 
 
-def _dealt(keyed: DataFrame, plans: list[Plan], seed: int, shards: int) -> DataFrame:
+def _dealt(keyed: DataFrame, plans: list[Plan], seed: int, shards: int, n: dict[str, str]) -> DataFrame:
     """A row for each draw that the splitting tree places: ``keyed`` with mix_draw, mix_shard and mix_order, in mixed order."""
     spark = keyed.sparkSession
     quotas = np.array([BLOCKS * p.passes + (p.cut + (1 << 50) - 1 >> 50) for p in plans], dtype=np.int64)
     per_shard = split_quotas(quotas, shards, np.random.default_rng(seed)) if len(plans) else np.zeros((shards, 0), np.int64)
     ends = np.cumsum(per_shard, axis=0)
     rows = [(p.source, p.passes, p.cut, ends[:, i].tolist()) for i, p in enumerate(plans)]
-    where = F.broadcast(spark.createDataFrame(rows, "mix_of string, mix_passes long, mix_cut long, mix_ends array<long>"))
-    joined = keyed.join(where, F.col("source").eqNullSafe(F.col("mix_of")))
-    draws = F.col("mix_passes") + (F.col("mix_key") < F.col("mix_cut")).cast("long")
-    drawn = joined.withColumn("mix_draw", F.explode(F.when(draws > 0, F.sequence(F.lit(0).cast("long"), draws - 1)).otherwise(F.array().cast("array<long>"))))
-    block = F.col("mix_draw") * BLOCKS + F.shiftrightunsigned("mix_key", DIGIT_BITS * (DIGITS - 1))
-    placed = drawn.withColumn("mix_shard", F.size(F.filter("mix_ends", lambda e: e <= block))).where(F.col("mix_shard") < shards)
-    placed = placed.withColumn("mix_order", F.xxhash64(F.lit(seed + 1), "mix_key", "mix_draw"))
-    placed = placed.drop("mix_of", "mix_passes", "mix_cut", "mix_ends")
+    where = _per_source(spark, rows, f"{n['mix_of']} string, {n['mix_passes']} long, {n['mix_cut']} long, {n['mix_ends']} array<long>")
+    joined = keyed.join(where, F.col("source").eqNullSafe(F.col(n["mix_of"])))
+    draws = F.col(n["mix_passes"]) + (F.col(n["mix_key"]) < F.col(n["mix_cut"])).cast("long")
+    drawn = joined.withColumn(n["mix_draw"], F.explode(F.when(draws > 0, F.sequence(F.lit(0).cast("long"), draws - 1)).otherwise(F.array().cast("array<long>"))))
+    block = F.col(n["mix_draw"]) * BLOCKS + F.shiftrightunsigned(n["mix_key"], DIGIT_BITS * (DIGITS - 1))
+    placed = drawn.withColumn("mix_shard", F.size(F.filter(n["mix_ends"], lambda e: e <= block))).where(F.col("mix_shard") < shards)
+    placed = placed.withColumn("mix_order", F.xxhash64(F.lit(seed + 1), n["mix_key"], n["mix_draw"]))
+    placed = placed.drop(*[n[c] for c in ("mix_of", "mix_passes", "mix_cut", "mix_ends")])
     return placed.repartition("mix_shard", F.shiftright("mix_order", 64 - PART_BITS)).sortWithinPartitions("mix_shard", "mix_order")
 
 
 def mix_digest(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tuple = (3, 1, 2), seed: int = 17, shards: int = 64) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, draws, counted from the draws as dealt; see :func:`mix_sources`."""
-    keyed = common.stored(_keyed(docs.select("doc_id", "text", "source"), seed).drop("text"), "mix-keys")
+    docs = docs.select("doc_id", "text", "source")
+    keyed = common.stored(_keyed(docs, seed, n := _names(docs)).drop("text"), "mix-keys")
     plans = plan_mix(keyed.select("source", "mix_size", "mix_key"), share, most, cycle)
-    dealt = common.stored(_dealt(keyed, plans, seed, shards).select("doc_id", "source", "mix_key", "mix_draw", "mix_shard", "mix_order"), "mix-dealt")
+    dealt = common.stored(_dealt(keyed, plans, seed, shards, n).select("doc_id", "source", "mix_key", "mix_draw", "mix_shard", "mix_order"), "mix-dealt")
     # Rows with equal doc_id and text share their draws: each draw counts once for each of them.
     drawn = dealt.groupBy(F.col("doc_id").alias("mix_doc"), F.col("source").alias("mix_from"), F.col("mix_key").alias("mix_at")).agg(F.count_distinct("mix_draw").alias("found"))
     rows = keyed.join(drawn, (F.col("mix_key") == F.col("mix_at")) & F.col("doc_id").eqNullSafe(F.col("mix_doc")) & F.col("source").eqNullSafe(F.col("mix_from")), "left")
-    of = F.broadcast(docs.sparkSession.createDataFrame([(p.source, p.size, p.target) for p in plans], "mix_source string, source_size long, target double"))
+    of = _per_source(docs.sparkSession, [(p.source, p.size, p.target) for p in plans], "mix_source string, source_size long, target double")
     rows = rows.withColumn("draws", F.coalesce("found", F.lit(0)).cast("long")).join(of, F.col("source").eqNullSafe(F.col("mix_source")), "left")
     return rows.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("draws")).alias("taken"), "draws")
 
@@ -171,8 +186,9 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: t
     Null or empty texts have size 0, and are drawn with their block.  Rows with
     equal doc_id and text share a key: they are drawn alike.  A null source is
     a source of its own.  An empty table gives an empty mix.  Own columns are
-    kept; ones named like the added ones (mix_*, source_size, target) are an error of the caller.
+    kept, but for ones named mix_shard or mix_order, which are replaced.
     """
-    keyed = _keyed(docs, seed)
-    plans = plan_mix(common.stored(keyed.select("source", "mix_size", "mix_key"), "mix-keys"), share, most, cycle)
-    return _dealt(keyed, plans, seed, shards).select(*docs.columns, "mix_shard", "mix_order")
+    docs = docs.drop("mix_shard", "mix_order")
+    keyed = _keyed(docs, seed, n := _names(docs))
+    plans = plan_mix(common.stored(keyed.select("source", F.col(n["mix_size"]).alias("mix_size"), F.col(n["mix_key"]).alias("mix_key")), "mix-keys"), share, most, cycle)
+    return _dealt(keyed, plans, seed, shards, n).select(*docs.columns, "mix_shard", "mix_order")
