@@ -94,41 +94,3 @@ def edge_meets_box(a: Column, b: Column, xmin: float, ymin: float, xmax: float,
         low, high = F.greatest(low, F.least(t, u)), F.least(high, F.greatest(t, u))
         inside = inside & ((d != 0) | a[axis].between(float(lo), float(hi)))
     return inside & (low <= high)
-
-
-def near_interval(p: Column, q: Column, a: Column, b: Column, r: float) -> Column:
-    """STRUCT<t0, t1> of the part of edge ``p q`` within ``r`` of edge ``a b``, as parameters of ``p q``; null if none.
-
-    The set within ``r`` of an edge is convex: two discs and a slab.  Each
-    gives an interval on the line of ``p q``; theirs spans the whole.
-    """
-    interval = lambda lo, hi: F.struct(lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
-    dx, dy = q["x"] - p["x"], q["y"] - p["y"]
-    ux, uy = b["x"] - a["x"], b["y"] - a["y"]
-    wx, wy = p["x"] - a["x"], p["y"] - a["y"]
-
-    def disc(c: Column) -> Column:
-        ex, ey = p["x"] - c["x"], p["y"] - c["y"]
-        parts = F.struct((ex * dx + ey * dy).alias("half"), (dx * dx + dy * dy).alias("square"), (ex * ex + ey * ey - r * r).alias("rest"))
-
-        def cut(v: Column) -> Column:
-            root = let(v["half"] * v["half"] - v["square"] * v["rest"], lambda x: F.when(x >= 0, F.sqrt(x)))
-            return let(root, lambda s: interval(F.try_divide(-v["half"] - s, v["square"]), F.try_divide(-v["half"] + s, v["square"])))
-
-        return let(parts, cut)
-
-    def between(value: Column, slope: Column, lo: Column, hi: Column) -> Column:
-        inside = F.when(value.between(lo, hi), interval(F.lit(float("-inf")), F.lit(float("inf"))))
-        return F.when(slope == 0, inside).otherwise(let(F.struct(((lo - value) / F.nullif(slope, F.lit(0.0))).alias("t"), ((hi - value) / F.nullif(slope, F.lit(0.0))).alias("u")), lambda v: interval(F.least(v["t"], v["u"]), F.greatest(v["t"], v["u"]))))
-
-    terms = F.struct((wx * ux + wy * uy).alias("along"), (dx * ux + dy * uy).alias("along_by"), (ux * wy - uy * wx).alias("across"), (ux * dy - uy * dx).alias("across_by"), (ux * ux + uy * uy).alias("square"))
-
-    def slab(v: Column) -> Column:
-        both = F.struct(between(v["along"], v["along_by"], F.lit(0.0), v["square"]).alias("a"), between(v["across"], v["across_by"], -r * F.sqrt(v["square"]), r * F.sqrt(v["square"])).alias("b"))
-        meet = lambda w: interval(F.when(w["a"].isNotNull() & w["b"].isNotNull(), F.greatest(w["a"]["lo"], w["b"]["lo"])), F.when(w["a"].isNotNull() & w["b"].isNotNull(), F.least(w["a"]["hi"], w["b"]["hi"])))
-        return F.when(v["square"] > 0, let(let(both, meet), lambda w: F.when(w["lo"] <= w["hi"], w)))
-
-    three = F.struct(disc(a).alias("a"), disc(b).alias("b"), let(terms, slab).alias("s"))
-    whole = let(three, lambda v: interval(F.least(v["a"]["lo"], v["b"]["lo"], v["s"]["lo"]), F.greatest(v["a"]["hi"], v["b"]["hi"], v["s"]["hi"])))
-    kept = let(whole, lambda v: F.struct(F.greatest(v["lo"], F.lit(0.0)).alias("t0"), F.when(v["lo"].isNotNull(), F.least(v["hi"], F.lit(1.0))).alias("t1")))
-    return let(kept, lambda v: F.when(v["t0"] < v["t1"], v))

@@ -7,7 +7,9 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import codec, geometry as geo
 from ..functions.rounding import half_even
+from . import compare, series
 from .scratch import cut
 from .spatial import nearest_points
 
@@ -51,6 +53,27 @@ def complete_by_neighbours(df: DataFrame, digits: dict[str, int], missing: str =
     return rest.unionByName(filled.select(*df.columns))
 
 
+def features(df: DataFrame, families: dict[str, list[str]], single: str, kind: str, kinds: list[str], line: str) -> DataFrame:
+    """``df`` with the forests' predictors: known flows filled, the road class one-hot, the centroid.
+
+    A missing value of a family becomes the mean of the row's known ones, else
+    the median of all known values of the family; that of ``single`` its
+    median.  ``kinds`` ends with the class that stands for all others.
+    Columns route_K, x_centroide and y_centroide are added.
+    """
+    long = None
+    for name, columns in (families | {single: [single]}).items():
+        values = df.select(F.lit(name).alias("_of"), F.explode(F.array(*[F.col(c).cast("double") for c in columns])).alias("_value"))
+        long = values if long is None else long.unionByName(values)
+    middle = compare.percentiles(long, "_of", "_value", {"median": 0.5})
+    middle = middle.agg(*[F.max(F.when(F.col("_of") == n, F.col("median"))).alias(f"_median_{n}") for n in [*families, single]])
+    rows = df.crossJoin(F.broadcast(middle))
+    filled = {c: series.row_fallback(F.col(c), F.array(*[F.col(x) for x in columns]), F.col(f"_median_{n}")) for n, columns in families.items() for c in columns}
+    filled |= {single: F.coalesce(single, f"_median_{single}")} | {k: v for k, v in codec.one_hot(F.col(kind), kinds).items()}
+    rows = rows.withColumn("_c", geo.centroid(F.col(line))).withColumns(filled | {"x_centroide": F.col("_c.x"), "y_centroide": F.col("_c.y")})
+    return rows.drop("_c", *[f"_median_{n}" for n in [*families, single]])
+
+
 def _forest(features: list[str], target: str, trees: int, seed: int) -> tuple[VectorAssembler, RandomForestRegressor]:
     return VectorAssembler(inputCols=features, outputCol="_f"), RandomForestRegressor(featuresCol="_f", labelCol=target, predictionCol="_p", numTrees=trees, seed=seed, maxDepth=10)
 

@@ -31,7 +31,7 @@ def aggregate_methods(segs: DataFrame, key: str = "ID_ARC", order: str = "ord",
 
     ``segs``: key, djma_val, cam_val, longueur_m, des_clasf, and ``order``,
     which makes ranks among equal values definite.  m1 plain mean, m2 mean
-    by length, m3 by class weight, m4 the segment at the 80th
+    by length, m3 by class weight (plain, if the weights add up to 0), m4 the segment at the 80th
     percentile by nearest rank.  m1, m3 and m4 take counts cut to integers, m2
     as they are.  Truck shares: m1 and m3 over all known ones, m2 over those of
     segments with a count, m4 that of the ranked segment.  Arcs without counts
@@ -58,8 +58,9 @@ def aggregate_methods(segs: DataFrame, key: str = "ID_ARC", order: str = "ord",
         count = whole(_ratio(total(F.col("djma_val") * F.col("longueur_m")), F.nullif(weight, F.lit(0).cast("decimal(18,6)"))))
         out += columns(2, count, _ratio(total(truck * F.col("longueur_m"), both), F.nullif(total(F.col("longueur_m"), both), F.lit(0).cast("decimal(18,6)"))), F.when(weight != 0, F.count("djma_val")).otherwise(0))
     if 3 in which:
-        count = whole(_ratio(F.sum(F.col("v") * F.col("w")), F.sum(F.when(has, F.col("w")))))
-        out += columns(3, count, _ratio(total(truck * F.col("w")), F.sum(F.when(truck.isNotNull(), F.col("w")))), F.count("v"))
+        count = whole(F.coalesce(_ratio(F.sum(F.col("v") * F.col("w")), F.nullif(F.sum(F.when(has, F.col("w"))), F.lit(0))), _ratio(F.sum("v"), F.count("v"))))
+        percent = _ratio(total(truck * F.col("w")), F.nullif(F.sum(F.when(truck.isNotNull(), F.col("w"))), F.lit(0)))
+        out += columns(3, count, F.coalesce(percent, _ratio(total(truck), F.count(truck))), F.count("v"))
     if 4 in which:
         at = has & (F.col("rank") == nearest_rank(F.col("known")))
         out += columns(4, F.max(F.when(at, F.col("v"))), F.max(F.when(at, truck)), F.count("v"))
@@ -85,7 +86,8 @@ def list_methods(arcs: DataFrame, values: str = "ids_segs_djma_val", trucks: str
     rows = arcs.withColumns({"_v": plain, "_c": shares, "_p": pairs, "_w": by_class, "_x": shares_by_class})
     total = lambda a, f=lambda x: x: F.aggregate(a, F.lit(0).cast("decimal(38,6)"), lambda s, x: (s + f(x).cast("decimal(18,6)")).cast("decimal(38,6)"))
     mean = lambda a: _ratio(total(F.col(a)), F.nullif(F.size(a), F.lit(0)))
-    weighted = lambda a: _ratio(total(F.col(a), lambda r: r["value"] * r["weight"]), F.nullif(total(F.col(a), lambda r: r["weight"].cast("double")), F.lit(0).cast("decimal(38,6)")))
+    by_weight = lambda a: _ratio(total(F.col(a), lambda r: r["value"] * r["weight"]), F.nullif(total(F.col(a), lambda r: r["weight"].cast("double")), F.lit(0).cast("decimal(38,6)")))
+    weighted = lambda a: F.coalesce(by_weight(a), _ratio(total(F.col(a), lambda r: r["value"]), F.nullif(F.size(a), F.lit(0))))
     ranked = F.array_sort(F.transform("_p", lambda r: F.struct(r["value"].alias("value"), r["pos"].alias("pos"), r["paired"].alias("paired"))))
     at = F.try_element_at(ranked, nearest_rank(F.size("_p")))
 

@@ -18,44 +18,59 @@ def _places(series: Column) -> Column:
     return F.filter(F.transform(series, lambda v, i: F.when(v.isNotNull(), i + 1)), lambda i: i.isNotNull())
 
 
-def interpolate(series: Column) -> Column:
-    """Interior gaps filled on the straight line between their known neighbours; edges stay null."""
-    places = _places(series)
+def interpolate(series: Column, places: Column | None = None) -> Column:
+    """Interior gaps filled on the straight line between their known neighbours; edges stay null.
+
+    ``places``: those of the known slots, as a column if they are at hand.
+    """
+    places = _places(series) if places is None else places
 
     def fill(v: Column, i: Column) -> Column:
-        before = F.array_max(F.filter(places, lambda p: p <= i))
-        after = F.array_min(F.filter(places, lambda p: p > i))
-        a, b = F.try_element_at(series, before), F.try_element_at(series, after)
-        return F.coalesce(v, a + (b - a) * ((i + 1 - before) / (after - before)))
+        around = F.struct(F.array_max(F.filter(places, lambda p: p <= i)).alias("p"), F.array_min(F.filter(places, lambda p: p > i)).alias("q"))
+
+        def between(n: Column) -> Column:
+            a, b = F.try_element_at(series, n["p"]), F.try_element_at(series, n["q"])
+            return a + (b - a) * ((i + 1 - n["p"]) / (n["q"] - n["p"]))
+
+        return F.when(v.isNotNull(), v).otherwise(F.get(F.transform(F.array(around), between), F.lit(0)))
 
     return F.transform(series, fill)
 
 
-def extrapolate(series: Column, window: int = WINDOW) -> Column:
+def with_interpolated(df: DataFrame, series: str, out: str) -> DataFrame:
+    """``df`` with ``series`` interpolated as ``out``; the known places are a column on the way, so that they are found once a row."""
+    done = df.withColumn("_places", _places(F.col(series)))
+    return done.withColumn(out, interpolate(F.col(series), F.col("_places"))).drop("_places")
+
+
+def with_extrapolated(df: DataFrame, series: str, out: str, window: int = WINDOW) -> DataFrame:
     """Edges filled from the regression line of the ``window`` slots next to each, not below 0; a single value fills all.
 
     ``series`` must have no interior gaps, so these slots are consecutive and
     the least-squares line has a closed form: the mean of the slots, and for up
-    to three of them the slope from first to last.
+    to three of them the slope from first to last.  The terms of both lines
+    are columns on the way.
     """
     if window > 3:
         raise ValueError("the closed form holds for windows of up to three slots")
-    places = _places(series)
-    first, last = F.array_min(places), F.array_max(places)
-    w = F.least(F.lit(window), last - first + 1)
-    at = lambda i: F.try_element_at(series, i)
-
-    def line(start: Column, x: Column) -> Column:
-        values = F.slice(series, F.greatest(start, F.lit(1)), F.greatest(w, F.lit(1)))
-        mean = F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / w
-        slope = F.try_divide(at(start + w - 1) - at(start), (w - 1).cast("double"))
-        return F.greatest(mean + slope * (x - (start + (w - 1) / 2)), F.lit(0.0))
-
-    def fill(v: Column, i: Column) -> Column:
-        x = i + 1
-        return F.when(x < first, F.when(w == 1, at(first)).otherwise(line(first, x))).when(x > last, F.when(w == 1, at(first)).otherwise(line(last - w + 1, x))).otherwise(v)
-
-    return F.when(F.size(places) > 0, F.transform(series, fill)).otherwise(series)
+    s, at = F.col(series), lambda i: F.try_element_at(F.col(series), i)
+    done = df.withColumn("_places", _places(s))
+    done = done.withColumns({"_first": F.array_min("_places"), "_last": F.array_max("_places")})
+    done = done.withColumn("_w", F.least(F.lit(window), F.col("_last") - F.col("_first") + 1))
+    done = done.withColumns({"_from0": F.col("_first"), "_from1": F.col("_last") - F.col("_w") + 1})
+    terms = {}
+    for k in "01":
+        start = F.col(f"_from{k}")
+        values = F.slice(s, F.greatest(start, F.lit(1)), F.greatest("_w", F.lit(1)))
+        terms[f"_mean{k}"] = F.aggregate(values, F.lit(0.0), lambda t, v: t + v) / F.col("_w")
+        terms[f"_slope{k}"] = F.coalesce(F.try_divide(at(start + F.col("_w") - 1) - at(start), (F.col("_w") - 1).cast("double")), F.lit(0.0))
+        terms[f"_mid{k}"] = start + (F.col("_w") - 1) / 2
+    done = done.withColumns(terms)
+    line = lambda k, i: F.greatest(F.col(f"_mean{k}") + F.col(f"_slope{k}") * (i + 1 - F.col(f"_mid{k}")), F.lit(0.0))
+    single = F.when(F.col("_w") == 1, F.col("_mean0"))
+    fill = lambda v, i: F.when(i + 1 < F.col("_first"), F.coalesce(single, line("0", i))).when(i + 1 > F.col("_last"), F.coalesce(single, line("1", i))).otherwise(v)
+    done = done.withColumn(out, F.when(F.col("_first").isNotNull(), F.transform(s, fill)).otherwise(s))
+    return done.drop("_places", "_first", "_last", "_w", "_from0", "_from1", *terms)
 
 
 def label(series: Column) -> Column:
@@ -68,7 +83,7 @@ def label(series: Column) -> Column:
 def complete(df: DataFrame, series: str, out: str | None = None) -> DataFrame:
     """``series`` interpolated, then extrapolated, in place or as ``out``.  Row by row: nothing is shuffled."""
     out = out or series
-    return df.withColumn(out, interpolate(F.col(series))).withColumn(out, extrapolate(F.col(out)))
+    return with_extrapolated(with_interpolated(df, series, out), out, out)
 
 
 def complete_counts(df: DataFrame, djma: str = "djma", cam: str = "cam") -> DataFrame:

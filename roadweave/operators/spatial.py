@@ -18,66 +18,83 @@ from .scratch import cut
 DISTANCE_M, ANGLE_DEG, NODES_M, CLIP_M, SEARCH_M = 400.0, 45.0, 3000.0, 2000.0, 1500.0
 
 
-def _cells(lo: Column, hi: Column, size: float) -> Column:
-    return F.explode(F.sequence(F.floor(lo / size).cast("long"), F.floor(hi / size).cast("long")))
-
-
 def _edge_rows(lines: DataFrame, id_: str, grow: float, size: float, key: str) -> DataFrame:
-    """A row for each edge and each cell its box, grown by ``grow``, meets; with the box and its first cell."""
-    e = lines.select(F.col(id_).alias(key), F.posexplode(geo.edges(F.col("line"))).alias(f"{key}_no", "e"))
-    a, b = F.col("e.a"), F.col("e.b")
-    ends = {f"{key}_{c}{n}": f(a[c], b[c]) + s for c in "xy" for n, f, s in (("0", F.least, -grow), ("1", F.greatest, grow))}
-    e = e.select(key, f"{key}_no", a.alias(f"{key}_a"), b.alias(f"{key}_b"), *[v.alias(k) for k, v in ends.items()])
-    for c in "xy":
-        e = e.withColumn(f"{key}_c{c}", F.floor(F.col(f"{key}_{c}0") / size).cast("long")).withColumn(f"c{c}", _cells(F.col(f"{key}_{c}0"), F.col(f"{key}_{c}1"), size))
-    return e
-
-
-def near_edges(left: DataFrame, right: DataFrame, radius: float, left_id: str = "id", right_id: str = "id", cell: float | None = None) -> DataFrame:
-    """Pairs of edges (l, l_no, l_a, l_b, r, r_no, r_a, r_b) whose boxes are within ``radius``, each pair once.
+    """A row for each edge and each cell it passes when grown by ``grow``: key, no, its ends, cx, cy, and the first cy it has in that column.
 
-    Two edges may share many cells; they meet in the first cell both have.
+    An edge is walked column by column, so it takes cells in proportion to its length.
+    """
+    n = {c: f"{key}_{c}" for c in ("no", "ax", "ay", "bx", "by", "cy0")}
+    e = lines.select(F.col(id_).alias(key), F.posexplode(geo.edges(F.col("line"))).alias(n["no"], "e"))
+    e = e.select(key, n["no"], *[F.col(f"e.{p}.{c}").alias(n[p + c]) for p in "ab" for c in "xy"])
+    ax, ay, bx, by = (F.col(n[c]) for c in ("ax", "ay", "bx", "by"))
+    cell = lambda v: F.floor(v / size).cast("long")
+    e = e.withColumn("cx", F.explode(F.sequence(cell(F.least(ax, bx) - grow), cell(F.greatest(ax, bx) + grow))))
+    place = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(x - ax, bx - ax), F.lit(0.0))))
+    e = e.withColumns({"t0": place(F.col("cx") * size - grow), "t1": F.when(ax == bx, F.lit(1.0)).otherwise(place((F.col("cx") + 1) * size + grow))})
+    e = e.withColumns({"y0": ay + F.col("t0") * (by - ay), "y1": ay + F.col("t1") * (by - ay)})
+    e = e.withColumn(n["cy0"], cell(F.least("y0", "y1") - grow)).withColumn("cy", F.explode(F.sequence(F.col(n["cy0"]), cell(F.greatest("y0", "y1") + grow))))
+    return e.drop("t0", "t1", "y0", "y1")
+
+
+def near_edges(left: DataFrame, right: DataFrame, radius: float, left_id: str = "id", right_id: str = "id", cell: float | None = None, others: bool = False) -> DataFrame:
+    """Pairs of edges whose boxes are within ``radius``: l, l_no, l_ax .. l_by, r, r_no, r_ax .. r_by.
+
+    Two edges meet once in each column of cells they share.  With ``others`` lines don't meet their own id.
     """
     size = float(cell or max(radius, 1e-9))
     both = _edge_rows(left, left_id, radius, size, "l").join(_edge_rows(right, right_id, 0.0, size, "r"), ["cx", "cy"])
+    both = both.where(F.col("cy") == F.greatest("l_cy0", "r_cy0"))
     for c in "xy":
-        both = both.where((F.col(f"c{c}") == F.greatest(f"l_c{c}", f"r_c{c}")) & (F.col(f"l_{c}0") <= F.col(f"r_{c}1")) & (F.col(f"r_{c}0") <= F.col(f"l_{c}1")))
-    return both.select("l", "l_no", "l_a", "l_b", "r", "r_no", "r_a", "r_b")
+        a, b, u, v = (F.col(f"{side}_{p}{c}") for side in "lr" for p in "ab")
+        both = both.where((F.least(a, b) - radius <= F.greatest(u, v)) & (F.least(u, v) <= F.greatest(a, b) + radius))
+    if others:
+        both = both.where("l <> r")
+    return both.drop("cx", "cy", "l_cy0", "r_cy0")
 
 
 def _with_distance(near: DataFrame) -> DataFrame:
-    """``near`` plus d, the distance of its edges, as :func:`geometry.edge_edge`; step by step, so that shared terms stay columns and plans small."""
+    """``near`` plus d, the distance of its edges: 0 if they cross, else the least of end to edge.
+
+    Step by step, so that shared terms stay columns and plans small.
+    """
     ends = {"p": "l_a", "q": "l_b", "u": "r_a", "v": "r_b"}
-    out = near.select("l", "r", *[F.col(c)[axis].alias(k + axis) for k, c in ends.items() for axis in "xy"])
-    out = out.withColumns({f"{k}{axis}": F.col(b + axis) - F.col(a + axis) for k, a, b in (("e", "p", "q"), ("f", "u", "v")) for axis in "xy"})
+    at = lambda k, axis: F.col(ends[k] + axis)
+    out = near.withColumns({f"{k}{axis}": at(b, axis) - at(a, axis) for k, a, b in (("e", "p", "q"), ("f", "u", "v")) for axis in "xy"})
     out = out.withColumns({"ee": F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey"), "ff": F.col("fx") * F.col("fx") + F.col("fy") * F.col("fy")})
+    ways = (("p", "u", "f", "ff"), ("q", "u", "f", "ff"), ("u", "p", "e", "ee"), ("v", "p", "e", "ee"))
     turns, places = {}, {}
-    for point, at, way, square in (("p", "u", "f", "ff"), ("q", "u", "f", "ff"), ("u", "p", "e", "ee"), ("v", "p", "e", "ee")):
-        dx, dy = F.col(point + "x") - F.col(at + "x"), F.col(point + "y") - F.col(at + "y")
+    for point, start, way, square in ways:
+        dx, dy = at(point, "x") - at(start, "x"), at(point, "y") - at(start, "y")
         turns[f"turn_{point}"] = F.signum(F.col(way + "x") * dy - F.col(way + "y") * dx)
         places[f"t_{point}"] = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.col(square) > 0, (dx * F.col(way + "x") + dy * F.col(way + "y")) / F.col(square)).otherwise(0.0)))
     out = out.withColumns(turns | places)
-    gaps = {f"{axis}_{point}": F.col(at + axis) + F.col(f"t_{point}") * F.col(way + axis) - F.col(point + axis) for point, at, way in (("p", "u", "f"), ("q", "u", "f"), ("u", "p", "e"), ("v", "p", "e")) for axis in "xy"}
+    gaps = {f"{axis}_{point}": at(start, axis) + F.col(f"t_{point}") * F.col(way + axis) - at(point, axis) for point, start, way, _ in ways for axis in "xy"}
     out = out.withColumns(gaps)
     least = F.least(*[F.col(f"x_{k}") * F.col(f"x_{k}") + F.col(f"y_{k}") * F.col(f"y_{k}") for k in ends])
     cross = (F.col("turn_p") * F.col("turn_q") < 0) & (F.col("turn_u") * F.col("turn_v") < 0)
-    return out.select("l", "r", F.when(cross, 0.0).otherwise(F.sqrt(least)).alias("d"))
+    return out.select(*near.columns, F.when(cross, 0.0).otherwise(F.sqrt(least)).alias("d"))
+
+
+def _only(df: DataFrame, condition: Column, *names: str) -> DataFrame:
+    """Rows that meet the condition.  Exploding keeps it where it is: a filter would be pushed below and compute its terms anew, all in one."""
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.explode(F.when(condition, F.array(F.struct(*names)))).alias("_kept")).select(*rest, *[F.col(f"_kept.{c}").alias(c) for c in names])
 
 
-def pairs_within(left: DataFrame, right: DataFrame, radius: float, left_id: str = "id", right_id: str = "id", cell: float | None = None) -> DataFrame:
+def pairs_within(left: DataFrame, right: DataFrame, radius: float, left_id: str = "id", right_id: str = "id", cell: float | None = None, others: bool = False) -> DataFrame:
     """(l, r, distance) of all pairs of lines at most ``radius`` apart."""
-    near = _with_distance(near_edges(left, right, radius, left_id, right_id, cell))
+    near = _with_distance(near_edges(left, right, radius, left_id, right_id, cell, others))
     return near.groupBy("l", "r").agg(F.min("d").alias("distance")).where(F.col("distance") <= radius)
 
 
-def nearest_lines(targets: DataFrame, sources: DataFrame, radius: float, target_id: str = "id", source_id: str = "id", rounds: int = 40) -> DataFrame:
+def nearest_lines(targets: DataFrame, sources: DataFrame, radius: float, target_id: str = "id", source_id: str = "id", rounds: int = 40, cell: float | None = None, others: bool = False) -> DataFrame:
     """(target, donor, distance): the source line nearest to each target, the smallest id of equals.
 
     Searches within ``radius``, then, for targets that found none, within twice that, and so on; without sources no rows.
     """
     out, left, empty = None, targets.select(F.col(target_id).alias("id"), "line"), sources.isEmpty()
     for _ in range(rounds):
-        found = pairs_within(left, sources, radius, "id", source_id).groupBy(F.col("l").alias("target")).agg(F.min(F.struct("distance", F.col("r").alias("donor"))).alias("best"))
+        found = pairs_within(left, sources, radius, "id", source_id, cell and max(cell, radius), others).groupBy(F.col("l").alias("target")).agg(F.min(F.struct("distance", F.col("r").alias("donor"))).alias("best"))
         found = cut(found.select("target", "best.donor", "best.distance"))
         out = found if out is None else out.unionByName(found)
         left = cut(left.join(found, left["id"] == found["target"], "left_anti"))
@@ -87,12 +104,14 @@ def nearest_lines(targets: DataFrame, sources: DataFrame, radius: float, target_
     raise RuntimeError("targets lie farther from any source than the last radius")
 
 
-def nearest_points(targets: DataFrame, sources: DataFrame, k: int, cell: float | None = None) -> DataFrame:
+def nearest_points(targets: DataFrame, sources: DataFrame, k: int, cell: float | None = None, others: bool = False) -> DataFrame:
     """(target, source, distance, rank): the ``k`` nearest sources of each target, by (distance, id); fewer if there are fewer.
 
     Both are (id, x, y).  Targets look up the cells of a ring around their own;
-    a target is done when its k-th distance is within the ring's reach, the others go on with
-    twice the ring.  By default a cell holds about ``k`` sources.
+    a target is done when its k-th distance is within the ring's reach.  Those
+    that found k but farther go on with the ring that this distance needs,
+    which is their last; the others with four times the ring.  By default a
+    cell holds about ``k / 2`` sources.  With ``others`` a target's own id is no source of it.
     """
     box = sources.agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]).first()
     area = targets.agg(*[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]).first()
@@ -101,63 +120,108 @@ def nearest_points(targets: DataFrame, sources: DataFrame, k: int, cell: float |
         return targets.sparkSession.createDataFrame([], schema)
     spans = [max(box[f"hi_{c}"], area[f"hi_{c}"]) - min(box[f"lo_{c}"], area[f"lo_{c}"]) for c in "xy"]
     own = max(1e-12, (box["hi_x"] - box["lo_x"]) * (box["hi_y"] - box["lo_y"]))
-    size = float(cell or max(math.sqrt(own * k / box["n"]), max(spans) / 1e6, 1e-9))
+    size = float(cell or max(math.sqrt(own * max(1.0, k / 2) / box["n"]), max(spans) / 1e6, 1e-9))
     rings = int(max(spans) // size) + 2
     at = lambda c: F.floor(F.col(c) / size).cast("long")
     there = sources.select(F.col("id").alias("source"), F.col("x").alias("sx"), F.col("y").alias("sy"), at("x").alias("cx"), at("y").alias("cy"))
-    left, out, ring = targets.select(F.col("id").alias("target"), "x", "y"), None, 1
+    left, out, widest = targets.select(F.col("id").alias("target"), "x", "y", F.lit(1).cast("long").alias("ring")), None, 1
     while True:
-        last = ring >= rings
-        around = left.withColumn("cx", F.explode(F.sequence(at("x") - ring, at("x") + ring))).withColumn("cy", F.explode(F.sequence(at("y") - ring, at("y") + ring)))
-        pairs = around.join(there, ["cx", "cy"]).withColumn("distance", F.sqrt((F.col("sx") - F.col("x")) * (F.col("sx") - F.col("x")) + (F.col("sy") - F.col("y")) * (F.col("sy") - F.col("y"))))
+        around = left
+        for c, v in (("cx", "x"), ("cy", "y")):
+            around = around.withColumn(c, F.explode(F.sequence(at(v) - F.col("ring"), at(v) + F.col("ring"))))
+        pairs = around.join(there, ["cx", "cy"]).where("target <> source") if others else around.join(there, ["cx", "cy"])
+        pairs = pairs.withColumn("distance", F.sqrt((F.col("sx") - F.col("x")) * (F.col("sx") - F.col("x")) + (F.col("sy") - F.col("y")) * (F.col("sy") - F.col("y"))))
         rank = F.row_number().over(Window.partitionBy("target").orderBy("distance", "source"))
-        best = cut(pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("target", "source", "distance", "rank"))
-        if not last:
-            done = best.where((F.col("rank") == k) & (F.col("distance") <= ring * size)).select("target")
-            left = cut(left.join(done, "target", "left_anti"))
-            best = best.join(done, "target", "left_semi")
-        out = best if out is None else out.unionByName(best)
-        if last or left.isEmpty():
+        best = cut(pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("target", "source", "distance", "rank", "ring"))
+        reached = best.where(F.col("rank") == k).select("target", F.col("distance").alias("kth"), (F.col("distance") <= F.col("ring") * size).alias("done"))
+        ask = left.join(reached, "target", "left").where("not coalesce(done, false)")
+        need = F.least(F.lit(rings), F.ceil(F.col("kth") / size))
+        ask = cut(ask.select("target", "x", "y", "ring", F.coalesce(need, F.least(F.lit(rings), 4 * F.col("ring"))).cast("long").alias("next")).where("ring < next"))
+        final = best.join(ask.select("target"), "target", "left_anti").select("target", "source", "distance", "rank")
+        out = final if out is None else out.unionByName(final)
+        if ask.isEmpty():
             return out
-        ring *= 2
+        left = ask.select("target", "x", "y", F.col("next").alias("ring"))
 
 
-def local_angle(line: Column, p: Column) -> Column:
-    """Direction of the line's edge nearest to ``p``; of equals the first."""
-    ranked = F.transform(geo.edges(line), lambda e, i: F.struct(geo.point_edge(p, e["a"], e["b"]).alias("d"), i.alias("no"), geo.direction(e["a"], e["b"]).alias("angle")))
-    return F.array_min(ranked)["angle"]
+def along_trace(near: DataFrame, traces: DataFrame, segments: DataFrame, most: float = ANGLE_DEG) -> DataFrame:
+    """The pairs (l, r, ..) of ``near`` whose segment runs along the trace where the trace is nearest to the segment's centroid.
 
-
-def aligned(segment: Column, trace: Column, most: float = ANGLE_DEG) -> Column:
-    """Whether a segment runs along the trace where the trace is nearest to its centroid."""
-    return geo.let(geo.centroid(segment), lambda c: geo.angle_between(geo.line_angle(segment), local_angle(trace, c))) <= most
-
-
-def off_nodes(segment: Column, a: Column, b: Column, reach: float = NODES_M) -> Column:
-    """Whether a segment's centroid keeps off both ends; always, if these are less than twice the reach apart."""
-    return (geo.span(a, b) < 2 * reach) | geo.let(geo.centroid(segment), lambda c: ~((geo.span(c, a) < reach) | (geo.span(c, b) < reach)))
+    A segment's direction is end to end; the trace's is that of its edge nearest to the centroid, the first of equals.
+    """
+    s = segments.select(F.col("id").alias("r"), geo.centroid(F.col("line")).alias("c"), geo.line_angle(F.col("line")).alias("own")).select("r", F.col("c.x").alias("px"), F.col("c.y").alias("py"), "own")
+    e = traces.select(F.col("id").alias("l"), F.posexplode(geo.edges(F.col("line"))).alias("no", "e"))
+    e = e.select("l", "no", *[F.col(f"e.{p}.{c}").alias(p + c) for p in "ab" for c in "xy"])
+    e = e.withColumns({"dx": F.col("bx") - F.col("ax"), "dy": F.col("by") - F.col("ay")})
+    e = e.withColumns({"square": F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"), "angle": F.pmod(F.degrees(F.atan2("dy", "dx")), F.lit(180.0))})
+    rows = near.join(s, "r").join(e, "l")
+    place = ((F.col("px") - F.col("ax")) * F.col("dx") + (F.col("py") - F.col("ay")) * F.col("dy")) / F.col("square")
+    rows = rows.withColumn("t", F.when(F.col("square") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), place))).otherwise(0.0))
+    rows = rows.withColumns({"gx": F.col("ax") + F.col("t") * F.col("dx") - F.col("px"), "gy": F.col("ay") + F.col("t") * F.col("dy") - F.col("py")})
+    rows = rows.withColumn("d", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
+    best = rows.groupBy(*near.columns).agg(F.min(F.struct("d", "no", "angle")).alias("best"), F.first("own").alias("own"))
+    turn = best.withColumn("turn", F.pmod(F.abs(F.col("own") - F.col("best.angle")), F.lit(180.0)))
+    return turn.where(F.least(F.col("turn"), 180.0 - F.col("turn")) <= most).select(*near.columns)
+
+
+def off_nodes(near: DataFrame, traces: DataFrame, segments: DataFrame, reach: float = NODES_M) -> DataFrame:
+    """The pairs (l, r, ..) of ``near`` whose segment's centroid keeps off both ends of the trace; all, if these are less than twice the reach apart.
+
+    ``traces``: id, a, b (the ends' points); ``segments``: id, line.
+    """
+    s = segments.select(F.col("id").alias("r"), geo.centroid(F.col("line")).alias("c"))
+    t = traces.select(F.col("id").alias("l"), "a", "b", (geo.span(F.col("a"), F.col("b")) < 2 * reach).alias("short"))
+    far = (geo.span(F.col("c"), F.col("a")) >= reach) & (geo.span(F.col("c"), F.col("b")) >= reach)
+    return near.join(s, "r").join(t, "l").where(F.col("short") | far).select(*near.columns)
 
 
-def matched_segments(traces: DataFrame, segments: DataFrame, distance: float = DISTANCE_M, angle: float = ANGLE_DEG, reach: float = NODES_M) -> DataFrame:
+def matched_segments(traces: DataFrame, segments: DataFrame, distance: float = DISTANCE_M, angle: float = ANGLE_DEG, reach: float = NODES_M, cell: float | None = None, others: bool = False) -> DataFrame:
     """(trace_id, segment_id, distance) of the segments that pass all three filters.
 
     ``traces``: id, line, a, b (the ends' points); ``segments``: id, line.
     """
-    near = pairs_within(traces, segments, distance)
-    t = traces.select(F.col("id").alias("l"), F.col("line").alias("trace"), "a", "b")
-    s = segments.select(F.col("id").alias("r"), F.col("line").alias("segment"))
-    both = near.join(t, "l").join(s, "r").where(off_nodes(F.col("segment"), F.col("a"), F.col("b"), reach) & aligned(F.col("segment"), F.col("trace"), angle))
-    return both.select(F.col("l").alias("trace_id"), F.col("r").alias("segment_id"), "distance")
+    near = off_nodes(pairs_within(traces, segments, distance, cell=cell, others=others), traces, segments, reach)
+    return along_trace(near, traces, segments, angle).select(F.col("l").alias("trace_id"), F.col("r").alias("segment_id"), "distance")
 
 
-def clip_pieces(traces: DataFrame, roads: DataFrame, radius: float = CLIP_M, cell: float | None = None) -> DataFrame:
+def _with_interval(near: DataFrame, r: float) -> DataFrame:
+    """``near`` plus t0, t1: the part of the left edge within ``r`` of the right one, as places on the left edge; rows without any go.
+
+    The points within ``r`` of an edge are those of two discs and a slab, a
+    convex set; each gives an interval on the line of the left edge, and the
+    one that holds all three is cut to the edge.
+    """
+    at = lambda side, p, axis: F.col(f"{side}_{p}{axis}")
+    out = near.withColumns({k + axis: at(b[0], b[1], axis) - at(a[0], a[1], axis) for k, a, b in (("d", "la", "lb"), ("u", "ra", "rb"), ("w", "ra", "la"), ("z", "rb", "la")) for axis in "xy"})
+    dot = lambda a, b: F.col(a + "x") * F.col(b + "x") + F.col(a + "y") * F.col(b + "y")
+    turn = lambda a, b: F.col(a + "x") * F.col(b + "y") - F.col(a + "y") * F.col(b + "x")
+    out = out.withColumns({"dd": dot("d", "d"), "uu": dot("u", "u"), "wd": dot("w", "d"), "zd": dot("z", "d"), "ww": dot("w", "w") - r * r, "zz": dot("z", "z") - r * r, "along": dot("w", "u"), "along_by": dot("d", "u"), "across": turn("u", "w"), "across_by": turn("u", "d")})
+    root = lambda half, rest: F.col(half) * F.col(half) - F.col("dd") * F.col(rest)
+    out = out.withColumns({"rw": root("wd", "ww"), "rz": root("zd", "zz"), "half": r * F.sqrt("uu")})
+    out = out.withColumns({c: F.when(F.col(c) >= 0, F.sqrt(c)) for c in ("rw", "rz")})
+    bound = {}
+    for name, value, slope, lo, hi in (("a", "along", "along_by", F.lit(0.0), F.col("uu")), ("c", "across", "across_by", -F.col("half"), F.col("half"))):
+        t, u, inside = F.try_divide(lo - F.col(value), F.col(slope)), F.try_divide(hi - F.col(value), F.col(slope)), F.col(value).between(lo, hi)
+        bound |= {f"{name}0": F.when(F.col(slope) != 0, F.least(t, u)).when(inside, float("-inf")), f"{name}1": F.when(F.col(slope) != 0, F.greatest(t, u)).when(inside, float("inf"))}
+    out = out.withColumns(bound)
+    slab = F.col("a0").isNotNull() & F.col("c0").isNotNull() & (F.col("uu") > 0) & (F.greatest("a0", "c0") <= F.least("a1", "c1"))
+    out = out.withColumns({"s0": F.when(slab, F.greatest("a0", "c0")), "s1": F.when(slab, F.least("a1", "c1"))})
+    ends = lambda sign, half, rest: F.try_divide(-F.col(half) + sign * F.col(rest), F.col("dd"))
+    out = out.withColumns({"t0": F.least(ends(-1, "wd", "rw"), ends(-1, "zd", "rz"), "s0"), "t1": F.greatest(ends(1, "wd", "rw"), ends(1, "zd", "rz"), "s1")})
+    out = out.select(*near.columns, F.greatest("t0", F.lit(0.0)).alias("t0"), F.when(F.col("t0").isNotNull(), F.least("t1", F.lit(1.0))).alias("t1"))
+    return _only(out, F.col("t0") < F.col("t1"), "t0", "t1")
+
+
+def clip_pieces(traces: DataFrame, roads: DataFrame, radius: float = CLIP_M, cell: float | None = None, others: bool = False) -> DataFrame:
     """(id, edge_no, t0, t1, length): the maximal parts of each trace edge within ``radius`` of any road.
 
     Overlapping intervals merge by gaps and islands over (trace, edge), so
     neither a buffer nor a union is ever built.
     """
-    near = near_edges(traces, roads, radius, cell=cell).select("l", "l_no", "l_a", "l_b", geo.near_interval(F.col("l_a"), F.col("l_b"), F.col("r_a"), F.col("r_b"), radius).alias("i"))
-    rows = near.where("i is not null").select("l", "l_no", geo.span(F.col("l_a"), F.col("l_b")).alias("span"), "i.t0", "i.t1").distinct()
+    near = _with_distance(near_edges(traces, roads, radius, cell=cell, others=others))
+    near = _with_interval(_only(near, F.col("d") <= radius, "d").drop("d"), radius)
+    span = F.sqrt((F.col("l_bx") - F.col("l_ax")) * (F.col("l_bx") - F.col("l_ax")) + (F.col("l_by") - F.col("l_ay")) * (F.col("l_by") - F.col("l_ay")))
+    rows = near.select("l", "l_no", span.alias("span"), "t0", "t1").distinct()
     edge = Window.partitionBy("l", "l_no").orderBy("t0", "t1")
     reach = F.max("t1").over(edge.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("island", (reach.isNull() | (F.col("t0") > reach)).cast("int")).withColumn("island", F.sum("island").over(edge))
@@ -165,9 +229,9 @@ def clip_pieces(traces: DataFrame, roads: DataFrame, radius: float = CLIP_M, cel
     return merged.select(F.col("l").alias("id"), F.col("l_no").alias("edge_no"), "t0", "t1", ((F.col("t1") - F.col("t0")) * F.col("span")).alias("length"))
 
 
-def clipped_lengths(traces: DataFrame, roads: DataFrame, radius: float = CLIP_M, cell: float | None = None) -> DataFrame:
+def clipped_lengths(traces: DataFrame, roads: DataFrame, radius: float = CLIP_M, cell: float | None = None, others: bool = False) -> DataFrame:
     """(id, length, inside): every trace's length and its length within ``radius`` of the roads, 0 where none is near."""
-    inside = clip_pieces(traces, roads, radius, cell).groupBy("id").agg(F.sum("length").alias("inside"))
+    inside = clip_pieces(traces, roads, radius, cell, others).groupBy("id").agg(F.sum("length").alias("inside"))
     own = traces.select("id", geo.length(F.col("line")).alias("length"))
     return own.join(inside, "id", "left").withColumn("inside", F.coalesce("inside", F.lit(0.0)))
 
@@ -179,6 +243,13 @@ def total_bounds(lines: DataFrame, margin: float = 0.0) -> DataFrame:
     return b.select((F.col("xmin") - grow).alias("xmin"), (F.col("ymin") - grow).alias("ymin"), (F.col("xmax") + grow).alias("xmax"), (F.col("ymax") + grow).alias("ymax"))
 
 
+def point_box(points: DataFrame, margin: float, least: float) -> DataFrame:
+    """One row: the box of all points (x, y), grown by a share of its larger side, by ``least`` at least."""
+    b = points.agg(*[f(c).alias(f"{c}{n}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))])
+    grow = F.greatest(F.lit(least), margin * F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))
+    return b.select(*[(F.col(c) + (grow if c.endswith("max") else -grow)).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
 def in_window(line: Column, xmin: float, ymin: float, xmax: float, ymax: float) -> Column:
     """Whether a line meets a box."""
     return F.coalesce(F.exists(geo.edges(line), lambda e: geo.edge_meets_box(e["a"], e["b"], xmin, ymin, xmax, ymax)), F.lit(False))

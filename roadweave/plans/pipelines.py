@@ -67,8 +67,8 @@ def route_arcs(arcs: DataFrame, nodes: DataFrame, routes: DataFrame, roads: Data
     lists = near_roads.groupBy(F.col("l").alias("ID_ARC")).agg(ordered().alias("_r"))
     near = spatial.pairs_within(parts, counts.select(F.col("ide_sectn_trafc").alias("id"), "line"), spatial.DISTANCE_M)
     seg = counts.select(F.col("ide_sectn_trafc").alias("r"), F.col("line").alias("segment"), "djma_val", "djma_annee", "cam_val", "cam_annee")
-    both = near.join(traces.withColumnRenamed("id", "l"), "l").join(seg, "r")
-    passed = both.where(spatial.off_nodes(F.col("segment"), F.col("a"), F.col("b")) & spatial.aligned(F.col("segment"), F.col("line")))
+    segments = seg.select(F.col("r").alias("id"), F.col("segment").alias("line"))
+    passed = spatial.along_trace(spatial.off_nodes(near.select("l", "r"), traces, segments), traces, segments).join(seg, "r")
     matched = passed.select(F.col("l").alias("ID_ARC"), F.col("r").alias("ide_sectn_trafc"), "djma_val", "djma_annee", "cam_val", "cam_annee", geo.length(F.col("segment")).alias("longueur_m"), F.col("segment").alias("geometry"))
     text = F.struct(F.col("ide_sectn_trafc").alias("i"), codec.encode_value_year(F.col("djma_val"), F.col("djma_annee")).alias("v"), codec.encode_value_year(F.col("cam_val"), F.col("cam_annee")).alias("t"))
     found = matched.groupBy("ID_ARC").agg(F.array_sort(F.collect_list(text)).alias("_s"), F.count("*").cast("int").alias("n_segs_djma"), half_even(F.try_divide(100.0 * F.count("djma_val"), F.count("*").cast("double")), 1).alias("statut_djma_pct"))

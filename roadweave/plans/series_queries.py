@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..functions.rounding import half_even
-from ..operators import impute, series
+from ..operators import compare, impute, series
 from . import pipelines
 from .registry import query, table
 
@@ -50,7 +50,7 @@ x{tag} as (select i.user_id, i.slot, i.n, i.v, i.iv, case when n = 0 then null w
 
 @query(f"with {_series_sql()} select user_id, slot::int as slot, round_even(iv * 1e4, 0) / 1e4 as value from x")
 def series_interpolate(spark: SparkSession, sf: str) -> DataFrame:
-    return _long(_stations(spark, sf).select("user_id", series.interpolate(F.col("djma")).alias("s")), "s")
+    return _long(series.with_interpolated(_stations(spark, sf).select("user_id", "djma"), "djma", "s"), "s")
 
 
 @query(f"with {_series_sql()} select user_id, slot::int as slot, round_even(xv * 1e4, 0) / 1e4 as value from x")
@@ -66,12 +66,11 @@ def series_label(spark: SparkSession, sf: str) -> DataFrame:
 _CLASS = "case when {n} = 0 then 'Vide' when {n} >= 10 then 'Complet' else 'Partiel' end"
 
 
-@query(f"with {_series_sql()}, {_series_sql('cam', 'c')} select metric, classe, count(*) as n, round_even(100.0::double * count(*) / (select count(distinct user_id) from events) * 1e4, 0) / 1e4 as pct from (select 'djma' as metric, {_CLASS.format(n='n')} as classe from x where slot = 0 union all select 'cam', {_CLASS.format(n='n')} from xc where slot = 0) group by all")
+@query(f"with {_series_sql()}, {_series_sql('cam', 'c')}, h as (select 'djma' as metric, {_CLASS.format(n='n')} as classe from x where slot = 0 union all select 'cam', {_CLASS.format(n='n')} from xc where slot = 0), z as (select unnest(['djma', 'cam']) as metric), y as (select unnest(['Vide', 'Partiel', 'Complet']) as classe) select z.metric, y.classe, count(h.metric) as n, round_even(100.0::double * count(h.metric) / (select count(distinct user_id) from events) * 1e4, 0) / 1e4 as pct from z cross join y left join h on h.metric = z.metric and h.classe = y.classe group by z.metric, y.classe")
 def completeness_classes(spark: SparkSession, sf: str) -> DataFrame:
     rows = _stations(spark, sf).select(*[codec.completeness(series.known(F.col(c))).alias(c) for c in FLOORS])
-    long = rows.unpivot([], list(FLOORS), "metric", "classe").groupBy("metric", "classe").agg(F.count("*").alias("n"))
-    total = long.groupBy("metric").agg(F.sum("n").alias("total"))
-    return long.join(F.broadcast(total), "metric").select("metric", "classe", "n", half_even(F.lit(100.0) * F.col("n") / F.col("total"), 4).alias("pct"))
+    got = compare.class_table(rows, list(FLOORS), ["Vide", "Partiel", "Complet"], "metric", "classe")
+    return got.withColumn("pct", half_even(F.col("pct"), 4))
 
 
 @query(f"with {_series_sql()}, {_series_sql('cam', 'c')}, j as (select x.n as d, c.n as c from x join xc c using (user_id) where x.slot = 0 and c.slot = 0) select count(*) as n, count(*) filter (where d = 10 and c = 10) as both_full, count(*) filter (where d > 0 and c > 0) as both_some, round_even(1e6::double * count(*) filter (where d > 0 and c > 0) / nullif(count(*) filter (where d > 0), 0), 0) / 1e4 as cam_given_djma from j")
@@ -96,7 +95,7 @@ def cascade_evolution(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"with {_series_sql()}, o as (select median(v) as med from m), r as (select user_id, avg(v) as mean from x group by user_id) select user_id, slot::int as slot, round_even(coalesce(v, mean, med) * 1e4, 0) / 1e4 as value from x join r using (user_id), o")
 def row_mean_fallback(spark: SparkSession, sf: str) -> DataFrame:
     rows = _stations(spark, sf).select("user_id", "djma")
-    overall = rows.select(F.explode("djma").alias("v")).agg(F.percentile("v", F.lit(0.5)).alias("med"))
+    overall = compare.percentiles(rows.select(F.lit(1).alias("of"), F.explode("djma").alias("v")), "of", "v", {"med": 0.5}).select("med")
     filled = F.transform("djma", lambda v: series.row_fallback(v, F.col("djma"), F.col("med")))
     return _long(rows.crossJoin(F.broadcast(overall)).select("user_id", filled.alias("s")), "s")
 
@@ -127,12 +126,10 @@ def rf_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def rf_chained_impute(spark: SparkSession, sf: str) -> DataFrame:
-    return impute.chained_forests(_features(spark, sf), FEATURES, ["t1", "t2"], trees=10, rounds=2)
+    return impute.chained_forests(_features(spark, sf), FEATURES, ["t1", "t2"])
 
 
 @query()
 def rf_cv_scores(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators import compare
-
-    got = impute.cross_validated(_features(spark, sf).where("t1 is not null"), "id", FEATURES, ["t1"], folds=5, trees=10)
+    got = impute.cross_validated(_features(spark, sf).where("t1 is not null"), "id", FEATURES, ["t1", "t2"])
     return compare.scores(got, "truth", "guess", "target")

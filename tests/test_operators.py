@@ -102,9 +102,53 @@ def test_routing_states(spark):
     counts = spark.range(1).select(F.lit(5).cast("long").alias("ide_sectn_trafc"), seg.alias("line"), F.lit(120.7).alias("djma_val"), F.lit(2025.0).alias("djma_annee"), F.lit(None).cast("double").alias("cam_val"), F.lit(None).cast("double").alias("cam_annee"))
     got = {r["ID_ARC"]: r for r in pipelines.route_arcs(arcs, nodes, routes, roads, counts).arcs.collect()}
     assert [got[k]["statut"] for k in (10, 11, 12)] == ["ok", "noeud_manquant", "echec_osrm"]
+    done = pipelines.aggregate_arcs(pipelines.route_arcs(arcs, nodes, routes, roads, counts).arcs.withColumn("line", line((0, 0), (1, 1))), pipelines.route_arcs(arcs, nodes, routes, roads, counts).segments)
+    assert {r["ID_ARC"]: (r["djma_m1"], r["djma_m2"]) for r in done.collect()} == {10: (120, 121), 11: (None, None), 12: (None, None)}
     assert got[10]["ids_segs_djma_val"] == "120@2025" and got[10]["ids_segs_djma_val_cam"] == "NA" and got[10]["n_segs_djma"] == 1
 
 
+def test_clip_equals_dense_sampling(spark):
+    """Interval ends against points along the edges, for random edges among others."""
+    import random
+
+    rng = random.Random(5)
+    lines = [(i, [(rng.uniform(0, 4), rng.uniform(0, 4)) for _ in range(3)]) for i in range(12)]
+    df = spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in p]) for i, p in lines], "id long, line array<struct<x:double,y:double>>")
+
+    def gap(p, a, b):
+        d = ((b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2) or 1.0
+        t = max(0.0, min(1.0, ((p[0] - a[0]) * (b[0] - a[0]) + (p[1] - a[1]) * (b[1] - a[1])) / d))
+        return math.hypot(a[0] + t * (b[0] - a[0]) - p[0], a[1] + t * (b[1] - a[1]) - p[1])
+
+    got = {r["id"]: r["inside"] for r in spatial.clipped_lengths(df, df, 0.2, others=True).collect()}
+    for i, line_ in lines:
+        want = 0.0
+        for a, b in zip(line_, line_[1:]):
+            points = [(a[0] + (b[0] - a[0]) * (k + 0.5) / 2000, a[1] + (b[1] - a[1]) * (k + 0.5) / 2000) for k in range(2000)]
+            near = sum(any(gap(p, u, v) <= 0.2 for j, other in lines if j != i for u, v in zip(other, other[1:])) for p in points)
+            want += math.dist(a, b) * near / 2000
+        assert abs(got[i] - want) < 0.02
+
+
+def test_percentiles_are_exact(spark):
+    import statistics
+
+    values = [1.0] * 50 + [2.0] * 3 + [float(k * k % 97) for k in range(401)] + [None]
+    long = spark.createDataFrame([("a", v) for v in values] + [("b", 4.0), ("c", None)], "g string, v double")
+    got = {r["g"]: r for r in compare.percentiles(long, "g", "v", {"q1": 0.25, "median": 0.5}, parts=8).collect()}
+    known = [v for v in values if v is not None]
+    assert got["a"]["median"] == statistics.median(known) and got["a"]["q1"] == statistics.quantiles(known, n=4, method="inclusive")[0]
+    assert got["b"]["q1"] == 4 and "c" not in got
+
+
+def test_weightless_classes_count_plainly(spark):
+    segs = spark.createDataFrame([(1, 10.0, 1.0, 1.0, "x", 1), (1, 30.0, 3.0, 1.0, "x", 2)], "ID_ARC long, djma_val double, cam_val double, longueur_m double, des_clasf string, ord int")
+    r = methods.aggregate_methods(segs, weights={"x": 0}).first()
+    assert (r["djma_m3"], r["pct_cam_m3"]) == (20, 2.0)
+    lists = spark.createDataFrame([(1, "10@1|30@1", "1@1|3@1", "x|x")], "ID_ARC long, ids_segs_djma_val string, ids_segs_djma_val_cam string, ids_segs_rtss_type string")
+    assert methods.list_methods(lists, weights={"x": 0}).first()["djma_m3"] == 20
+
+
 def test_gpkg_layers(spark, tmp_path):
     gpkg.register(spark)
     path = str(tmp_path / "x.gpkg")
