@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 from . import common
 
 WORDS = 5
+#: Bytes of a hash that full sets carry where they are compared: two shingles agree by chance in one of 2 ** 40 cases.
+PACKED = 5
+#: Lists of a set by which it first meets others.
+FIRST_LISTS = 2
+#: Sets that may hold a hash whose pairs are counted one by one.
+SPARSE = 24
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -80,6 +86,17 @@ def _sketches(batches, k: int, percent: int, miss: float) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([docs.slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([least_shared(len(s), k, percent, miss) for s in sets], pa.int32()), pa.array(prints, pa.binary()), tags, lists], ["doc_id", "n_shingles", "least", "print", "tag", "sketch"])
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """The low 40 bits of each hash, in the order of the hashes."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PACKED].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // PACKED, 8), np.uint8)
+    out[:, :PACKED] = np.frombuffer(data, np.uint8).reshape(-1, PACKED)
+    return out.reshape(-1).view("<u8")
+
+
 def tag_of(digest: bytes) -> int:
     """What tells apart the sets of one doc_id."""
     return int.from_bytes(digest[:8], "big", signed=True)
@@ -90,26 +107,41 @@ def _full_sets(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("id")
         for first, texts in common.slices(batch, "text"):
-            sets = [shingle_set(t).tobytes() for t in texts]
-            tags = pa.array([tag_of(xxhash.xxh3_128_digest(x)) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), tags, pa.array(sets, pa.binary())], ["id", "tag", "full"])
+            sets = [shingle_set(t) for t in texts]
+            tags = pa.array([tag_of(xxhash.xxh3_128_digest(x.tobytes())) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), tags, pa.array(map(packed, sets), pa.binary())], ["id", "tag", "full"])
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """How many hashes every two of the sets share, as a square; columns of it are taken in blocks, so memory is bounded."""
+    """How many hashes every two of the sets share, as a square.
+
+    Hashes in up to ``SPARSE`` sets count pair by pair, the others as columns
+    of a product taken in blocks; so memory is bounded.
+    """
     n = len(sets)
-    values, at = np.unique(np.concatenate(sets), return_inverse=True)
-    row, twice = np.repeat(np.arange(n), [len(s) for s in sets]), np.bincount(at, minlength=len(values)) > 1
-    place = np.cumsum(twice) - 1
-    row, at = row[twice[at]], place[at[twice[at]]]
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row, times = np.repeat(np.arange(n), [len(s) for s in sets]), np.bincount(at)
     order = np.argsort(at, kind="stable")
     row, at = row[order], at[order]
-    out, width = np.zeros((n, n), np.float32), max(64, (1 << 22) // n)
-    for lo in range(0, int(twice.sum()), width):
+    starts, out = np.cumsum(times) - times, np.zeros((n, n), np.float32)
+    for k in range(2, min(SPARSE, n) + 1):
+        first, (i, j) = starts[times == k], np.triu_indices(k, 1)
+        for lo in range(0, len(first), 1 << 16):
+            held = row[first[lo : lo + (1 << 16), None] + np.arange(k)]
+            out += np.bincount((held[:, i] * n + held[:, j]).ravel(), minlength=n * n).reshape(n, n).astype(np.float32)
+    out += out.T
+    out[np.arange(n), np.arange(n)] = [len(s) for s in sets]
+    many = times > SPARSE
+    column = np.cumsum(many) - 1
+    row, at = row[many[at]], column[at[many[at]]]
+    width = max(64, (1 << 22) // n)
+    for lo in range(0, int(many.sum()), width):
         i, j = np.searchsorted(at, (lo, lo + width))
-        held = np.zeros((n, min(width, int(twice.sum()) - lo)), np.float32)
+        held = np.zeros((n, min(width, int(many.sum()) - lo)), np.float32)
         held[row[i:j], at[i:j] - lo] = 1
-        out += held @ held.T
+        product = held @ held.T
+        np.fill_diagonal(product, 0)
+        out += product
     return out
 
 
@@ -141,7 +173,7 @@ def linked(sets: list[np.ndarray], least: np.ndarray, k: int, percent: int) -> n
 
 @common.tidy
 def _forests(batches, k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(a, b) of sets connected within a group; rows come sorted by (value, part), and a group holds a bounded number of sets."""
+    """(a, b) of sets connected within a group; rows come sorted by (value, part, id), and a group holds a bounded number of sets."""
     held: dict = {"of": None, "id": [], "least": [], "set": []}
 
     def links() -> pa.RecordBatch | None:
@@ -162,14 +194,14 @@ def _forests(batches, k: int, percent: int) -> Iterator[pa.RecordBatch]:
                 held = {"of": (value[i], part[i]), "id": [], "least": [], "set": []}
             held["id"].append(ids[i])
             held["least"].append(least[i])
-            held["set"].append(np.frombuffer(full[i].as_py(), np.uint64))
+            held["set"].append(unpacked(full[i].as_py()))
     if (found := links()) is not None:
         yield found
 
 
 def _connected(rows: DataFrame, k: int, percent: int, name: str) -> DataFrame:
     """Links (a, b) within the groups (value, part) of ``rows`` (with id, least, full)."""
-    dealt = rows.select("value", "part", "id", "least", "full").repartition("value", "part").sortWithinPartitions("value", "part")
+    dealt = rows.select("value", "part", "id", "least", "full").repartition("value", "part").sortWithinPartitions("value", "part", "id")
     return common.stored(dealt.mapInArrow(partial(_forests, k=k, percent=percent), "a long, b long").distinct(), name)
 
 
@@ -195,8 +227,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 128, miss: floa
       In a group, pairs pass the estimate from the sketches, then the exact
       check on the full sets; what leaves it is a forest of the
       connected sets, never pairs.
-    * Lists of more than one group go on between groups: sets that are already
-      connected with most of their list meet only the others.  So large groups
+    * First every set meets others in the longest of its lists only, which
+      connects most copies.  Then all lists follow in which there still are
+      sets that are not connected; lists that have sets in common are taken
+      as one, where that moves fewer bytes than each by itself.  Where there
+      is more than one group, sets connected with most of the others of their
+      list meet only those that are not.  So large groups
       of near copies cost a pass, while a list of n sets that are similar but
       not linked costs about (n / chunk) ** 2 groups; none is cut.
 
@@ -212,32 +248,57 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 128, miss: floa
     nodes = some.join(copies, "print", "left").where("doc_id is not null and (id is null or doc_id = id)").select(F.col("doc_id").alias("id"), "tag", "least", "sketch")
     nodes, node = nodes.dropDuplicates(["id", "tag"]), ["id", "tag"]
 
-    posted = nodes.select(*node, "least", F.explode("sketch").alias("value"))
+    posted = nodes.select(*node, F.explode("sketch").alias("value"))
     shared = posted.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
-    values = posted.join(shared.select("value"), "value").groupBy(*node).agg(F.collect_list("value").alias("values"), F.first("least").alias("least"))
-    taking = common.stored(values.where(F.size("values") >= F.col("least")), "taking")
+    values = posted.join(shared.select("value"), "value").groupBy(*node).agg(F.collect_list("value").alias("values"))
+    taking = values.join(nodes.select(*node, "least"), node).where(F.size("values") >= F.col("least"))
+    taking = common.stored(taking, "taking")
     posted = taking.select(*node, "least", F.explode("values").alias("value"))
     shared = posted.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
     ordered = posted.join(shared, "value").groupBy(*node).agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("values"), F.first("least").alias("least"))
-    lists = common.stored(ordered.select(*node, F.explode(F.slice("values", F.lit(1), F.greatest(F.lit(0), F.size("values") - F.col("least") + 1))).alias("v")).select(*node, F.col("v.value").alias("value")), "lists")
+    room = F.greatest(F.lit(0), F.size("values") - F.col("least") + 1)
+    lists = ordered.select(*node, room.alias("room"), F.posexplode(F.slice("values", F.lit(1), room)).alias("at", "v"))
+    lists = common.stored(lists.select(*node, F.col("v.value").alias("value"), (F.col("at") >= F.col("room") - FIRST_LISTS).alias("first")), "lists")
 
     sets = texts.withColumnRenamed("doc_id", "id").join(common.broadcast_if_small(taking.select("id").distinct()), "id", "left_semi").mapInArrow(_full_sets, "id long, tag long, full binary")
     sets = common.stored(sets.dropDuplicates(node).join(taking.select(*node, "least"), node), "taking-sets")
-    size = F.octet_length("full")
-    sizes = sets.select(*node, size.alias("bytes"))
-    about = lists.join(sizes, node).groupBy("value").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor(F.xxhash64(F.lit(1), *node)).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), *node)).alias("y"))
-    about = about.where("n > 1").groupBy("n", "x", "y").agg(F.min("value").alias("value"), F.max("bytes").alias("bytes"))
+    sizes = sets.select(*node, F.octet_length("full").alias("bytes"))
     parts = lambda n, of: F.ceil(F.greatest(n / chunk, of / (chunk_mb << 20))).cast("int")
-    about = common.stored(about.select("value", parts(F.col("n"), F.col("bytes")).alias("parts")), "list-parts")
-    dealt = lists.join(about, "value").withColumn("part", F.pmod(F.xxhash64("value", *node), F.col("parts")).cast("int"))
+
+    def different(some: DataFrame) -> DataFrame:
+        """(value, parts) of the lists in ``some``, one of those that hold the same sets, and into how many groups it is dealt."""
+        seen = [F.bit_xor(F.xxhash64(F.lit(k), *node)).alias(c) for k, c in ((1, "x"), (2, "y"))]
+        about = some.join(sizes, node).groupBy("value").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), *seen)
+        about = about.where("n > 1").groupBy("n", "x", "y").agg(F.min("value").alias("value"), F.max("bytes").alias("bytes"))
+        return about.select("value", parts(F.col("n"), F.col("bytes")).alias("parts"))
+
+    first = lists.where("first")
+    dealt = first.join(different(first), "value").withColumn("part", F.pmod(F.xxhash64("value", *node), F.col("parts")))
     links = _connected(dealt.join(sets, node), k, percent, "links")
     groups = common.components(links, "groups")
 
-    long_ = about.where("parts > 1").select("value")
-    if not long_.isEmpty():
-        left = lists.join(long_, "value").join(sizes, node).join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id"))
-        by_group = left.groupBy("value", "group").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-        main = by_group.groupBy("value").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("value", "main")
+    grouped = common.stored(lists.join(groups.withColumnRenamed("node", "id"), "id", "left").select("value", *node, F.coalesce("component", "id").alias("group")), "grouped-lists")
+    open_ = grouped.groupBy("value").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("value")
+    left = common.stored(grouped.join(open_, "value").join(sizes, node), "open-lists")
+    stars = left.groupBy("value").agg(F.min("id").alias("a")).join(left.select("value", F.col("id").alias("b")), "value").select("a", "b").distinct()
+    families = common.components(stars, "families").withColumnRenamed("node", "id").withColumnRenamed("component", "family")
+    left = left.join(families, "id", "left").withColumn("family", F.coalesce("family", "id"))
+    members = left.select("family", *node, "bytes", "group").distinct()
+    cost = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("bytes").alias("once")).join(left.groupBy("family").agg(F.sum("bytes").alias("often")), "family")
+    cost = common.stored(cost.select("family", (parts(F.col("n"), F.col("once")) * F.col("once") <= F.col("often")).alias("whole")), "family-costs")
+    columns = [*node, "bytes", "group"]
+    by_family = members.join(cost.where("whole"), "family").select(F.col("family").alias("value"), *columns)
+    by_list = left.join(cost.where("not whole"), "family").select("value", *columns)
+    by_list = by_list.join(different(by_list.drop("bytes")).select("value"), "value").select("value", *columns)
+    left = common.stored(by_family.union(by_list), "left")
+    open_ = common.stored(left.groupBy("value").agg(parts(F.count("*"), F.sum("bytes")).alias("parts")), "left-parts")
+    left = left.join(open_, "value")
+    short = left.where("parts = 1").select("value", *node, F.lit(0).cast("long").alias("part"))
+    links = links.union(_connected(short.join(sets, node), k, percent, "more-links"))
+    if not open_.where("parts > 1").isEmpty():
+        left = left.where("parts > 1")
+        by_group = left.groupBy("value", "group").agg(F.count("*").alias("n"))
+        main = by_group.groupBy("value").agg(F.max_by("group", F.struct("n", "group")).alias("main"))
         left = common.stored(left.join(main, "value").select("value", *node, "bytes", (F.col("group") == F.col("main")).alias("is_main")), "long-lists")
         counts = left.groupBy("value").agg(*[parts(F.count_if(c), F.sum(F.when(c, F.col("bytes")).otherwise(0))).alias(n) for n, c in (("mains", F.col("is_main")), ("others", ~F.col("is_main")))])
         left = left.join(counts, "value")
@@ -247,7 +308,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 128, miss: floa
         both = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda i: F.struct(F.lit(True).alias("m"), i.alias("i"), own.alias("j")))
         dealt = left.select("value", *node, F.explode(F.coalesce(to, F.concat(both, pair))).alias("g")).withColumn("part", F.xxhash64("g.m", "g.i", "g.j"))
         links = links.union(_connected(dealt.join(sets, node), k, percent, "long-links"))
-        groups = common.components(links, "long-groups")
+    groups = common.components(links, "all-groups")
 
     out = sk.select("doc_id", "n_shingles", "print").join(copies, "print", "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.coalesce("id", "doc_id")))
     out = out.join(groups, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
