@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -18,46 +19,79 @@ from . import common
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class _Known(dict):
+    """A cache of bounded size, and what did not fit in it, for as long as the texts at hand need it."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.beside = most, {}
+
+    def __missing__(self, key):
+        return self.beside[key]
+
+    def keep(self, key, value, large: bool = False) -> None:
+        (self if len(self) < self.most and not large else self.beside)[key] = value
+
+
 class WordTokens:
-    """Ids of a byte string by a word-splitting BPE tokenizer whose pieces never cross white space.
+    """Ids of byte strings by a word-splitting BPE tokenizer whose pieces never cross white space.
 
     The tokenizer splits at white space and drops it, so a text's ids are the
     ids of its words in turn.  Words and their letter, digit and sign runs are
-    looked up in two caches of bounded size; what they lack is encoded anew.
-    Words with characters outside Latin, where lower-casing and composing
-    could depend on neighbours, and with ``<``, which may begin a special
-    token, go to the tokenizer whole.
+    looked up in two caches of bounded size; the runs that these lack are
+    encoded together, parted by spaces.  Words with characters outside Latin,
+    where lower-casing and composing could depend on neighbours, and with
+    ``<``, which may begin a special token, go to the tokenizer whole.
     """
 
     def __init__(self, path: str, most_words: int = 250_000, most_runs: int = 400_000):
         import regex
         from tokenizers import Tokenizer
 
-        encoder = Tokenizer.from_file(path)
-        split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        whole = regex.compile("[^\u0000-įı-ſ]|<").search
-
-        class Runs(dict):
-            def __missing__(self, run: str) -> bytes:
-                ids = np.array(encoder.encode(run, add_special_tokens=False).ids, "<u2").tobytes()
-                if len(self) < most_runs:
-                    self[run] = ids
-                return ids
-
-        of_run = Runs().__getitem__
-
-        class Words(dict):
-            def __missing__(self, word: bytes) -> bytes:
+        self._encoder = Tokenizer.from_file(path)
+        self._split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self._whole = regex.compile("[^\u0000-įı-ſ]|<").search
+        self._words, self._runs = _Known(most_words), _Known(most_runs)
+
+    def _ids(self, text: str) -> bytes:
+        return array("H", self._encoder.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _encode_runs(self, runs: list[str]) -> None:
+        for lo in range(0, len(runs), 256):
+            part = runs[lo : lo + 256]
+            got = self._encoder.encode(" ".join(part), add_special_tokens=False)
+            ids, of = np.array(got.ids, "<u2"), np.array(got.word_ids, np.int64)
+            if len(np.unique(of)) == len(part):  # each run is a word of its own to the tokenizer
+                ends = np.searchsorted(of, np.arange(len(part) + 1)).tolist()
+                found = [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+            else:
+                found = [self._ids(run) for run in part]
+            for run, x in zip(part, found):
+                self._runs.keep(run, x)
+
+    def _learn(self, words: set[bytes]) -> None:
+        self._words.beside.clear()
+        self._runs.beside.clear()
+        runs_of = {}
+        for word in words:
+            if word not in self._words:
                 text = word.decode("utf-8", "replace")
-                ids = of_run(text) if whole(text) else b"".join(map(of_run, split(text.lower())))
-                if len(self) < most_words and len(word) < 64:
-                    self[word] = ids
-                return ids
-
-        self._of_word = Words().__getitem__
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self._of_word, text.split())), "<u2")
+                if word.isalpha():  # of bytes: A-Z and a-z only
+                    runs_of[word] = [text.lower()]
+                elif self._whole(text):
+                    self._words.keep(word, self._ids(text), len(word) >= 64)
+                else:
+                    runs_of[word] = self._split(text.lower())
+        self._encode_runs(sorted({run for runs in runs_of.values() for run in runs if run not in self._runs}))
+        of_run = self._runs.__getitem__
+        for word, runs in runs_of.items():
+            self._words.keep(word, b"".join(map(of_run, runs)), len(word) >= 64)
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        split = [text.split() for text in texts]
+        self._learn(set().union(*split))
+        of_word = self._words.__getitem__
+        return [np.frombuffer(b"".join(map(of_word, words)), "<u2") for words in split]
 
 
 class Packer:
@@ -151,9 +185,9 @@ def _pack(batches, path: str, capacity: int, end_id: int) -> Iterator[pa.RecordB
     rows: list[tuple] = []
     for batch in batches:
         docs = batch.column("doc_id").to_pylist()
-        for first, texts in common.slices(batch, "text"):
-            for k, text in enumerate(texts):
-                rows += packer.add(docs[first + k], np.concatenate([tokens(text or b""), end]))
+        for first, texts in common.slices(batch, "text", 1 << 20):
+            for k, ids in enumerate(tokens([text or b"" for text in texts])):
+                rows += packer.add(docs[first + k], np.concatenate([ids, end]))
                 if len(rows) >= 20_000:
                     yield batch_of(rows)
                     rows = []
