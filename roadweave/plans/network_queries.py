@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, geometry as geo
 from ..operators import project
+from ..operators.scratch import shared_dir
 from ..sources import gpkg
 from .registry import query, table
 
@@ -97,9 +98,7 @@ def regex_name(spark: SparkSession, sf: str) -> DataFrame:
 def gpkg_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Lines written to a GeoPackage layer and read back."""
     gpkg.register(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    folder = folder.removeprefix("file://") if folder else tempfile.gettempdir()
-    path = f"{tempfile.mkdtemp(prefix='spark-', dir=folder)}/layers.gpkg"
+    path = f"{tempfile.mkdtemp(prefix='spark-', dir=shared_dir(spark).removeprefix('file://'))}/layers.gpkg"
     at = lambda i: F.col("embedding")[i].cast("double")
     line = F.array(geo.point(at(0), at(1)), geo.point(at(2), at(3)))
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"), gpkg.to_wkb(line).alias("geometry"))

@@ -239,3 +239,12 @@ def longest(parts):
 
     best = F.array_max(F.transform(parts, lambda p, i: F.struct(length(p).alias("l"), (-i).alias("i"), p.alias("p"))))
     return best["p"]
+
+
+def nearest_part(parts, point):
+    """The part of a multi-line nearest to ``point``, the first of equals."""
+    from ..functions.geometry import edges, point_edge
+
+    gap = lambda p: F.array_min(F.transform(edges(p), lambda e: point_edge(point, e["a"], e["b"])))
+    best = F.array_min(F.transform(parts, lambda p, i: F.struct(gap(p).alias("d"), i.alias("i"), p.alias("p"))))
+    return best["p"]

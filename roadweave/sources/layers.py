@@ -55,10 +55,12 @@ def routes(df: DataFrame, response: str = "response") -> DataFrame:
     return rows.withColumns({"distance_m": F.when(ok, first["distance"]), "line": F.when(ok, line)})
 
 
-def fetched(df: DataFrame, url, timeout: float = 10.0, pause: float = 0.5, key: str = "ID_ARC") -> DataFrame:
-    """(key, response): answers of a routing service asked one after another from one task, with a pause; null on any failure.
+def fetched(df: DataFrame, url, timeout: float = 10.0, pause: float = 0.5, key: str = "ID_ARC", tasks: int = 1) -> DataFrame:
+    """(key, response): answers of a routing service; null on any failure.
 
     ``url``: a function of (lon_a, lat_a, lon_b, lat_b) that gives the address.
+    ``tasks`` ask at once, each with ``tasks`` times the pause after a
+    question, so that the service is asked as often as by one.
     """
 
     def ask(batches):
@@ -73,11 +75,11 @@ def fetched(df: DataFrame, url, timeout: float = 10.0, pause: float = 0.5, key:
                         out.append(answer.read().decode())
                 except Exception:  # noqa: BLE001  any failure is one status
                     out.append(None)
-                time.sleep(pause)
+                time.sleep(pause * tasks)
             yield type(pdf)({key: pdf[key], "response": out})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, "lon_a", "lat_a", "lon_b", "lat_b").coalesce(1).mapInPandas(ask, f"`{key}` {kind}, response string")
+    return df.select(key, "lon_a", "lat_a", "lon_b", "lat_b").repartition(tasks).mapInPandas(ask, f"`{key}` {kind}, response string")
 
 
 def subset(df: DataFrame, key: str, one=None, some: list | None = None, first: int | None = None, order: str | None = None) -> DataFrame:
@@ -98,3 +100,15 @@ def write_layers(layers: dict[str, DataFrame], path: str, first: str = "ID_ARC",
 
 def read_layer(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}")
+
+
+def optional(spark: SparkSession, *paths: str) -> list[DataFrame] | None:
+    """The Parquet tables of a source that may be absent; None if any of them is missing."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return [spark.read.parquet(path) for path in paths]
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise

@@ -201,3 +201,43 @@ def test_stream_refresh(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r["ID_ARC"], r["djma_m1"]) for r in updates.current(spark.read.parquet(f"{tmp_path}/out")).collect()] == [(1, 20)]
+
+
+def test_optional_source_and_layers(spark, tmp_path):
+    layers.write_layers({"a": spark.range(2).select("id", F.lit(1).alias("fid"), F.lit("g").alias("geometry"), F.lit(5).alias("ID_ARC"))}, str(tmp_path))
+    assert layers.read_layer(spark, str(tmp_path), "a").columns == ["ID_ARC", "id", "geometry"]
+    assert layers.optional(spark, f"{tmp_path}/a", f"{tmp_path}/b") is None
+    assert [t.count() for t in layers.optional(spark, f"{tmp_path}/a")] == [2]
+
+
+def test_parts_of_lines(spark):
+    parts = F.array(line((0, 0), (1, 0)), line((0, 5), (9, 5)), line((0, 5), (9, 5)))
+    r = one(spark, long=gpkg.longest(parts), near=gpkg.nearest_part(parts, geo.point(F.lit(0.0), F.lit(1.0))))
+    assert r["long"][1]["x"] == 9 and r["near"][1]["x"] == 1
+
+
+def test_counts_and_samples(spark):
+    rows = spark.range(1).select(line((0, 0), (3, 4)).alias("line"), *[F.lit(v).alias(c) for c, v in (("val_djma_annee_1", "12"), ("djma_annee_1", "2025"), ("val_cam_annee_1", "x"), ("cam_annee_1", None))])
+    r = layers.counts(layers.with_srid(rows, 32198)).first()
+    assert (r["longueur_m"], r["djma_val"], r["djma_annee"], r["cam_val"]) == (5, 12, 2025, None)
+    from roadweave.operators import impute
+
+    df = spark.range(50)
+    assert impute.sample(df, "id", 7).collect() == impute.sample(df.repartition(3), "id", 7).collect() and impute.sample(df, "id", 7).count() == 7
+    twice = spark.createDataFrame([(1, 2), (1, 1), (2, 5)], "k int, v int")
+    assert sorted(map(tuple, pipelines.first_of(twice, "k", ["v"]).collect())) == [(1, 1), (2, 5)]
+
+
+def test_completion_end_to_end(spark):
+    """Series, neighbours and texts of three stations: whole, with a gap, and without counts."""
+    def station(i, x, djma, cam):
+        row = {"id": i, "x": x, "y": 0.0, "kind": "a", "annee_en_cours": "2025 DJMA:1 / DJME:5 / DJMH:6 / %cam:1 / 30e h:7"}
+        row |= {f"val_djma_annee_{k}": str(v) if v is not None else None for k, v in enumerate(djma, 1)}
+        return row | {f"val_cam_annee_{k}": str(v) if v is not None else None for k, v in enumerate(cam, 1)}
+
+    rows = [station(1, 0.0, [100] * 10, [10] * 10), station(2, 1.0, [100, None] + [300] * 8, [20] * 10), station(3, 0.5, [None] * 10, [None] * 10)]
+    schema = "id int, x double, y double, kind string, annee_en_cours string, " + ", ".join(f"val_{m}_annee_{k} string" for m in ("djma", "cam") for k in range(1, 11))
+    got = {r["id"]: r for r in pipelines.complete_series(spark.createDataFrame([[r[c.split()[0]] for c in schema.split(", ")] for r in rows], schema)).collect()}
+    assert [got[k]["methode_djma"] for k in (1, 2, 3)] == ["complet", "interpolation", "geo_knn"]
+    assert got[2]["val_djma_annee_2"] == 200 and got[3]["val_djma_annee_3"] == 200 and got[3]["val_cam_annee_1"] == 15
+    assert got[3]["annee_en_cours"].startswith("2025 DJMA:100 / DJME:5") and "%cam:15.0" in got[3]["annee_en_cours"]
