@@ -217,6 +217,39 @@ def test_clashing_columns(spark):
     assert ctw.score_documents(rows).count() == 9
 
 
+def test_scores_of_odd_rows(spark):
+    got = defaultdict(list)
+    for r in ctw.score_documents(odd(spark)).collect():
+        got[r["doc_id"]].append(r)
+    assert [got[i][0]["n_tokens"] for i in (1, 2, 3, 4, 7)] == [1, 1, 1, 3, 3] and len(got[5]) == 2 and got[5][0] == got[5][1]
+    assert got[None][0]["held_out"] and got[None][0]["score"] == got[4][0]["score"] and got[1][0]["score"] == got[2][0]["score"]
+    none = docs(spark, [(i, "x y", "s") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2])
+    rows = ctw.score_documents(none).collect()
+    assert rows and all((r["train_tokens"], r["n_known"], r["base_score"]) == (0, 0, 0.0) and math.isclose(r["score"], 4 * -8 * math.log10(2)) for r in rows)
+
+
+def test_vectors_of_other_lengths_and_repeats(spark):
+    v = spark.createDataFrame([(100, [0.0, 0.0]), (1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0]), (200, [1.0, 1.0, 1.0]), (None, [9.0, 9.0])], "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.top_k(v, v.where("vec_id % 100 = 0")).collect())
+    assert got == [(100, 1, 1, 0), (100, 2, 1, 0), (200, 1, 2, 6 << 20)]
+    w = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0, 0.0], 1), (None, [1.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")
+    rows = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vecdedup.near_duplicates(w).collect())
+    assert rows[(1, 2, 1, True)] == 2 and rows[(2, 2, 1, False)] == 1 and rows[(3, 0, 3, True)] == 1 and sum(rows.values()) == 5
+
+
+def test_hot_cell_of_vectors(spark):
+    """One cell over the size of a chunk: 2500 near-equal vectors, all linked."""
+    v = spark.range(2500).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id") * 1e-6).cast("array<float>").alias("embedding"), F.lit(1).alias("label"))
+    got = vecdedup.near_duplicates(v).agg(F.min("n_links"), F.max("component_id"), F.count_if("kept"), F.count("*")).first()
+    assert tuple(got) == (2499, 0, 1, 2500)
+
+
+def test_warc_of_odd_rows(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x"), (1, "u", "x"), (None, "u", "x"), (2, None, None), (3, "v", "")], "page_id long, url string, html string")
+    rows = warc.read_records(warc.read_chunks(warc.write_archives(pages, str(tmp_path / "w")))).collect()
+    assert len(rows) == 5 and sorted(r["payload_bytes"] for r in rows) == [0, 0, 1, 1, 1]
+
+
 def test_empty_tables(spark):
     none = odd(spark).limit(0)
     for f in (packing.pack_documents, linededup.dedup_lines, langid.identify, ctw.score_documents, minhash.one_of_each):
