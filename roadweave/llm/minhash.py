@@ -242,17 +242,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 128, miss: floa
     node.  Other columns are not read.  An empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    sk = common.stored(texts.mapInArrow(partial(_sketches, k=k, percent=percent, miss=miss), "doc_id long, n_shingles long, least int, print binary, tag long, sketch array<long>"), "sketches")
+    sk = texts.mapInArrow(partial(_sketches, k=k, percent=percent, miss=miss), "doc_id long, n_shingles long, least int, print binary, tag long, sketch array<long>")
+    sk = common.stored(sk.withColumn("row", F.monotonically_increasing_id()), "sketches")
     some = sk.where("n_shingles > 0")
     copies = common.stored(some.groupBy("print").agg(F.count("*").alias("n"), F.min("doc_id").alias("id")).where("n > 1").select("print", "id"), "copies")
-    nodes = some.join(copies, "print", "left").where("doc_id is not null and (id is null or doc_id = id)").select(F.col("doc_id").alias("id"), "tag", "least", "sketch")
-    nodes, node = nodes.dropDuplicates(["id", "tag"]), ["id", "tag"]
+    again = some.select("row", "print", "doc_id").join(common.broadcast_if_small(copies), "print")  # of each set of copies one row stays
+    stay = again.where("doc_id = id").groupBy("print").agg(F.min("row").alias("row"))
+    gone = common.stored(again.select("row").join(stay.select("row"), "row", "left_anti"), "gone")
+    nodes = some.where("doc_id is not null").join(common.broadcast_if_small(gone), "row", "left_anti")
+    node = ["id", "tag"]
 
-    posted = nodes.select(*node, F.explode("sketch").alias("value"))
+    posted = nodes.select("row", F.explode("sketch").alias("value"))  # the widest step: two numbers a row
     shared = posted.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
-    values = posted.join(shared.select("value"), "value").groupBy(*node).agg(F.collect_list("value").alias("values"))
-    taking = values.join(nodes.select(*node, "least"), node).where(F.size("values") >= F.col("least"))
-    taking = common.stored(taking, "taking")
+    values = posted.join(shared.select("value"), "value").groupBy("row").agg(F.collect_list("value").alias("values"))
+    taking = values.join(some.select("row", F.col("doc_id").alias("id"), "tag", "least"), "row").where(F.size("values") >= F.col("least"))
+    taking = common.stored(taking.drop("row"), "taking")
     posted = taking.select(*node, "least", F.explode("values").alias("value"))
     shared = posted.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
     ordered = posted.join(shared, "value").groupBy(*node).agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("values"), F.first("least").alias("least"))
