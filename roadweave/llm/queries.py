@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, ctw, langid, linededup, minhash, mixing, packing, runs, sharding, topk, vecdedup, vectorcodes, warc
+from . import common, ctw, langid, linededup, mainhtml, minhash, mixing, packing, runs, sharding, topk, vecdedup, vectorcodes, warc
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,11 @@ def op10_score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_documents(common.table(spark, sf_dir, "documents"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mainhtml.main_text(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digest(runs.with_planted_runs(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -64,7 +69,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_duplicates, op2_mix_sources, op3_pack_documents, op4_top_k, op5_shard_documents, op6_near_vectors, op7_identify_language, op8_warc_round_trip, op9_dedup_lines, op10_score_documents, op12_word_runs, op13_vector_codes)
+    f.__name__: f for f in (op1_near_duplicates, op2_mix_sources, op3_pack_documents, op4_top_k, op5_shard_documents, op6_near_vectors, op7_identify_language, op8_warc_round_trip, op9_dedup_lines, op10_score_documents, op11_main_text, op12_word_runs, op13_vector_codes)
 }
 
 ORACLES: dict[str, str] = {"op1_near_duplicates": minhash.near_duplicates_sql(75), "op4_top_k": topk.top_k_sql(100, 10), "op6_near_vectors": vecdedup.near_duplicates_sql(0.98), "op9_dedup_lines": linededup.line_cuts_sql(), "op13_vector_codes": vectorcodes.code_digest_sql()}
