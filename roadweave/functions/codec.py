@@ -56,27 +56,31 @@ def parse_values(text: Column, sep: str = "|") -> Column:
     return F.filter(F.transform(_tokens(text, sep), _value), lambda v: v.isNotNull())
 
 
-def parse_pairs(text: Column, other: Column, sep: str = "|") -> Column:
-    """array<struct<pos, value, paired>>: two lists read in parallel to the shorter; rows without value are skipped.
+def _parallel(text: Column, other: Column, sep: str) -> tuple[Column, Column]:
+    """The tokens of both texts, to the shorter; (tokens of the first, none) where the second is absent.
 
-    A missing second list pairs every value with null.
+    Only whole arrays are made of the texts: a term that splits them must never stand inside a lambda, where every element would split anew.
     """
     first, second = _tokens(text, sep), _tokens(other, sep)
     absent = other.isNull() | (other == "")
     n = F.when(absent, F.size(first)).otherwise(F.least(F.size(first), F.size(second)))
-    at = lambda a, i: F.try_element_at(a, i.cast("int"))
-    rows = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(i.alias("pos"), _value(at(first, i)).alias("value"), F.when(~absent, _value(at(second, i))).alias("paired")))
+    return F.slice(first, F.lit(1), n), F.slice(second, F.lit(1), n)
+
+
+def parse_pairs(text: Column, other: Column, sep: str = "|") -> Column:
+    """array<struct<pos, value, paired>>: two lists read in parallel to the shorter; rows without value are skipped.
+
+    A missing second list pairs every value with null.
+    """
+    both = F.zip_with(*_parallel(text, other, sep), lambda a, b: F.struct(_value(a).alias("value"), _value(b).alias("paired")))
+    rows = F.transform(both, lambda r, i: F.struct((i + 1).alias("pos"), r["value"].alias("value"), r["paired"].alias("paired")))
     return F.filter(rows, lambda r: r["value"].isNotNull())
 
 
 def parse_weighted(text: Column, classes: Column, weights: dict = CLASS_WEIGHTS, sep: str = "|") -> Column:
     """array<struct<value, weight>>: a value list zipped, to the shorter, with a class list turned into weights."""
-    first, second = _tokens(text, sep), _tokens(classes, sep)
-    absent = classes.isNull() | (classes == "")
-    n = F.when(absent, F.size(first)).otherwise(F.least(F.size(first), F.size(second)))
-    at = lambda a, i: F.try_element_at(a, i.cast("int"))
-    rows = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(_value(at(first, i)).alias("value"), lookup(F.coalesce(at(second, i), F.lit("")), weights, 1).alias("weight")))
-    return F.filter(rows, lambda r: r["value"].isNotNull())
+    both = F.zip_with(*_parallel(text, classes, sep), lambda a, b: F.struct(_value(a).alias("value"), lookup(F.coalesce(b, F.lit("")), weights, 1).alias("weight")))
+    return F.filter(both, lambda r: r["value"].isNotNull())
 
 
 def component(text: Column, key: str) -> Column:
