@@ -16,6 +16,7 @@ from ..operators import impute, methods, spatial
 from .registry import query, table
 
 VERTICES, STEP = 32, 0.1
+_VERTICES_SQL = f"{VERTICES}::bigint"
 RADIUS, CELL, REACH = 0.02, 0.1, 0.5
 
 

@@ -151,7 +151,7 @@ def test_weightless_classes_count_plainly(spark):
 
 def test_gpkg_layers(spark, tmp_path):
     gpkg.register(spark)
-    path = str(tmp_path / "x.gpkg")
+    path = str(tmp_path / "x")
     df = spark.range(3).select("id", F.lit("é").alias("name"), gpkg.to_wkb(line((0, 0), (1, 1))).alias("geometry"))
     for mode, layer in (("overwrite", "a"), ("append", "b"), ("append", "b")):
         df.write.format("gpkg").mode(mode).option("path", path).option("layer", layer).save()
