@@ -11,7 +11,7 @@ from ..functions import codec, geometry as geo
 from ..functions.rounding import half_even
 from . import compare, series
 from .scratch import cut
-from .spatial import nearest_points
+from .nearest import nearest_points
 
 K = 5
 

@@ -7,12 +7,11 @@ skewed cells adaptive execution may split, and exact predicates refine.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
+from .nearest import nearest_points  # noqa: F401  part of this module's interface
 from .scratch import cut
 
 DISTANCE_M, ANGLE_DEG, NODES_M, CLIP_M, SEARCH_M = 400.0, 45.0, 3000.0, 2000.0, 1500.0
@@ -104,50 +103,6 @@ def nearest_lines(targets: DataFrame, sources: DataFrame, radius: float, target_
     raise RuntimeError("targets lie farther from any source than the last radius")
 
 
-def nearest_points(targets: DataFrame, sources: DataFrame, k: int, cell: float | None = None, others: bool = False) -> DataFrame:
-    """(target, source, distance, rank): the ``k`` nearest sources of each target, by (distance, id); fewer if there are fewer.
-
-    Both are (id, x, y).  Targets look up their own cell and the eight around
-    it; one whose k-th distance is within a cell's width is done, the others
-    go on with cells four times as wide, where those that found k at all end.
-    By default a cell first holds about ``k / 2`` sources.  With ``others`` a
-    target's own id is no source of it.
-    """
-    box = sources.agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    area = targets.agg(*[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    schema = "target long, source long, distance double, rank int"
-    if not box["n"] or area["lo_x"] is None:
-        return targets.sparkSession.createDataFrame([], schema)
-    widest = max(max(box[f"hi_{c}"], area[f"hi_{c}"]) - min(box[f"lo_{c}"], area[f"lo_{c}"]) for c in "xy")
-    w, h = (box[f"hi_{c}"] - box[f"lo_{c}"] for c in "xy")
-    share = max(1.0, k / 2) / box["n"]
-    size = float(cell or max(math.sqrt(w * h * share), max(w, h) * share, widest / 1e6, 1e-9))
-    if box["n"] <= k:
-        size = max(size, 2 * widest)
-    left, out = targets.select(F.col("id").alias("target"), "x", "y"), None
-    there = sources.select(F.col("id").alias("source"), F.col("x").alias("sx"), F.col("y").alias("sy"))
-    while True:
-        at = lambda c: F.floor(F.col(c) / size).cast("long")  # noqa: E731, B023
-        around = left
-        for c, v in (("cx", "x"), ("cy", "y")):
-            around = around.withColumn(c, F.explode(F.sequence(at(v) - 1, at(v) + 1)))
-        pairs = around.join(there.withColumns({"cx": at("sx"), "cy": at("sy")}), ["cx", "cy"])
-        pairs = pairs.where("target <> source") if others else pairs
-        pairs = pairs.withColumn("distance", F.sqrt((F.col("sx") - F.col("x")) * (F.col("sx") - F.col("x")) + (F.col("sy") - F.col("y")) * (F.col("sy") - F.col("y"))))
-        rank = F.row_number().over(Window.partitionBy("target").orderBy("distance", "source"))
-        best = pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("target", "source", "distance", "rank")
-        if size > widest:
-            return best if out is None else out.unionByName(best)
-        best = cut(best)
-        done = best.where((F.col("rank") == k) & (F.col("distance") <= size)).select("target")
-        final = best.join(done, "target", "left_semi")
-        out = final if out is None else out.unionByName(final)
-        left = cut(left.join(done, "target", "left_anti"))
-        if left.isEmpty():
-            return out
-        size *= 4
-
-
 def along_trace(near: DataFrame, traces: DataFrame, segments: DataFrame, most: float = ANGLE_DEG) -> DataFrame:
     """The pairs (l, r, ..) of ``near`` whose segment runs along the trace where the trace is nearest to the segment's centroid.
 
