@@ -22,19 +22,19 @@ def interpolate(series: Column, places: Column | None = None) -> Column:
     """Interior gaps filled on the straight line between their known neighbours; edges stay null.
 
     ``places``: those of the known slots, as a column if they are at hand.
+    The stretches from each known slot to the next are made one after another, so time grows with the slots.
     """
     places = _places(series) if places is None else places
+    n = F.size(places)
 
-    def fill(v: Column, i: Column) -> Column:
-        around = F.struct(F.array_max(F.filter(places, lambda p: p <= i)).alias("p"), F.array_min(F.filter(places, lambda p: p > i)).alias("q"))
+    def stretch(p: Column, q: Column) -> Column:
+        a, b = F.try_element_at(series, p), F.try_element_at(series, q)
+        return F.transform(F.sequence(p, q - 1), lambda i: F.when(i == p, a).otherwise(a + (b - a) * ((i - p) / (q - p))))
 
-        def between(n: Column) -> Column:
-            a, b = F.try_element_at(series, n["p"]), F.try_element_at(series, n["q"])
-            return a + (b - a) * ((i + 1 - n["p"]) / (n["q"] - n["p"]))
-
-        return F.when(v.isNotNull(), v).otherwise(F.get(F.transform(F.array(around), between), F.lit(0)))
-
-    return F.transform(series, fill)
+    inner = F.flatten(F.zip_with(F.slice(places, F.lit(1), n - 1), F.slice(places, F.lit(2), n - 1), stretch))
+    first, last = F.try_element_at(places, F.lit(1)), F.try_element_at(places, F.lit(-1))
+    head, tail = F.slice(series, F.lit(1), first - 1), F.slice(series, last, F.size(series) - last + 1)
+    return F.when(n > 0, F.concat(head, inner, tail)).otherwise(series)
 
 
 def with_interpolated(df: DataFrame, series: str, out: str) -> DataFrame:

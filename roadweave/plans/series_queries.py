@@ -19,16 +19,17 @@ FLOORS = {"djma": 20.0, "cam": 60.0}
 def _stations(spark: SparkSession, sf: str) -> DataFrame:
     """user_id, djma and cam: ARRAY<DOUBLE> of mean values by slot, oldest first, of purchases and of dearer ones."""
     e = table(spark, sf, "events").select("user_id", F.floor(F.datediff("ts", F.lit("2024-01-01")) / 3).cast("int").alias("slot"), F.rint(F.col("value") * 100).cast("bigint").alias("cents"), ((F.col("event_type") == "purchase") & (F.col("value") > 0)).alias("buys"))
-
-    def at(k: int, floor: float):
-        here = F.col("buys") & (F.col("slot") == k) & (F.col("cents") > int(floor * 100))
-        return F.try_divide(F.sum(F.when(here, F.col("cents"))).cast("double"), F.count_if(here).cast("double")) / 100
-
-    return e.groupBy("user_id").agg(*[F.array(*[at(k, f) for k in range(SLOTS)]).alias(name) for name, f in FLOORS.items()])
+    here = {name: F.col("buys") & (F.col("cents") > int(floor * 100)) for name, floor in FLOORS.items()}
+    sums = e.groupBy("user_id", "slot").agg(*[v.alias(f"{k}_{name}") for name, h in here.items() for k, v in (("sum", F.sum(F.when(h, F.col("cents")))), ("n", F.count_if(h)))])
+    mean = {name: F.try_divide(F.col(f"sum_{name}").cast("double"), F.col(f"n_{name}").cast("double")) / 100 for name in FLOORS}
+    slots = sums.select("user_id", *[F.when(F.col("slot").between(0, SLOTS - 1) & m.isNotNull(), F.struct("slot", m.alias("v"))).alias(name) for name, m in mean.items()])
+    maps = slots.groupBy("user_id").agg(*[F.map_from_entries(F.collect_list(name)).alias(name) for name in FLOORS])  # SLOTS entries at most
+    return maps.select("user_id", *[F.array(*[F.try_element_at(name, F.lit(k)) for k in range(SLOTS)]).alias(name) for name in FLOORS])
 
 
 def _long(df: DataFrame, column: str, value: str = "value") -> DataFrame:
-    return df.select("user_id", F.posexplode(column).alias("slot", value)).withColumn(value, half_even(F.col(value), 4))
+    """A row for each slot.  The outer form, as the other one filters by the array's size first, and that filter would sink below and compute the series once more."""
+    return df.select("user_id", F.posexplode_outer(column).alias("slot", value)).withColumn(value, half_even(F.col(value), 4))
 
 
 def _series_sql(name: str = "djma", tag: str = "") -> str:
