@@ -88,17 +88,17 @@ def list_methods(arcs: DataFrame, values: str = "ids_segs_djma_val", trucks: str
     mean = lambda a: _ratio(total(F.col(a)), F.nullif(F.size(a), F.lit(0)))
     by_weight = lambda a: _ratio(total(F.col(a), lambda r: r["value"] * r["weight"]), F.nullif(total(F.col(a), lambda r: r["weight"].cast("double")), F.lit(0).cast("decimal(38,6)")))
     weighted = lambda a: F.coalesce(by_weight(a), _ratio(total(F.col(a), lambda r: r["value"]), F.nullif(F.size(a), F.lit(0))))
-    ranked = F.array_sort(F.transform("_p", lambda r: F.struct(r["value"].alias("value"), r["pos"].alias("pos"), r["paired"].alias("paired"))))
+    ranked = F.sort_array(F.transform("_p", lambda r: F.struct(r["value"].alias("value"), r["pos"].alias("pos"), r["paired"].alias("paired"))))
     at = F.try_element_at(ranked, nearest_rank(F.size("_p")))
 
     def columns(k: int, count: Column, percent: Column, n: Column) -> dict[str, Column]:
         percent = F.when(count.isNotNull(), half_even(percent, 1))
         return {f"djma_m{k}": count, f"pct_cam_m{k}": percent, f"djma_cam_m{k}": truck_flow(count, percent), f"n_segs_m{k}": n.cast("int")}
 
-    rows = rows.withColumn("_at", F.when(F.size("_p") > 0, at))
-    out = columns(1, whole(mean("_v")), mean("_c"), F.size("_v")) | columns(3, whole(weighted("_w")), weighted("_x"), F.size("_w"))
+    rows = rows.withColumns({"_at": F.when(F.size("_p") > 0, at), "_m1": whole(mean("_v")), "_m3": whole(weighted("_w")), "_t1": mean("_c"), "_t3": weighted("_x")})  # each once
+    out = columns(1, F.col("_m1"), F.col("_t1"), F.size("_v")) | columns(3, F.col("_m3"), F.col("_t3"), F.size("_w"))
     out |= columns(4, whole(F.col("_at")["value"]), F.col("_at")["paired"], F.size("_p"))
-    return rows.withColumns(out).drop("_v", "_c", "_p", "_w", "_x", "_at")
+    return rows.withColumns(out).drop("_v", "_c", "_p", "_w", "_x", "_at", "_m1", "_m3", "_t1", "_t3")
 
 
 def borrowed_columns() -> list[str]:

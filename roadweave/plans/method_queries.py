@@ -198,7 +198,7 @@ def _lists(spark: SparkSession, sf: str) -> DataFrame:
     year = F.when(F.col("l_tax") > 0, F.col("year"))
     texts = F.struct("ord", codec.encode_value_year(F.col("djma_val"), year).alias("v"), codec.encode_value_year(F.col("cam_val"), year).alias("t"))
     classes = F.when(F.col("longueur_m") > 15, F.struct("ord", F.when(F.col("des_clasf") != "R", F.col("des_clasf")).alias("f")))
-    g = segments(spark, sf).groupBy("ID_ARC").agg(F.array_sort(F.collect_list(texts)).alias("s"), F.array_sort(F.collect_list(classes)).alias("r"))
+    g = segments(spark, sf).groupBy("ID_ARC").agg(F.sort_array(F.collect_list(texts)).alias("s"), F.sort_array(F.collect_list(classes)).alias("r"))
     pick = lambda a, f: codec.encode_list(F.transform(a, lambda x: x[f]))
     return g.select("ID_ARC", pick("s", "v").alias(LIST[0]), pick("s", "t").alias(LIST[1]), pick("r", "f").alias(LIST[2]))
 

@@ -63,7 +63,7 @@ def route_arcs(arcs: DataFrame, nodes: DataFrame, routes: DataFrame, roads: Data
     parts = pieces.select("id", F.array(at("t0"), at("t1")).alias("line"), "length", "edge_no", "t0")
     inside = parts.groupBy("id").agg(F.sum("length").alias("inside"))
     near_roads = spatial.pairs_within(parts, road_lines, spatial.SEARCH_M).join(roads.select(F.col("num_rts").alias("r"), half_even(F.col("seg_long_m"), 1).alias("m"), F.col("des_clasf_").alias("c")), "r")
-    ordered = lambda: F.array_sort(F.collect_list(F.struct("r", "m", "c")))
+    ordered = lambda: F.sort_array(F.collect_list(F.struct("r", "m", "c")))
     lists = near_roads.groupBy(F.col("l").alias("ID_ARC")).agg(ordered().alias("_r"))
     near = spatial.pairs_within(parts, counts.select(F.col("ide_sectn_trafc").alias("id"), "line"), spatial.DISTANCE_M)
     seg = counts.select(F.col("ide_sectn_trafc").alias("r"), F.col("line").alias("segment"), "djma_val", "djma_annee", "cam_val", "cam_annee")
@@ -71,7 +71,7 @@ def route_arcs(arcs: DataFrame, nodes: DataFrame, routes: DataFrame, roads: Data
     passed = spatial.along_trace(spatial.off_nodes(near.select("l", "r"), traces, segments), traces, segments).join(seg, "r")
     matched = passed.select(F.col("l").alias("ID_ARC"), F.col("r").alias("ide_sectn_trafc"), "djma_val", "djma_annee", "cam_val", "cam_annee", geo.length(F.col("segment")).alias("longueur_m"), F.col("segment").alias("geometry"))
     text = F.struct(F.col("ide_sectn_trafc").alias("i"), codec.encode_value_year(F.col("djma_val"), F.col("djma_annee")).alias("v"), codec.encode_value_year(F.col("cam_val"), F.col("cam_annee")).alias("t"))
-    found = matched.groupBy("ID_ARC").agg(F.array_sort(F.collect_list(text)).alias("_s"), F.count("*").cast("int").alias("n_segs_djma"), half_even(F.try_divide(100.0 * F.count("djma_val"), F.count("*").cast("double")), 1).alias("statut_djma_pct"))
+    found = matched.groupBy("ID_ARC").agg(F.sort_array(F.collect_list(text)).alias("_s"), F.count("*").cast("int").alias("n_segs_djma"), half_even(F.try_divide(100.0 * F.count("djma_val"), F.count("*").cast("double")), 1).alias("statut_djma_pct"))
     out = rows.join(inside.withColumnRenamed("id", "ID_ARC"), "ID_ARC", "left").join(lists, "ID_ARC", "left").join(found, "ID_ARC", "left")
     status = F.when(F.col("_status") != "ok", F.col("_status")).when(F.col("inside").isNull(), "hors_quebec").when(F.col("n_segs_djma").isNull(), "aucun_djma").otherwise("ok")
     pick = lambda a, f: codec.encode_list(F.transform(a, lambda x: x[f]))
