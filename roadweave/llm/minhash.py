@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from . import common
 
 WORDS = 5
-#: Bytes of a hash that full sets carry where they are compared: two shingles agree by chance in one of 2 ** 40 cases.
-PACKED = 5
 #: Lists of a set by which it first meets others.
 FIRST_LISTS = 2
 #: Sets that may hold a hash whose pairs are counted one by one.
@@ -86,17 +84,6 @@ def _sketches(batches, k: int, percent: int, miss: float) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([docs.slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([least_shared(len(s), k, percent, miss) for s in sets], pa.int32()), pa.array(prints, pa.binary()), tags, lists], ["doc_id", "n_shingles", "least", "print", "tag", "sketch"])
 
 
-def packed(hashes: np.ndarray) -> bytes:
-    """The low 40 bits of each hash, in the order of the hashes."""
-    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PACKED].tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // PACKED, 8), np.uint8)
-    out[:, :PACKED] = np.frombuffer(data, np.uint8).reshape(-1, PACKED)
-    return out.reshape(-1).view("<u8")
-
-
 def tag_of(digest: bytes) -> int:
     """What tells apart the sets of one doc_id."""
     return int.from_bytes(digest[:8], "big", signed=True)
@@ -109,7 +96,7 @@ def _full_sets(batches) -> Iterator[pa.RecordBatch]:
         for first, texts in common.slices(batch, "text"):
             sets = [shingle_set(t) for t in texts]
             tags = pa.array([tag_of(xxhash.xxh3_128_digest(x.tobytes())) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), tags, pa.array(map(packed, sets), pa.binary())], ["id", "tag", "full"])
+            yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), tags, pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["id", "tag", "full"])
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -145,15 +132,73 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked(sets: list[np.ndarray], least: np.ndarray, k: int, percent: int) -> np.ndarray:
-    """For each set the first one that it is connected with: what passes the estimate from the sketches is compared in full.
+@lru_cache(maxsize=1 << 16)
+def least_in_union(a: int, b: int, k: int, percent: int, miss: float) -> int:
+    """Hashes in the union's sketch that are common to two linked sets of ``a`` and ``b``, but for a chance of ``miss``.
 
-    The hashes that two sketches share hold those that their union's sketch shares, so with fewer than ``least`` no two sets are linked.
+    The union holds the larger set, and at the least similarity that links as many as there are to share.
     """
+    low, high = max(a, b), max(max(a, b), (a + b) * 100 // (100 + percent))
+    return min(_quantile(_rounded(u, k), k, percent, miss) for u in {low, high, *(low + (high - low) * i // 4 for i in range(1, 4))})
+
+
+def union_estimates(low: list[np.ndarray], i: np.ndarray, j: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of sketches: the size of their union's sketch, the ``k`` smallest hashes of both together, and how many of these both hold."""
+    size, both = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+    for lo in range(0, len(i), 4096):
+        pairs = list(zip(i[lo : lo + 4096], j[lo : lo + 4096]))
+        width = max(len(low[a]) + len(low[b]) for a, b in pairs)
+        merged = np.full((len(pairs), width), np.iinfo(np.uint64).max, np.uint64)
+        ends = np.empty(len(pairs), np.int64)
+        for r, (a, b) in enumerate(pairs):
+            n = len(low[a])
+            ends[r] = n + len(low[b])
+            merged[r, :n], merged[r, n : ends[r]] = low[a], low[b]
+        merged.sort(axis=1)
+        inside = np.arange(width)[None, :] < ends[:, None]
+        again = np.zeros(merged.shape, bool)
+        again[:, 1:] = (merged[:, 1:] == merged[:, :-1]) & inside[:, 1:]
+        new = inside & ~again
+        rank = np.cumsum(new, axis=1)
+        size[lo : lo + 4096] = np.minimum(rank[:, -1], k)
+        both[lo : lo + 4096] = (again & (rank <= k)).sum(axis=1)
+    return size, both
+
+
+def passing(sets: list[np.ndarray], least: np.ndarray, k: int, percent: int, miss: float) -> np.ndarray:
+    """The sets that some other one may be linked with, by the union's sketch.
+
+    Two sketches share at least what their union's sketch shares, so pairs that
+    share fewer than ``least`` are out.  Of the rest each set asks those it
+    shares most with first, one, then two, and so on up to 16 at once.  A set
+    that none of these links and that has more to ask counts as passing: then the full comparison costs less.
+    """
+    low = [s[:k] for s in sets]
+    shared = overlaps(low)
+    shared[shared < np.maximum(least[:, None], least[None, :])] = 0
+    np.fill_diagonal(shared, 0)
+    found, open_ = np.zeros(len(sets), bool), np.flatnonzero(shared.any(axis=1))
+    for ask in (1, 2, 4, 8, 16):
+        ask = min(ask, len(sets))
+        best = np.argpartition(-shared[open_], ask - 1, axis=1)[:, :ask]
+        i, j = np.repeat(open_, ask), best.ravel()
+        asked = shared[i, j] > 0
+        i, j = i[asked], j[asked]
+        _, both = union_estimates(low, i, j, k)
+        ok = both >= np.array([least_in_union(*sorted((len(sets[a]), len(sets[b]))), k, percent, miss) for a, b in zip(i.tolist(), j.tolist())], np.int64)
+        found[i[ok]] = found[j[ok]] = True
+        shared[i, j] = shared[j, i] = 0
+        open_ = np.flatnonzero(~found & shared.any(axis=1))
+        if not len(open_):
+            break
+    found[open_] = True
+    return np.flatnonzero(found)
+
+
+def linked(sets: list[np.ndarray], least: np.ndarray, k: int, percent: int, miss: float = 1e-7) -> np.ndarray:
+    """For each set the first one that it is connected with: sets that pass the estimate from their unions' sketches are compared in full."""
     root = np.arange(len(sets))
-    likely = overlaps([s[:k] for s in sets]) >= np.maximum(least[:, None], least[None, :])
-    np.fill_diagonal(likely, False)
-    some = np.flatnonzero(likely.any(axis=1))
+    some = passing(sets, least, k, percent, miss)
     if not len(some):
         return root
     size = np.array([len(sets[i]) for i in some], np.float64)
@@ -172,7 +217,7 @@ def linked(sets: list[np.ndarray], least: np.ndarray, k: int, percent: int) -> n
 
 
 @common.tidy
-def _forests(batches, k: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _forests(batches, k: int, percent: int, miss: float) -> Iterator[pa.RecordBatch]:
     """(a, b) of sets connected within a group; rows come sorted by (value, part, id), and a group holds a bounded number of sets."""
     held: dict = {"of": None, "id": [], "least": [], "set": []}
 
@@ -180,7 +225,7 @@ def _forests(batches, k: int, percent: int) -> Iterator[pa.RecordBatch]:
         if len(held["id"]) < 2:
             return None
         ids = np.array(held["id"], np.int64)
-        root = linked(held["set"], np.array(held["least"]), k, percent)
+        root = linked(held["set"], np.array(held["least"]), k, percent, miss)
         moved = np.flatnonzero(root != np.arange(len(root)))
         return pa.RecordBatch.from_arrays([pa.array(ids[root[moved]]), pa.array(ids[moved])], ["a", "b"]) if len(moved) else None
 
@@ -194,15 +239,15 @@ def _forests(batches, k: int, percent: int) -> Iterator[pa.RecordBatch]:
                 held = {"of": (value[i], part[i]), "id": [], "least": [], "set": []}
             held["id"].append(ids[i])
             held["least"].append(least[i])
-            held["set"].append(unpacked(full[i].as_py()))
+            held["set"].append(np.frombuffer(full[i].as_py(), "<u8"))
     if (found := links()) is not None:
         yield found
 
 
-def _connected(rows: DataFrame, k: int, percent: int, name: str) -> DataFrame:
+def _connected(rows: DataFrame, k: int, percent: int, miss: float, name: str) -> DataFrame:
     """Links (a, b) within the groups (value, part) of ``rows`` (with id, least, full)."""
     dealt = rows.select("value", "part", "id", "least", "full").repartition("value", "part").sortWithinPartitions("value", "part", "id")
-    return common.stored(dealt.mapInArrow(partial(_forests, k=k, percent=percent), "a long, b long").distinct(), name)
+    return common.stored(dealt.mapInArrow(partial(_forests, k=k, percent=percent, miss=miss), "a long, b long").distinct(), name)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 128, miss: float = 1e-7, chunk: int = 1024, chunk_mb: int = 16) -> DataFrame:
@@ -224,9 +269,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 128, miss: floa
       ``least - 1`` suffice as inverted lists: common passages, being frequent,
       come last and lead few documents together.  Of lists of the same sets one stays.
     * A list is dealt into groups of ``chunk`` sets or ``chunk_mb`` at most.
-      In a group, pairs pass the estimate from the sketches, then the exact
-      check on the full sets; what leaves it is a forest of the
-      connected sets, never pairs.
+      In a group, two sketches are merged into that of the union, whose common
+      part estimates the similarity; sets with a partner that passes are
+      compared on the full sets, all 64 bits of each hash.  What leaves a
+      group is a forest of the connected sets, never pairs.
     * First every set meets others in the longest of its lists only, which
       connects most copies.  Then all lists follow in which there still are
       sets that are not connected; lists that have sets in common are taken
@@ -278,7 +324,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 128, miss: floa
 
     first = lists.where("first")
     dealt = first.join(different(first), "value").withColumn("part", F.pmod(F.xxhash64("value", *node), F.col("parts")))
-    links = _connected(dealt.join(sets, node), k, percent, "links")
+    links = _connected(dealt.join(sets, node), k, percent, miss, "links")
     groups = common.components(links, "groups")
 
     grouped = common.stored(lists.join(groups.withColumnRenamed("node", "id"), "id", "left").select("value", *node, F.coalesce("component", "id").alias("group")), "grouped-lists")
@@ -298,7 +344,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 128, miss: floa
     open_ = common.stored(left.groupBy("value").agg(parts(F.count("*"), F.sum("bytes")).alias("parts")), "left-parts")
     left = left.join(open_, "value")
     short = left.where("parts = 1").select("value", *node, F.lit(0).cast("long").alias("part"))
-    links = links.union(_connected(short.join(sets, node), k, percent, "more-links"))
+    links = links.union(_connected(short.join(sets, node), k, percent, miss, "more-links"))
     if not open_.where("parts > 1").isEmpty():
         left = left.where("parts > 1")
         by_group = left.groupBy("value", "group").agg(F.count("*").alias("n"))
@@ -311,7 +357,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 128, miss: floa
         pair = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct(F.lit(False).alias("m"), F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
         both = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda i: F.struct(F.lit(True).alias("m"), i.alias("i"), own.alias("j")))
         dealt = left.select("value", *node, F.explode(F.coalesce(to, F.concat(both, pair))).alias("g")).withColumn("part", F.xxhash64("g.m", "g.i", "g.j"))
-        links = links.union(_connected(dealt.join(sets, node), k, percent, "long-links"))
+        links = links.union(_connected(dealt.join(sets, node), k, percent, miss, "long-links"))
     groups = common.components(links, "all-groups")
 
     out = sk.select("doc_id", "n_shingles", "print").join(copies, "print", "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.coalesce("id", "doc_id")))
