@@ -25,79 +25,157 @@ def rotation(dim: int) -> np.ndarray:
     return _rotations[dim]
 
 
-def block_rows(ids: list, vectors: list, cosine: float) -> dict[str, list]:
+def block_edges(dim: int) -> np.ndarray:
+    return np.linspace(0, dim, min(BLOCKS, dim) + 1).astype(int)
+
+
+def rotated(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors, rotated, as 32-bit floats; made once for each vector, so that every comparison sees the same bits."""
+    x = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return ((x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation(x.shape[1])).astype(np.float32)
+
+
+def block_rows(turned: np.ndarray, cosine: float) -> dict[str, np.ndarray | list]:
     """Rows of the range join: each vector once as native of its cell, and as visitor of the cells in reach, for each block.
 
     Unit vectors with cosine c lie at squared distance 2 - 2c.  Cut into
     blocks, some block has at most its proportional part of that, so its first
     coordinates differ by at most the root.  Cells are twice as wide.
     """
-    out: dict[str, list] = {k: [] for k in ("id", "dim", "block", "cell", "native", "point")}
-    by_dim: dict[int, list[int]] = {}
-    for i, v in enumerate(vectors):
-        by_dim.setdefault(len(v), []).append(i)
-    for dim, at in by_dim.items():
-        x = np.array([vectors[i] for i in at], np.float64)
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        x = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation(dim)
-        edges = np.linspace(0, dim, min(BLOCKS, dim) + 1).astype(int)
-        for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
-            reach = np.sqrt((2 - 2 * cosine) * (hi - lo) / dim + SLACK)
-            part = x[:, lo:hi].astype(np.float32)
-            first = part[:, 0].astype(np.float64)
-            home, low, high = (np.floor(y / (2 * reach)).astype(int) for y in (first, first - reach, first + reach))
-            points = [p.tobytes() for p in part]
-            for j, i in enumerate(at):
-                cells = range(low[j], high[j] + 1)
-                k = 1 + len(cells)
-                out["id"] += [ids[i]] * k
-                out["dim"] += [dim] * k
-                out["block"] += [b] * k
-                out["cell"] += [home[j], *cells]
-                out["native"] += [True] + [False] * len(cells)
-                out["point"] += [points[j]] * k
-    return out
-
-
-def _pairs(cosine: float):
-    def pairs(group: pa.Table) -> pa.Table:
+    n, dim = turned.shape
+    edges = block_edges(dim)
+    out: dict[str, list] = {k: [] for k in ("at", "block", "cell", "native", "point")}
+    for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
+        reach = np.sqrt(budget(cosine, lo, hi, dim))
+        first = turned[:, lo].astype(np.float64)
+        home, low, high = (np.floor(y / (2 * reach)).astype(np.int64) for y in (first, first - reach, first + reach))
+        visits = high - low + 1
+        at = np.concatenate([np.arange(n), np.repeat(np.arange(n), visits)])
+        step = np.arange(visits.sum()) - np.repeat(np.cumsum(visits) - visits, visits)
+        points = [p.tobytes() for p in np.ascontiguousarray(turned[:, lo:hi])]
+        out["at"].append(at)
+        out["block"].append(np.full(len(at), b))
+        out["cell"].append(np.concatenate([home, np.repeat(low, visits) + step]))
+        out["native"].append(np.arange(len(at)) < n)
+        out["point"] += [points[i] for i in at]
+    return {k: np.concatenate(v) if k != "point" else v for k, v in out.items()}
+
+
+def budget(cosine: float, lo: int, hi: int, dim: int) -> float:
+    """The squared distance that a block may hold of that of two vectors."""
+    return (2 - 2 * cosine) * (hi - lo) / dim + SLACK
+
+
+def _near(points: np.ndarray, a: np.ndarray, b: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``a`` and ``b`` of rows whose points are within a squared distance of about ``most``."""
+    square = (points * points).sum(axis=1)
+    return np.nonzero(square[a][:, None] + square[b][None, :] - 2 * points[a] @ points[b].T <= most + 1e-9)
+
+
+def _taking_part(cosine: float):
+    """Of a group the rows of vectors that some other one is near to in this block."""
+
+    def taking(group: pa.Table) -> pa.Table:
         ids, native = group.column("id").to_numpy(), group.column("native").to_numpy(zero_copy_only=False)
         points = np.frombuffer(b"".join(group.column("point").to_pylist()), np.float32).reshape(len(ids), -1).astype(np.float64)
-        dim = group.column("dim")[0].as_py()
-        budget = (2 - 2 * cosine) * points.shape[1] / dim + SLACK
-        a, b = np.flatnonzero(~native), np.flatnonzero(native)
-        left, right = [], []
-        square = (points * points).sum(axis=1)
+        edges = block_edges(group.column("dim")[0].as_py())
+        k = group.column("block")[0].as_py()
+        most = budget(cosine, edges[k], edges[k + 1], edges[-1])
+        a, b, some = np.flatnonzero(~native), np.flatnonzero(native), np.zeros(len(ids), bool)
         for lo in range(0, len(b), CHUNK):
             bb = b[lo : lo + CHUNK]
             for la in range(0, len(a), CHUNK):
                 aa = a[la : la + CHUNK]
-                near = square[aa][:, None] + square[bb][None, :] - 2 * points[aa] @ points[bb].T <= budget
-                i, j = np.nonzero(near & (ids[aa][:, None] < ids[bb][None, :]))
-                left.append(ids[aa][i])
-                right.append(ids[bb][j])
-        cat = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
-        return pa.table([cat(left), cat(right)], ["a", "b"])
+                i, j = _near(points, aa, bb, most)
+                other = ids[aa[i]] < ids[bb[j]]  # each pair from one side, none with itself
+                some[aa[i[other]]] = some[bb[j[other]]] = True
+        return group.filter(pa.array(some)).drop_columns(["point"])
+
+    return taking
 
-    return pairs
 
+def _links(cosine: float):
+    """Of a group: how many copies each vector is linked with, each pair counted in the first block that it qualifies in only, and a forest of the linked vectors."""
 
-def linked_pairs(nodes: DataFrame, cosine: float) -> DataFrame:
-    """Pairs (a, b), a < b, of ``nodes`` (id LONG, label, vector ARRAY) of equal label with cosine of ``cosine`` or more."""
+    def links(group: pa.Table) -> pa.Table:
+        ids, native = group.column("id").to_numpy(), group.column("native").to_numpy(zero_copy_only=False)
+        copies = group.column("copies").to_numpy()
+        turned = np.frombuffer(b"".join(group.column("turned").to_pylist()), np.float32).reshape(len(ids), -1).astype(np.float64)
+        whole = np.asarray(group.column("vector").combine_chunks().flatten(), np.float64).reshape(len(ids), -1)
+        norms = np.sqrt((whole * whole).sum(axis=1))
+        edges, k = block_edges(turned.shape[1]), group.column("block")[0].as_py()
+        most = [budget(cosine, lo, hi, edges[-1]) for lo, hi in zip(edges[:-1], edges[1:])]
+        a, b = np.flatnonzero(~native), np.flatnonzero(native)
+        degree: dict[int, int] = {}
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for lo in range(0, len(b), CHUNK // 4):
+            bb = b[lo : lo + CHUNK // 4]
+            for la in range(0, len(a), CHUNK // 4):
+                aa = a[la : la + CHUNK // 4]
+                i, j = _near(turned[:, edges[k] : edges[k + 1]], aa, bb, most[k])
+                i, j = aa[i], bb[j]
+                other = ids[i] < ids[j]
+                i, j = i[other], j[other]
+                for start in range(0, len(i), 1 << 14):
+                    x, y = i[start : start + (1 << 14)], j[start : start + (1 << 14)]
+                    ways = np.stack([((turned[x, p:q] - turned[y, p:q]) ** 2).sum(axis=1) for p, q in zip(edges[:-1], edges[1:])], axis=1)
+                    mine = (ways[:, k] <= most[k] - 1e-9) & ~(ways[:, :k] <= np.array(most[:k]) - 1e-9).any(axis=1)
+                    x, y = x[mine], y[mine]
+                    linked = (whole[x] * whole[y]).sum(axis=1) / (norms[x] * norms[y]) >= cosine
+                    x, y = x[linked], y[linked]
+                    for u, v in ((x, y), (y, x)):
+                        own, at = np.unique(ids[u], return_inverse=True)
+                        for node, n in zip(own.tolist(), np.bincount(at, weights=copies[v]).astype(np.int64).tolist()):
+                            degree[node] = degree.get(node, 0) + n
+                    for u, v in zip(ids[x].tolist(), ids[y].tolist()):
+                        u, v = top(u), top(v)
+                        root[max(u, v)] = min(u, v)
+        nodes = sorted(degree)
+        return pa.table([pa.array(nodes, pa.int64()), pa.array([degree[x] for x in nodes], pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["id", "others", "root"])
+
+    return links
+
+
+def links_of(nodes: DataFrame, cosine: float) -> DataFrame:
+    """(id, others, root) for the vectors that have links, a row for each group they have some in: how many copies of others, and the smallest one of the group that they are connected with.
+
+    ``nodes``: id LONG, label, vector ARRAY, copies LONG; of equal label and length only those of a cosine of ``cosine`` or more link.
+    """
     kind = nodes.schema["label"].dataType.simpleString()
     keep = ["id", "label", "dim", "block", "cell", "native", "point"]
 
+    def turn(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column("vector").to_pylist()
+            turned: list = [None] * len(vectors)
+            for dim in {len(v) for v in vectors}:
+                at = [i for i, v in enumerate(vectors) if len(v) == dim]
+                for i, x in zip(at, rotated(np.array([vectors[i] for i in at], np.float64))):
+                    turned[i] = x.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), batch.column("copies"), batch.column("vector"), pa.array(turned, pa.binary())], ["id", "label", "copies", "vector", "turned"])
+
     def spread(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                label = part.column("label")
-                rows = block_rows(list(range(part.num_rows)), part.column("vector").to_pylist(), cosine)
-                at = pa.array(rows["id"], pa.int64())
-                kinds = {"dim": pa.int32(), "block": pa.int32(), "cell": pa.int64(), "native": pa.bool_(), "point": pa.binary()}
-                yield pa.RecordBatch.from_arrays([part.column("id").take(at), label.take(at), *[pa.array(rows[c], t) for c, t in kinds.items()]], keep)
-
-    rows = common.stored(nodes.mapInArrow(spread, f"id long, label {kind}, dim int, block int, cell long, native boolean, point binary"), "pigeonholes")
+            sizes = [len(x) // 4 for x in batch.column("turned").to_pylist()]
+            for dim in sorted(set(sizes)):
+                at = np.flatnonzero(np.array(sizes) == dim)
+                for lo in range(0, len(at), 500):
+                    part = batch.take(pa.array(at[lo : lo + 500]))
+                    rows = block_rows(np.frombuffer(b"".join(part.column("turned").to_pylist()), np.float32).reshape(part.num_rows, dim), cosine)
+                    own = pa.array(rows["at"], pa.int64())
+                    kinds = {"block": pa.int32(), "cell": pa.int64(), "native": pa.bool_(), "point": pa.binary()}
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(own), part.column("label").take(own), pa.array(np.full(len(own), dim), pa.int32()), *[pa.array(rows[c], t) for c, t in kinds.items()]], keep)
+
+    whole = nodes.select("id", "label", "copies", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    whole = common.stored(whole.mapInArrow(turn, f"id long, label {kind}, copies long, vector array<double>, turned binary"), "turned-vectors")
+    rows = common.stored(whole.select("id", "label", "turned").mapInArrow(spread, f"id long, label {kind}, dim int, block int, cell long, native boolean, point binary"), "pigeonholes")
     key = ["label", "dim", "block", "cell"]
     counts = rows.groupBy(*key).agg(F.count_if("native").alias("natives"), F.count_if(~F.col("native")).alias("visitors")).where("natives > 0 and visitors > 1")
     chunks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / CHUNK)).cast("int")
@@ -107,12 +185,10 @@ def linked_pairs(nodes: DataFrame, cosine: float) -> DataFrame:
     dealt = dealt.select(*keep, own.alias("own"), other.alias("other"))
     i, j = F.when(F.col("native"), F.col("own")).otherwise(F.col("other")), F.when(F.col("native"), F.col("other")).otherwise(F.col("own"))
     dealt = dealt.withColumns({"i": i, "j": j}).drop("own", "other")
-    pairs = dealt.groupBy(*key, "i", "j").applyInArrow(_pairs(cosine), "a long, b long").distinct()
-    vector = lambda side: nodes.select(F.col("id").alias(side), F.transform("vector", lambda x: x.cast("double")).alias("v" + side))
-    both = pairs.join(vector("a"), "a").join(vector("b"), "b")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    exact = dot("va", "vb") / (F.sqrt(dot("va", "va")) * F.sqrt(dot("vb", "vb")))
-    return both.where(exact >= cosine).select("a", "b").distinct()
+    group = [*key, "i", "j"]
+    taking = dealt.groupBy(*group).applyInArrow(_taking_part(cosine), f"id long, label {kind}, dim int, block int, cell long, native boolean, i int, j int")
+    taking = common.stored(taking, "taking-vectors").join(whole.select("id", "copies", "vector", "turned"), "id")
+    return taking.groupBy(*group).applyInArrow(_links(cosine), "id long, others long, root long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
@@ -121,28 +197,36 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     Rows of equal label link when their cosine, in double precision, is at
     least ``cosine``.  Equal vectors of a label are one node first, so copies
     cost one comparison.  Nodes are rotated and cut into eight blocks; for
-    each block a range join by cell of its first coordinate finds nodes whose
-    block distance is within its part of the budget (hot cells are dealt in
-    chunks of 2048), and the union of what the blocks find is verified on the
-    full vectors.  No pair that qualifies can miss every block.
+    each block a range join by cell of its first coordinate finds nodes that
+    have others at a block distance within its part of the budget (hot cells
+    are dealt in chunks of 2048).  Those meet once more with their full
+    vectors, where each pair is verified in the first block that it qualifies
+    in.  No pair that qualifies can miss every block.  A group gives each of
+    its vectors a count of links and the smallest vector it is connected with,
+    so that its output grows with its vectors, not with their pairs.
 
     Null labels, null, empty or zero vectors, vectors with null or non-finite
     components, and rows without vec_id link with nothing: n_links 0,
     component_id their own vec_id.  Vectors of other lengths never link.
     Repeated rows link with each other as copies do; rows that share a vec_id
-    with another vector pool their links under it.
+    with another vector count links each for itself, and are one in the
+    components.  An empty table stays empty.  Other columns are left out.
     """
     kind = vectors.schema["label"].dataType.simpleString()
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     fits = usable(F.col("embedding")) & F.exists("embedding", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     nodes = base.where(fits).groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     nodes = common.stored(nodes, "vector-nodes")
-    links = common.stored(linked_pairs(nodes.select("id", "label", F.col("embedding").alias("vector")), cosine), "vector-links")
-    both = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
-    copies = nodes.groupBy("id").agg(F.sum("copies").alias("copies"))
-    degree = both.join(copies, F.col("b") == F.col("id")).groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("others"))
-    parts = common.components(links, "vector-parts").withColumnRenamed("node", "id")
-    state = nodes.join(degree, "id", "left").join(parts, "id", "left").select(
+    (mark,) = common.fresh(nodes, "node")
+    nodes = common.stored(nodes.withColumn(mark, F.monotonically_increasing_id()), "marked-vectors")
+    links = common.stored(links_of(nodes.select(F.col(mark).alias("id"), "label", F.col("embedding").alias("vector"), "copies"), cosine), "vector-links")
+    degree = links.groupBy(F.col("id").alias(mark)).agg(F.sum("others").alias("others"))
+    name = nodes.select(F.col(mark), "id")
+    edges = links.select(F.col("root").alias("a"), F.col("id").alias("b")).distinct()
+    for end in "ab":
+        edges = edges.join(name.select(F.col(mark).alias(end), F.col("id").alias(f"{end}_id")), end).drop(end).withColumnRenamed(f"{end}_id", end)
+    parts = common.components(edges.select("a", "b"), "vector-parts").withColumnRenamed("node", "id")
+    state = nodes.join(degree, mark, "left").join(parts, "id", "left").select(
         F.col("label").cast(kind).alias("label"), "embedding", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
     )
     out = base.where(fits).join(state, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
