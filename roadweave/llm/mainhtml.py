@@ -23,7 +23,7 @@ SAMPLE_PAGES, N_TREES, DEPTH = 2500, 30, 5
 AGREE = 2.5
 #: A name on fewer sample pages than this says nothing.
 LEAST_PAGES = 3
-FEATURES = 34
+FEATURES = 35
 
 
 @dataclass
