@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import codec, geometry as geo
 from ..functions.rounding import half_even
 from ..operators import compare, impute, methods, series, spatial
+from ..operators.scratch import cut
 from ..sources import layers
 
 SLOTS = 10
@@ -41,35 +42,56 @@ class Routed:
     traces: DataFrame
 
 
-def route_arcs(arcs: DataFrame, nodes: DataFrame, routes: DataFrame, roads: DataFrame, counts: DataFrame) -> Routed:
+@dataclass(frozen=True)
+class Reach:
+    """Distances of the matching: of segments from the trace, of their centroids from its ends, of roads that clip it and of those it lists; the angle; the grid's cell."""
+
+    distance: float = spatial.DISTANCE_M
+    angle: float = spatial.ANGLE_DEG
+    nodes: float = spatial.NODES_M
+    clip: float = spatial.CLIP_M
+    search: float = spatial.SEARCH_M
+    cell: float | None = None
+
+
+def route_arcs(arcs: DataFrame, nodes: DataFrame, routes: DataFrame, roads: DataFrame, counts: DataFrame, reach: Reach = Reach(), degrees: bool = True) -> Routed:
     """Arcs (ID_ARC, ID_A, ID_B, ..) with their traces, road lists and matched segments.
 
     ``nodes``: ID, lon, lat, x, y; ``routes``: ID_ARC, response; ``roads``:
     num_rts, des_clasf_, line, seg_long_m; ``counts``: ide_sectn_trafc, line,
     djma_val, djma_annee, cam_val, cam_annee.  Status, the first that holds:
     noeud_manquant, the route's own failure, hors_quebec (no road near),
-    aucun_djma (no segment passes), ok.
+    aucun_djma (no segment passes), ok.  ``degrees``: whether traces come in
+    degrees, to be projected.
+
+    Each of the three joins by grid runs once: traces, their parts near roads,
+    the lists and the matched segments are stored, dealt by ID_ARC, and all
+    three layers are put together from them without another shuffle of theirs.
     """
     end = lambda x: nodes.select(F.col("ID").alias(f"ID_{x}"), F.struct("x", "y").alias(f"_{x}"))
     routed = layers.routes(routes).select("ID_ARC", F.col("statut").alias("_route"), F.col("line").alias("_deg"), "distance_m")
     rows = arcs.drop("fid").join(end("A"), "ID_A", "left").join(end("B"), "ID_B", "left").join(routed, "ID_ARC", "left")
     rows = rows.withColumn("_status", F.when(F.col("_A").isNull() | F.col("_B").isNull(), "noeud_manquant").otherwise(F.coalesce("_route", F.lit("erreur_api"))))
-    rows = rows.withColumn("trace", F.when(F.col("_status") == "ok", layers.project(F.col("_deg")))).drop("_deg", "_route")
+    rows = rows.withColumn("trace", F.when(F.col("_status") == "ok", layers.project(F.col("_deg")) if degrees else F.col("_deg"))).drop("_deg", "_route")
+    rows = _dealt(rows)
     traces = rows.where("trace is not null").select(F.col("ID_ARC").alias("id"), F.col("trace").alias("line"), F.col("_A").alias("a"), F.col("_B").alias("b"))
     road_lines = roads.select(F.col("num_rts").alias("id"), "line")
-    pieces = spatial.clip_pieces(traces, road_lines).join(traces.select("id", geo.edges(F.col("line")).alias("e")), "id")
+    pieces = spatial.clip_pieces(traces, road_lines, reach.clip, reach.cell).join(traces.select("id", geo.edges(F.col("line")).alias("e")), "id")
     edge = F.try_element_at("e", F.col("edge_no") + 1)
     at = lambda t: geo.point(edge["a"]["x"] + (edge["b"]["x"] - edge["a"]["x"]) * F.col(t), edge["a"]["y"] + (edge["b"]["y"] - edge["a"]["y"]) * F.col(t))
     parts = pieces.select("id", F.array(at("t0"), at("t1")).alias("line"), "length", "edge_no", "t0")
+    parts = cut(parts)
     inside = parts.groupBy("id").agg(F.sum("length").alias("inside"))
-    near_roads = spatial.pairs_within(parts, road_lines, spatial.SEARCH_M).join(roads.select(F.col("num_rts").alias("r"), half_even(F.col("seg_long_m"), 1).alias("m"), F.col("des_clasf_").alias("c")), "r")
+    near_roads = spatial.pairs_within(parts, road_lines, reach.search, cell=reach.cell).join(roads.select(F.col("num_rts").alias("r"), half_even(F.col("seg_long_m"), 1).alias("m"), F.col("des_clasf_").alias("c")), "r")
     ordered = lambda: F.sort_array(F.collect_list(F.struct("r", "m", "c")))
     lists = near_roads.groupBy(F.col("l").alias("ID_ARC")).agg(ordered().alias("_r"))
-    near = spatial.pairs_within(parts, counts.select(F.col("ide_sectn_trafc").alias("id"), "line"), spatial.DISTANCE_M)
+    lists = _dealt(lists)
+    near = spatial.pairs_within(parts, counts.select(F.col("ide_sectn_trafc").alias("id"), "line"), reach.distance, cell=reach.cell)
     seg = counts.select(F.col("ide_sectn_trafc").alias("r"), F.col("line").alias("segment"), "djma_val", "djma_annee", "cam_val", "cam_annee")
     segments = seg.select(F.col("r").alias("id"), F.col("segment").alias("line"))
-    passed = spatial.along_trace(spatial.off_nodes(near.select("l", "r"), traces, segments), traces, segments).join(seg, "r")
+    passed = spatial.along_trace(spatial.off_nodes(near.select("l", "r"), traces, segments, reach.nodes), traces, segments, reach.angle).join(seg, "r")
     matched = passed.select(F.col("l").alias("ID_ARC"), F.col("r").alias("ide_sectn_trafc"), "djma_val", "djma_annee", "cam_val", "cam_annee", geo.length(F.col("segment")).alias("longueur_m"), F.col("segment").alias("geometry"))
+    matched = _dealt(matched)
     text = F.struct(F.col("ide_sectn_trafc").alias("i"), codec.encode_value_year(F.col("djma_val"), F.col("djma_annee")).alias("v"), codec.encode_value_year(F.col("cam_val"), F.col("cam_annee")).alias("t"))
     found = matched.groupBy("ID_ARC").agg(F.sort_array(F.collect_list(text)).alias("_s"), F.count("*").cast("int").alias("n_segs_djma"), half_even(F.try_divide(100.0 * F.count("djma_val"), F.count("*").cast("double")), 1).alias("statut_djma_pct"))
     out = rows.join(inside.withColumnRenamed("id", "ID_ARC"), "ID_ARC", "left").join(lists, "ID_ARC", "left").join(found, "ID_ARC", "left")
@@ -84,6 +106,11 @@ def route_arcs(arcs: DataFrame, nodes: DataFrame, routes: DataFrame, roads: Data
     return Routed(out.drop("_A", "_B", "_status", "_r", "_s", "inside", "trace", "distance_m"), matched, trace_rows)
 
 
+def _dealt(df: DataFrame, key: str = "ID_ARC") -> DataFrame:
+    """``df`` stored by ``key``: what groups or joins by it afterwards reads it where it lies."""
+    return cut(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key))
+
+
 def aggregate_arcs(arcs: DataFrame, segments: DataFrame, line: str = "line", radius: float = 1000.0) -> DataFrame:
     """Routed arcs with m1, m3 and m4 from their lists, m2 from the segments, and borrowed values for aucun_djma.
 

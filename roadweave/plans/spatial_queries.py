@@ -145,13 +145,14 @@ def borrow_nearest(spark: SparkSession, sf: str) -> DataFrame:
 
 # A segment's direction is end to end; the trace's is that of its edge nearest to the segment's centroid, the first of equals.
 _LENGTH, _END = _span("cx", "cy", "dx", "dy"), VERTICES - 2
-_CHAIN = f"""{_PAIRS},
+_CHAIN_TAIL = f"""
 c as materialized (select cid, sum({_LENGTH} * (cx + dx) / 2) / sum({_LENGTH}) as px, sum({_LENGTH} * (cy + dy) / 2) / sum({_LENGTH}) as py,
     {_angle(f'max(dx) filter (where cno = {_END}) - max(cx) filter (where cno = 0)', f'max(dy) filter (where cno = {_END}) - max(cy) filter (where cno = 0)')} as own from r group by cid),
 o as (select aid, max(ax) filter (where ano = 0) as sx, max(ay) filter (where ano = 0) as sy, max(qx) filter (where ano = {_END}) as tx, max(qy) filter (where ano = {_END}) as ty from l group by aid),
 d as (select near.l, near.r, near.distance, own, px, py, {_angle('qx - ax', 'qy - ay')} as along, row_number() over (partition by near.l, near.r order by {_point_edge('p', 'a', 'q')}, ano) as k
     from near join c on c.cid = near.r join l on l.aid = near.l where distance <= {RADIUS}),
 f as (select d.*, least(abs(own - along), 180 - abs(own - along)) <= 45 as aligned, {_span('sx', 'sy', 'tx', 'ty')} < {2 * REACH} or not ({_span('px', 'py', 'sx', 'sy')} < {REACH} or {_span('px', 'py', 'tx', 'ty')} < {REACH}) as off from d join o on o.aid = d.l where k = 1)"""
+_CHAIN = f"{_PAIRS},{_CHAIN_TAIL}"
 
 
 def _traces(lines: DataFrame) -> DataFrame:
@@ -189,7 +190,7 @@ def _disc_sql(half: str, rest: str, sign: str) -> str:
 
 
 # Of every edge the parts within the radius of an edge of another line (a disc at either end of that, and a slab between), merged, as lengths.
-_CLIP = f"""{_BOTH}, pairs as materialized (select m.id as m, o.id as o from x m join x o on m.id <> o.id and {_GAP} <= {RADIUS}),
+_CLIP_TAIL = f"""
 e as materialized (select l.aid as id, l.ano as no, qx - ax as ex, qy - ay as ey, dx - cx as ux, dy - cy as uy, ax - cx as wx, ay - cy as wy, ax - dx as zx, ay - dy as zy from pairs join l on l.aid = pairs.m join r on r.cid = pairs.o
     and greatest(ax, qx) + {RADIUS} >= least(cx, dx) and greatest(cx, dx) + {RADIUS} >= least(ax, qx) and greatest(ay, qy) + {RADIUS} >= least(cy, dy) and greatest(cy, dy) + {RADIUS} >= least(ay, qy)),
 t as (select id, no, ex * ex + ey * ey as dd, ux * ux + uy * uy as uu, wx * ex + wy * ey as wd, zx * ex + zy * ey as zd, wx * wx + wy * wy - {RADIUS * RADIUS!r}::double as ww, zx * zx + zy * zy - {RADIUS * RADIUS!r}::double as zz,
@@ -201,6 +202,7 @@ i as (select distinct id, no, dd, greatest(0, least(coalesce(w0, 1e300), coalesc
 g as (select *, case when t0 <= max(t1) over (partition by id, no order by t0, t1 rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from i where t0 < t1),
 n as (select *, sum(new) over (partition by id, no order by t0, t1 rows unbounded preceding) as island from g),
 p as (select id, no, (max(t1) - min(t0)) * sqrt(min(dd)) as length from n group by id, no, island)"""
+_CLIP = f"{_BOTH}, pairs as materialized (select m.id as m, o.id as o from x m join x o on m.id <> o.id and {_GAP} <= {RADIUS}),{_CLIP_TAIL}"
 
 
 @query(f"with {_CLIP} select y.id, {_r('y.length')} as length, {_r('coalesce(z.inside, 0)')} as inside from (select aid as id, sum({_span('ax', 'ay', 'qx', 'qy')}) as length from l group by aid) y left join (select id, sum(length) as inside from p group by id) z on z.id = y.id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import layer_queries, method_queries, network_queries, polygon_queries, report_queries, series_queries, spatial_queries  # noqa: F401  they register themselves
+from .plans import layer_queries, method_queries, network_queries, polygon_queries, report_queries, route_queries, series_queries, spatial_queries  # noqa: F401  they register themselves
 from .plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
