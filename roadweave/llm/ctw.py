@@ -75,7 +75,7 @@ def _counts(batches) -> Iterator[pa.RecordBatch]:
                     g, n = np.unique(grams_of(some)[0], return_counts=True)
                     held[1].append((g, n * weight))
             for kind in (0, 1):
-                if sum(len(x[0]) for x in held[kind]) > 3_000_000 and merged(kind) > 1_500_000:
+                if sum(len(x[0]) for x in held[kind]) > 1_500_000 and merged(kind) > 750_000:
                     yield batch_of(kind)
     for kind in (0, 1):
         if held[kind]:
@@ -384,6 +384,7 @@ def score_documents(docs: DataFrame, most_entries: int = 2_000_000, most_words:
 
     marked = rows.withColumn("mark", F.xxhash64("text"))
     parts = common.stored(marked.mapInArrow(score, "doc_id long, mark long, kind int, key long, tokens long, known long, logs double, held_out boolean, ln double, bytes long"), "lm-scores")
+    shared.destroy()  # the scores are stored; workers give the tables back
     heads = parts.where("kind = 0").drop("kind", "key")
     values = words.where(F.col("n") < word_cut).select(F.lit(1).alias("kind"), "key", F.log10(F.col("n") + 1).alias("value"))
     values = values.union(model.where(F.col("n") < gram_cut).select(F.lit(2), "gram", "ln"))
