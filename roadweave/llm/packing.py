@@ -49,7 +49,7 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self._encoder = Tokenizer.from_file(path)
-        self._split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self._split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n").findall
         self._whole = regex.compile("[^\u0000-įı-ſ]|<").search
         self._words, self._runs = _Known(most_words), _Known(most_runs)
 
@@ -70,22 +70,36 @@ class WordTokens:
                 self._runs.keep(run, x)
 
     def _learn(self, words: set[bytes]) -> None:
+        """The ids of the words that are not known yet, worked out together: what can be is done on all of them joined."""
         self._words.beside.clear()
         self._runs.beside.clear()
-        runs_of = {}
-        for word in words:
-            if word not in self._words:
-                text = word.decode("utf-8", "replace")
-                if word.isalpha():  # of bytes: A-Z and a-z only
-                    runs_of[word] = [text.lower()]
-                elif self._whole(text):
-                    self._words.keep(word, self._ids(text), len(word) >= 64)
-                else:
-                    runs_of[word] = self._split(text.lower())
-        self._encode_runs(sorted({run for runs in runs_of.values() for run in runs if run not in self._runs}))
-        of_run = self._runs.__getitem__
-        for word, runs in runs_of.items():
-            self._words.keep(word, b"".join(map(of_run, runs)), len(word) >= 64)
+        new = words.difference(self._words)
+        plain = [w for w in new if w.isalpha()]  # of bytes: A-Z and a-z only
+        rest = [w for w in new if not w.isalpha()]
+        texts = b"\n".join(rest).decode("utf-8", "replace").split("\n") if rest else []
+        odd = self._whole
+        for word, text in zip(rest, texts):
+            if odd(text):
+                self._words.keep(word, self._ids(text), len(word) >= 64)
+        mixed = [(word, text) for word, text in zip(rest, texts) if not odd(text)] if odd("".join(texts)) else list(zip(rest, texts))
+        letters = b"\n".join(plain).lower().decode().split("\n") if plain else []
+        pieces = self._split("\n".join([text for _, text in mixed]).lower())
+        unknown = {run for run in letters if run not in self._runs}
+        unknown.update(run for run in pieces if run != "\n" and run not in self._runs)
+        self._encode_runs(sorted(unknown))
+        known, beside, keep = self._runs, self._runs.beside, self._words.keep
+        of_run = lambda run: known[run] if run in known else beside[run]
+        for word, run in zip(plain, letters):
+            keep(word, of_run(run), len(word) >= 64)
+        found, at = [], 0
+        for run in pieces:
+            if run == "\n":
+                keep(mixed[at][0], b"".join(found), len(mixed[at][0]) >= 64)
+                found, at = [], at + 1
+            else:
+                found.append(of_run(run))
+        if mixed:
+            keep(mixed[at][0], b"".join(found), len(mixed[at][0]) >= 64)
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [text.split() for text in texts]
@@ -185,7 +199,7 @@ def _pack(batches, path: str, capacity: int, end_id: int) -> Iterator[pa.RecordB
     rows: list[tuple] = []
     for batch in batches:
         docs = batch.column("doc_id").to_pylist()
-        for first, texts in common.slices(batch, "text", 1 << 20):
+        for first, texts in common.slices(batch, "text", 2 << 20):
             for k, ids in enumerate(tokens([text or b"" for text in texts])):
                 rows += packer.add(docs[first + k], np.concatenate([ids, end]))
                 if len(rows) >= 20_000:
