@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
@@ -90,7 +94,7 @@ def chained_forests(df: DataFrame, features: list[str], targets: list[str], tree
     """
     lacking = F.greatest(*[F.col(c).isNull().cast("int") for c in targets]) == 1
     train = cut(df.where(~lacking))
-    if train.count() < least:
+    if train.count() < least or df.where(lacking).isEmpty():
         return df
     means = train.agg(*[F.avg(c).alias(c) for c in targets]).first()
     holes = cut(df.where(lacking).withColumns({c: F.coalesce(c, F.lit(means[c])) for c in targets} | {f"_known_{c}": F.col(c).isNotNull() for c in targets}))
@@ -109,17 +113,31 @@ def chained_forests(df: DataFrame, features: list[str], targets: list[str], tree
     return train.unionByName(filled.select(*df.columns))
 
 
-def cross_validated(df: DataFrame, id_: str, features: list[str], targets: list[str], folds: int = 5, trees: int = 50, seed: int = 42) -> DataFrame:
-    """(id, target, truth, guess) of every row out of its fold; folds by hash of the id."""
-    df = cut(df.withColumn("_fold", F.pmod(F.xxhash64(F.col(id_), F.lit(seed)), F.lit(folds))))
-    out = None
-    for fold in range(folds):
-        train, test = df.where(F.col("_fold") != fold), df.where(F.col("_fold") == fold)
-        for c in targets:
-            assembler, forest = _forest(features, c, trees, seed)
-            got = forest.fit(assembler.transform(train)).transform(assembler.transform(test)).select(id_, F.lit(c).alias("target"), F.col(c).alias("truth"), F.col("_p").alias("guess"))
-            out = got if out is None else out.unionByName(got)
-    return out
+def cross_validated(df: DataFrame, id_: str, features: list[str], targets: list[str], folds: int = 5, trees: int = 50, seed: int = 42, carry: list[str] | None = None, parallelism: int = 8) -> DataFrame:
+    """(id, carried columns, target, truth, guess) of every row with a target, out of its fold; folds by hash of the id.
+
+    Folds and targets are fitted side by side, ``parallelism`` at once, as each
+    by itself keeps few cores busy; each fold's model gives the guesses of the
+    rows that it has not seen, and no model of all rows is fitted.  A fold
+    without rows, or whose other folds have none, gives no guesses.
+    """
+    carry = carry or []
+    df = cut(df.withColumn("_fold", F.pmod(F.xxhash64(F.col(id_), F.lit(seed)), F.lit(folds)).cast("int")))
+    some = df.groupBy("_fold").agg(*[F.count(c).alias(c) for c in targets]).collect()  # a row for each fold
+    held = {(r["_fold"], c): r[c] for r in some for c in targets}
+    asked = [(c, k) for c in targets for k in range(folds) if held.get((k, c)) and sum(n for (j, t), n in held.items() if t == c and j != k)]
+
+    def guesses(one: tuple[str, int]) -> DataFrame:
+        c, k = one
+        assembler, forest = _forest(features, c, trees, seed)
+        rows = assembler.transform(df.where(F.col(c).isNotNull())).select(id_, *carry, "_fold", "_f", F.col(c).cast("double").alias(c))
+        model = forest.fit(rows.where(F.col("_fold") != k))
+        return model.transform(rows.where(F.col("_fold") == k)).select(id_, *carry, F.lit(c).alias("target"), F.col(c).alias("truth"), F.col("_p").alias("guess"))
+
+    with ThreadPool(min(parallelism, max(1, len(asked)))) as pool:
+        found = pool.map(inheritable_thread_target(df.sparkSession)(guesses), asked)
+    none = df.limit(0).select(id_, *carry, F.lit("").alias("target"), F.lit(0.0).alias("truth"), F.lit(0.0).alias("guess"))
+    return reduce(DataFrame.unionByName, found, none)
 
 
 def sample(df: DataFrame, id_: str, n: int, seed: int = 42) -> DataFrame:

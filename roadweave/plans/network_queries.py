@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..operators import project
+from ..operators import project, trees
 from .registry import query, table
 
 PREFIXES = {"https://m.": "mobile://", "https://": "secure://", "http://": "plain://"}
@@ -88,3 +88,24 @@ def removed_anti(spark: SparkSession, sf: str) -> DataFrame:
 @query("select n_nationkey, n_name from nation where regexp_matches(n_name, '_[1-3].?$')")
 def regex_name(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").where(F.col("n_name").rlike("_[1-3].?$")).select("n_nationkey", "n_name")
+
+
+_PARENT = "case when doc_id > 0 then (doc_id - 1) // 3 end"
+
+
+def _elements(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as a tree: each but the first under the one of a third of its number."""
+    parent = F.when(F.col("doc_id") > 0, F.floor((F.col("doc_id") - 1) / 3).cast("long"))
+    return table(spark, sf, "documents").select("doc_id", "lang", parent.alias("parent"))
+
+
+@query(f"with recursive e as (select doc_id, lang, {_PARENT} as parent from documents), b as (select doc_id, 0 as levels from e where lang = 'de' union select e.doc_id, b.levels + 1 from e join b on e.parent = b.doc_id) select doc_id, min(levels) as levels from b where levels > 0 group by doc_id")
+def tree_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """All layers under the groups of one name, however deep."""
+    return trees.below(_elements(spark, sf), F.col("lang") == "de", "doc_id").withColumnRenamed("id", "doc_id")
+
+
+@query(f"with recursive e as (select doc_id, {_PARENT} as parent from documents), w as (select doc_id, 0 as depth, lpad(doc_id::varchar, 12, '0') as path from e where parent is null union all select e.doc_id, w.depth + 1, w.path || '/' || lpad(e.doc_id::varchar, 12, '0') from e join w on e.parent = w.doc_id) select * from w")
+def tree_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The elements with the path that lists them depth first."""
+    return trees.depth_first(_elements(spark, sf), "doc_id", "doc_id").withColumnRenamed("id", "doc_id")

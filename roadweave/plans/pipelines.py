@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec, geometry as geo
@@ -16,21 +17,39 @@ from ..sources import layers
 SLOTS = 10
 
 
-def complete_series(counts: DataFrame, features: list[str] | None = None, **forest) -> DataFrame:
+def complete_series(counts: DataFrame, features: list[str] | None = None, watched: list | None = None, **forest) -> DataFrame:
     """Counts (id, x, y, kind, wide val_djma_annee_K and val_cam_annee_K, text annee_en_cours, annee2 ..) completed.
 
     Series first, then truck shares by forests where ``features`` are given,
     then rows without counts by neighbours, then the yearly texts.
+
+    ``watched``: a list that takes (stage, Observation) of four checkpoints,
+    mesures, series, forets and voisins: the percentages ``djma`` and ``cam``
+    of rows whose slots are all known.  They are counted on the way, by the
+    actions that the stages run anyhow, the last by whatever runs the result.
     """
     djma, cam = ([f"val_{m}_annee_{k}" for k in range(1, SLOTS + 1)] for m in ("djma", "cam"))
     rows = counts.withColumns({"djma": series.from_wide("val_djma_annee_", SLOTS), "cam": series.from_wide("val_cam_annee_", SLOTS)})
+
+    def seen(df: DataFrame, stage: str, full: dict) -> DataFrame:
+        if watched is None:
+            return df
+        watched.append((stage, Observation(f"{stage}-{uuid.uuid4().hex}")))
+        return df.observe(watched[-1][1], *[F.avg(F.when(c, 100.0).otherwise(0.0)).alias(k) for k, c in full.items()])
+
+    whole = {"djma": ~compare.any_null(djma), "cam": ~compare.any_null(cam)}
+    rows = seen(rows, "mesures", {m: series.known(F.col(m)) == SLOTS for m in ("djma", "cam")})
     rows = series.complete_counts(rows)
     rows = rows.withColumns(series.wide(F.col("djma"), "val_djma_annee_", SLOTS) | series.wide(F.col("cam"), "val_cam_annee_", SLOTS)).drop("djma", "cam")
+    rows = cut(seen(rows, "series", whole))
     if features:
         imputed = F.col("methode_cam") == "mice"
         fit = imputed | (F.col("methode_djma").isin("complet", "interpolation", "extrapolation") & F.col("methode_cam").isin("complet", "interpolation", "extrapolation"))
         rows = rows.where(~fit).unionByName(impute.chained_forests(rows.where(fit), djma + features, cam, **forest))
-    rows = impute.complete_by_neighbours(rows, dict.fromkeys(djma, 0) | dict.fromkeys(cam, 1))
+        rows = cut(seen(rows, "forets", whole))
+    else:
+        rows = seen(rows, "forets", whole)
+    rows = seen(impute.complete_by_neighbours(rows, dict.fromkeys(djma, 0) | dict.fromkeys(cam, 1)), "voisins", whole)
     texts = {c: codec.year_record(F.col(c), F.col(djma[i]), F.col(cam[i]), i == 0) for i, c in enumerate(["annee_en_cours", *[f"annee{k}" for k in range(2, SLOTS + 1)]]) if c in rows.columns}
     return rows.withColumns(texts)
 
@@ -124,6 +143,12 @@ def aggregate_arcs(arcs: DataFrame, segments: DataFrame, line: str = "line", rad
     return methods.borrow(rows, nearest.withColumnRenamed("target", "ID_ARC"))
 
 
+def cascade_of(watched: list, spark: SparkSession) -> DataFrame:
+    """(stage, djma, cam): the checkpoints that :func:`complete_series` has watched, once its result has been run."""
+    got = [(stage, *(None if (v := seen.get[k]) is None else round(v, 1) for k in ("djma", "cam"))) for stage, seen in watched]
+    return spark.createDataFrame(got, "stage string, djma double, cam double")
+
+
 def cascade(stages: dict[str, DataFrame], families: dict[str, list[str]]) -> DataFrame:
     """(stage, one percentage for each family): rows whose family is wholly known after each stage."""
     out = None

@@ -93,6 +93,23 @@ def cascade_evolution(spark: SparkSession, sf: str) -> DataFrame:
     return pipelines.cascade({"mesures": widen(raw), "series": widen(series.complete_counts(raw))}, families)
 
 
+_PCT = "round_even(avg(case when {} then 100.0::double else 0 end) * 10, 0) / 10"
+
+
+@query(
+    f"with {_series_sql()}, {_series_sql('cam', 'c')}, full_d as (select user_id, count(v) = 10 as d0, count(xv) = 10 as d1, max(n) as n from x group by user_id), full_c as (select user_id, count(v) = 10 as c0, count(xv) = 10 as c1, max(n) as m from xc group by user_id), both_full as (select * from full_d join full_c using (user_id)) "
+    + " union all ".join(f"select '{stage}' as stage, {_PCT.format(d)} as djma, {_PCT.format(c)} as cam from both_full" for stage, d, c in (("mesures", "d0", "c0"), ("series", "d1", "c1"), ("forets", "d1", "c1 or (m = 0 and n > 0)"), ("voisins", "true", "true")))
+)
+def cascade_checkpoints(spark: SparkSession, sf: str) -> DataFrame:
+    """Completeness at all four checkpoints of the completion stage, forests and neighbours among them, watched in one run of it."""
+    place = {"x": (F.col("user_id") * 37 % 101).cast("double"), "y": (F.col("user_id") * 61 % 97).cast("double"), "kind": (F.col("user_id") % 3).cast("string")}
+    raw = _stations(spark, sf).select(F.col("user_id").alias("id"), *[v.alias(k) for k, v in place.items()], *[v.alias(k) for m in FLOORS for k, v in series.wide(F.col(m), f"val_{m}_annee_", SLOTS).items()])
+    watched: list = []
+    done = pipelines.complete_series(raw, ["x", "y"], watched, trees=3, rounds=1, least=2)
+    done.write.format("noop").mode("overwrite").save()
+    return pipelines.cascade_of(watched, spark)
+
+
 @query(f"with {_series_sql()}, o as (select median(v) as med from m), r as (select user_id, avg(v) as mean from x group by user_id) select user_id, slot::int as slot, round_even(coalesce(v, mean, med) * 1e4, 0) / 1e4 as value from x join r using (user_id), o")
 def row_mean_fallback(spark: SparkSession, sf: str) -> DataFrame:
     rows = _stations(spark, sf).select("user_id", "djma")
@@ -134,3 +151,33 @@ def rf_chained_impute(spark: SparkSession, sf: str) -> DataFrame:
 def rf_cv_scores(spark: SparkSession, sf: str) -> DataFrame:
     got = impute.cross_validated(_features(spark, sf).where("t1 is not null"), "id", FEATURES, ["t1", "t2"])
     return compare.scores(got, "truth", "guess", "target")
+
+
+TARGETS = [f"t{k}" for k in range(1, 11)]
+
+
+def _validated(spark: SparkSession, sf: str) -> DataFrame:
+    """Guesses out of fold of ten targets for every vector, with its class: all 64 numbers and the one-hot class are predictors.
+
+    Target k is made of numbers 0 and k, so that there is something to find.
+    """
+    e = table(spark, sf, "embeddings")
+    at = lambda k: F.abs(F.get("embedding", F.lit(k)).cast("double"))
+    kinds = codec.one_hot(F.col("label").cast("string"), ["0", "1", "2", "3", "4"])
+    rows = e.select(F.col("vec_id").alias("id"), "label", *[F.get("embedding", F.lit(k)).cast("double").alias(f"f{k}") for k in range(64)], *[v.alias(k) for k, v in kinds.items()], *[(at(k) * 100 + at(0) * 50).alias(f"t{k}") for k in range(1, 11)])
+    return impute.cross_validated(rows, "id", [f"f{k}" for k in range(64)] + list(kinds), TARGETS, trees=10, carry=["label"])
+
+
+@query()
+def cv_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """R2 and RMSE of five-fold validation over rows times targets, overall (class null) and by class."""
+    got = impute.cut(_validated(spark, sf))
+    overall = compare.scores(got, "truth", "guess").select(F.lit(None).cast("int").alias("label"), "n", "r2", "rmse")
+    return overall.unionByName(compare.scores(got.where("label is not null"), "truth", "guess", "label"))
+
+
+@query()
+def cv_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Truth and guess of 3000 of the guesses, the same in every run: what a scatter plot shows."""
+    got = _validated(spark, sf).withColumn("key", F.concat_ws("/", "id", "target"))
+    return impute.sample(got, "key", 3000).select("id", "target", "label", "truth", "guess")
