@@ -41,16 +41,17 @@ def percentiles(long: DataFrame, by: str, value: str, probs: dict[str, float], p
     """(by, a column for each of ``probs``): exact percentiles of each group's known values, interpolated between neighbours.
 
     Values are counted, parted at approximate quantiles, and ranked within the
-    parts beside the parts' totals, so that no task sorts a whole group.
+    parts beside the parts' totals, so that no task sorts a whole group.  The
+    joins with quantiles and totals are broadcast by Spark where their size allows it.
     """
     known = long.where(F.col(value).isNotNull())
     counts = known.groupBy(by, value).agg(F.count("*").alias("_n"))
     cuts = known.groupBy(by).agg(F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)]), 100 * parts).alias("_cuts"), F.count("*").alias("_all"))
-    placed = counts.join(F.broadcast(cuts), by).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    placed = counts.join(cuts, by).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     order = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = placed.groupBy(by, "_part").agg(F.sum("_n").alias("_n")).select(by, "_part", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.join(F.broadcast(bases), [by, "_part"]).withColumn("_end", F.col("_base") + F.sum("_n").over(inside))
+    ranked = placed.join(bases, [by, "_part"]).withColumn("_end", F.col("_base") + F.sum("_n").over(inside))
     at = lambda rank: F.max(F.when((rank >= F.col("_end") - F.col("_n")) & (rank < F.col("_end")), F.col(value).cast("double")))
     found = []
     for name, p in probs.items():

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
+from .scratch import cut
 
 
 def rename_groups(layers: DataFrame, names: dict[str, str], column: str = "group_name") -> DataFrame:
@@ -179,7 +180,7 @@ def _with_changes(path: str, content: bytes, todo: list) -> bytes:
 
 def cleaned(files: DataFrame, rules: Rules) -> DataFrame:
     """(path, content, groups, removed, sources, labels): zipped projects by the rules, and how many elements changed."""
-    changed = changes(elements(files), rules)
+    changed = cut(changes(cut(elements(files)), rules))  # the documents are parsed once, and the changes found once
     todo = changed.groupBy("path").agg(F.collect_list(F.struct("no", "value")).alias("todo"))  # of one document
     joined = files.select("path", "content").join(todo, "path", "left")
 
