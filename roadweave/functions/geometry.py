@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 LINE = "array<struct<x:double,y:double>>"
 
@@ -28,16 +29,34 @@ def edges(line: Column) -> Column:
     return F.zip_with(F.slice(line, F.lit(1), n), F.slice(line, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
-def length(line: Column) -> Column:
+def has_parts(df: DataFrame, column: str = "line") -> bool:
+    """Whether a column holds lines of many parts, ARRAY of lines, rather than lines."""
+    return isinstance(df.schema[column].dataType.elementType, ArrayType)
+
+
+def all_edges(line: Column, parts: bool = False) -> Column:
+    """The edges of a line, or of all parts of one of many, part after part; none leads from one part to the next."""
+    return F.flatten(F.transform(line, edges)) if parts else edges(line)
+
+
+def longest(parts: Column) -> Column:
+    """The longest part of a line of many, the first of equals."""
+    best = F.array_max(F.transform(parts, lambda p, i: F.struct(length(p).alias("l"), (-i).alias("i"), p.alias("p"))))
+    return best["p"]
+
+
+def length(line: Column, parts: bool = False) -> Column:
     """Length of a line; 0 of null and of lines under two vertices."""
-    return F.coalesce(F.aggregate(F.transform(edges(line), lambda e: span(e["a"], e["b"])), F.lit(0.0), lambda s, d: s + d), F.lit(0.0))
+    return F.coalesce(F.aggregate(F.transform(all_edges(line, parts), lambda e: span(e["a"], e["b"])), F.lit(0.0), lambda s, d: s + d), F.lit(0.0))
 
 
-def centroid(line: Column) -> Column:
+def centroid(line: Column, parts: bool = False) -> Column:
     """Length-weighted mean of the edges' middles; the first vertex of a line without length."""
+    first = F.try_element_at(F.flatten(line) if parts else line, F.lit(1))
+
     def mean(axis: str) -> Column:
-        moment = F.aggregate(F.transform(edges(line), lambda e: span(e["a"], e["b"]) * (e["a"][axis] + e["b"][axis]) / 2), F.lit(0.0), lambda s, d: s + d)
-        return F.when(length(line) > 0, moment / length(line)).otherwise(F.try_element_at(line, F.lit(1))[axis])
+        moment = F.aggregate(F.transform(all_edges(line, parts), lambda e: span(e["a"], e["b"]) * (e["a"][axis] + e["b"][axis]) / 2), F.lit(0.0), lambda s, d: s + d)
+        return F.when(length(line, parts) > 0, moment / length(line, parts)).otherwise(first[axis])
 
     return F.struct(mean("x").alias("x"), mean("y").alias("y"))
 
@@ -47,8 +66,10 @@ def direction(a: Column, b: Column) -> Column:
     return F.pmod(F.degrees(F.atan2(b["y"] - a["y"], b["x"] - a["x"])), F.lit(180.0))
 
 
-def line_angle(line: Column) -> Column:
-    """Angle end to end, modulo 180."""
+def line_angle(line: Column, parts: bool = False) -> Column:
+    """Angle end to end, modulo 180; of a line of many parts that of the longest."""
+    if parts:
+        return let(longest(line), lambda p: line_angle(p))
     return direction(F.try_element_at(line, F.lit(1)), F.try_element_at(line, F.lit(-1)))
 
 

@@ -1,6 +1,8 @@
 """Spatial joins by grid cell, nearest features, the filter chain of measured segments, and clipping.
 
-Lines are (id, line) with line ARRAY<STRUCT<x, y>>, points (id, x, y).  No
+Lines are (id, line) with line ARRAY<STRUCT<x, y>>, or ARRAY of such for
+lines of many parts, whose edges are numbered part after part and never lead
+from one part to the next; points are (id, x, y).  No
 operator compares all with all: rows meet by grid cell in equi-joins, whose
 skewed cells adaptive execution may split, and exact predicates refine.
 """
@@ -23,7 +25,7 @@ def _edge_rows(lines: DataFrame, id_: str, grow: float, size: float, key: str) -
     An edge is walked column by column, so it takes cells in proportion to its length.
     """
     n = {c: f"{key}_{c}" for c in ("no", "ax", "ay", "bx", "by", "cy0")}
-    e = lines.select(F.col(id_).alias(key), F.posexplode(geo.edges(F.col("line"))).alias(n["no"], "e"))
+    e = lines.select(F.col(id_).alias(key), F.posexplode(geo.all_edges(F.col("line"), geo.has_parts(lines))).alias(n["no"], "e"))
     e = e.select(key, n["no"], *[F.col(f"e.{p}.{c}").alias(n[p + c]) for p in "ab" for c in "xy"])
     ax, ay, bx, by = (F.col(n[c]) for c in ("ax", "ay", "bx", "by"))
     cell = lambda v: F.floor(v / size).cast("long")
@@ -108,8 +110,8 @@ def along_trace(near: DataFrame, traces: DataFrame, segments: DataFrame, most: f
 
     A segment's direction is end to end; the trace's is that of its edge nearest to the centroid, the first of equals.
     """
-    s = segments.select(F.col("id").alias("r"), geo.centroid(F.col("line")).alias("c"), geo.line_angle(F.col("line")).alias("own")).select("r", F.col("c.x").alias("px"), F.col("c.y").alias("py"), "own")
-    e = traces.select(F.col("id").alias("l"), F.posexplode(geo.edges(F.col("line"))).alias("no", "e"))
+    s = segments.select(F.col("id").alias("r"), geo.centroid(F.col("line"), geo.has_parts(segments)).alias("c"), geo.line_angle(F.col("line"), geo.has_parts(segments)).alias("own")).select("r", F.col("c.x").alias("px"), F.col("c.y").alias("py"), "own")
+    e = traces.select(F.col("id").alias("l"), F.posexplode(geo.all_edges(F.col("line"), geo.has_parts(traces))).alias("no", "e"))
     e = e.select("l", "no", *[F.col(f"e.{p}.{c}").alias(p + c) for p in "ab" for c in "xy"])
     e = e.withColumns({"dx": F.col("bx") - F.col("ax"), "dy": F.col("by") - F.col("ay")})
     e = e.withColumns({"square": F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"), "angle": F.pmod(F.degrees(F.atan2("dy", "dx")), F.lit(180.0))})
@@ -128,7 +130,7 @@ def off_nodes(near: DataFrame, traces: DataFrame, segments: DataFrame, reach: fl
 
     ``traces``: id, a, b (the ends' points); ``segments``: id, line.
     """
-    s = segments.select(F.col("id").alias("r"), geo.centroid(F.col("line")).alias("c"))
+    s = segments.select(F.col("id").alias("r"), geo.centroid(F.col("line"), geo.has_parts(segments)).alias("c"))
     t = traces.select(F.col("id").alias("l"), "a", "b", (geo.span(F.col("a"), F.col("b")) < 2 * reach).alias("short"))
     far = (geo.span(F.col("c"), F.col("a")) >= reach) & (geo.span(F.col("c"), F.col("b")) >= reach)
     return near.join(s, "r").join(t, "l").where(F.col("short") | far).select(*near.columns)
@@ -191,13 +193,14 @@ def clip_pieces(traces: DataFrame, roads: DataFrame, radius: float = CLIP_M, cel
 def clipped_lengths(traces: DataFrame, roads: DataFrame, radius: float = CLIP_M, cell: float | None = None, others: bool = False) -> DataFrame:
     """(id, length, inside): every trace's length and its length within ``radius`` of the roads, 0 where none is near."""
     inside = clip_pieces(traces, roads, radius, cell, others).groupBy("id").agg(F.sum("length").alias("inside"))
-    own = traces.select("id", geo.length(F.col("line")).alias("length"))
+    own = traces.select("id", geo.length(F.col("line"), geo.has_parts(traces)).alias("length"))
     return own.join(inside, "id", "left").withColumn("inside", F.coalesce("inside", F.lit(0.0)))
 
 
 def total_bounds(lines: DataFrame, margin: float = 0.0) -> DataFrame:
     """One row: the box of all lines, grown by a share of its larger side."""
-    b = lines.select(geo.box(F.col("line")).alias("b")).agg(F.min("b.xmin").alias("xmin"), F.min("b.ymin").alias("ymin"), F.max("b.xmax").alias("xmax"), F.max("b.ymax").alias("ymax"))
+    points = F.flatten("line") if geo.has_parts(lines) else F.col("line")
+    b = lines.select(geo.box(points).alias("b")).agg(F.min("b.xmin").alias("xmin"), F.min("b.ymin").alias("ymin"), F.max("b.xmax").alias("xmax"), F.max("b.ymax").alias("ymax"))
     grow = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")) * margin
     return b.select((F.col("xmin") - grow).alias("xmin"), (F.col("ymin") - grow).alias("ymin"), (F.col("xmax") + grow).alias("xmax"), (F.col("ymax") + grow).alias("ymax"))
 
@@ -209,6 +212,6 @@ def point_box(points: DataFrame, margin: float, least: float) -> DataFrame:
     return b.select(*[(F.col(c) + (grow if c.endswith("max") else -grow)).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
 
 
-def in_window(line: Column, xmin: float, ymin: float, xmax: float, ymax: float) -> Column:
+def in_window(line: Column, xmin: float, ymin: float, xmax: float, ymax: float, parts: bool = False) -> Column:
     """Whether a line meets a box."""
-    return F.coalesce(F.exists(geo.edges(line), lambda e: geo.edge_meets_box(e["a"], e["b"], xmin, ymin, xmax, ymax)), F.lit(False))
+    return F.coalesce(F.exists(geo.all_edges(line, parts), lambda e: geo.edge_meets_box(e["a"], e["b"], xmin, ymin, xmax, ymax)), F.lit(False))

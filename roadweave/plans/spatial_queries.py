@@ -323,3 +323,42 @@ def neighbours_fill(spark: SparkSession, sf: str) -> DataFrame:
     rows = _points(spark, sf).withColumns({"methode_djma": label, "methode_cam": label})
     done = impute.complete_by_neighbours(rows, {"djma": 0, "cam": 1})
     return done.select("id", half_even(F.col("djma"), 4).alias("djma"), half_even(F.col("cam"), 4).alias("cam"), "methode_djma")
+
+
+# Lines of two parts, of 16 vertices each: no edge leads from vertex 15 to 16.
+BREAK = 15
+
+
+def _two_parts(spark: SparkSession, sf: str) -> DataFrame:
+    parts = F.array(F.slice("line", 1, BREAK + 1), F.slice("line", BREAK + 2, VERTICES))
+    return _lines(spark, sf).select("id", parts.alias("line"))
+
+
+def _parted(sql: str) -> str:
+    """A query over lines as one over lines of two parts."""
+    return sql.replace("as no))", f"as no) where no <> {BREAK})")
+
+
+_HALVES = f"e2 as (select aid, ano > {BREAK} as second, sum({_S}) as s, min(ano) as first, max(ano) as last from e group by all), h as (select *, row_number() over (partition by aid order by s desc, second) as k from e2)"
+
+
+@query(_parted(f"with {_edges_sql('e', 'a', 'q')}, {_HALVES} select h.aid as id, {_r('(select sum(s) from e2 where e2.aid = h.aid)')} as length, {_r(_angle('z.qx - y.ax', 'z.qy - y.ay'))} as angle from h join e y on y.aid = h.aid and y.ano = h.first join e z on z.aid = h.aid and z.ano = h.last where k = 1"))
+def parts_measures(spark: SparkSession, sf: str) -> DataFrame:
+    """Length of lines of two parts, and the angle of the longer part."""
+    lines = _two_parts(spark, sf)
+    return lines.select("id", half_even(geo.length(F.col("line"), True), 6).alias("length"), half_even(geo.line_angle(F.col("line"), True), 6).alias("angle"))
+
+
+@query(_parted(f"with {_PAIRS} select l, r, {_r('distance')} as distance from near where distance <= {RADIUS}"))
+def parts_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of lines of two parts that come near each other."""
+    lines = _two_parts(spark, sf)
+    return spatial.pairs_within(lines, lines, RADIUS, cell=CELL, others=True).withColumn("distance", half_even(F.col("distance"), 6))
+
+
+@query(_parted(f"with {_CLIP} select y.id, {_r('y.length')} as length, {_r('coalesce(z.inside, 0)')} as inside from (select aid as id, sum({_span('ax', 'ay', 'qx', 'qy')}) as length from l group by aid) y left join (select id, sum(length) as inside from p group by id) z on y.id = z.id"))
+def parts_clip(spark: SparkSession, sf: str) -> DataFrame:
+    """Lengths of lines of two parts and of what lies near other ones."""
+    lines = _two_parts(spark, sf)
+    got = spatial.clipped_lengths(lines, lines, RADIUS, cell=CELL, others=True)
+    return got.select("id", half_even(F.col("length"), 6).alias("length"), half_even(F.col("inside"), 6).alias("inside"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StructField, StructType
 
-from ..functions.geometry import edges, length, point_edge
+from ..functions.geometry import edges, longest, point_edge  # noqa: F401  longest is part of this module's interface
 
 PARTS = ArrayType(ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])))
 POINT, LINE, POLYGON, MULTIPOINT, MULTILINE, MULTIPOLYGON, COLLECTION = range(1, 8)
@@ -103,12 +103,6 @@ def parts_of(wkb: pd.Series) -> pd.Series:
     return wkb.map(lambda b: None if b is None else [[{"x": x, "y": y} for x, y in part] for part in parts(bytes(b))])
 
 
-def longest(lines: Column) -> Column:
-    """The longest part of a multi-line, the first of equals."""
-    best = F.array_max(F.transform(lines, lambda p, i: F.struct(length(p).alias("l"), (-i).alias("i"), p.alias("p"))))
-    return best["p"]
-
-
 def nearest_part(lines: Column, point: Column) -> Column:
     """The part of a multi-line nearest to ``point``, the first of equals."""
     gap = lambda p: F.array_min(F.transform(edges(p), lambda e: point_edge(point, e["a"], e["b"])))
