@@ -59,6 +59,7 @@ def dedup_lines(docs: DataFrame, n: int = 3) -> DataFrame:
     the shuffle, and only windows that occur twice take part in the join back,
     whose hot keys Spark may split; no task gathers a group.
 
+    A very long text is read whole, by one task that holds its windows' hashes.
     Null texts stay null, with n_lines 0.  Null doc_ids come first in the
     order.  Repeated rows with equal doc_id and text count as one document and
     are edited alike.  A document may lose all lines: its text is then empty.

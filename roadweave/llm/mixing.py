@@ -155,7 +155,13 @@ def _dealt(keyed: DataFrame, plans: list[Plan], seed: int, shards: int, n: dict[
 
 
 def mix_digest(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tuple = (3, 1, 2), seed: int = 17, shards: int = 64) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, draws, counted from the draws as dealt; see :func:`mix_sources`."""
+    """One row per document: doc_id, size, source_size, target, taken, draws, counted from the draws as dealt; see :func:`mix_sources`.
+
+    Null and empty texts have size 0 and take nothing.  Rows that repeat a
+    doc_id with its text are drawn alike, each with the same numbers; a null
+    doc_id or source is a value like others.  An empty table gives no rows;
+    other columns are left out.
+    """
     docs = docs.select("doc_id", "text", "source")
     keyed = common.stored(_keyed(docs, seed, n := _names(docs)).drop("text"), "mix-keys")
     plans = plan_mix(keyed.select("source", "mix_size", "mix_key"), share, most, cycle)

@@ -76,7 +76,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     exact integer inner product.  Rows whose vector is null, or holds null or
     non-finite components, or whose vec_id is null, take no part.  Vectors
     meet queries of their own length only.  A vec_id repeated among the queries asks once, with its smallest
-    vector; repeated rows of vectors are results each on their own.
+    vector; repeated rows of vectors are results each on their own.  Without
+    usable vectors or queries there are no rows.  Other columns are left out.
 
     Rows are dealt by hash into blocks of about 8192, queries into blocks of
     1024; each pair of blocks is one group, searched by the threshold

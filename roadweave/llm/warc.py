@@ -90,7 +90,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", paylo
     equal payloads of at least ``least`` bytes, the one with the largest id is
     a response, the others are revisits that carry its id and the payload's
     digest and length but no payload; rows that tie on the id are responses
-    alike, null ids come last.  Payloads travel as chunk rows of ``chunk``
+    alike, null ids come last: a null id is a response only where all ids of
+    its payload are null, and repeated null ids then are responses all.  An
+    empty table gives no archives; other columns are left out.  Payloads travel as chunk rows of ``chunk``
     bytes and are compressed as a stream, so a writer holds one chunk.
 
     Each task names its files by its attempt; only those of the attempt that
@@ -214,7 +216,8 @@ def read_records(chunks: DataFrame) -> DataFrame:
 
     Of a response, bytes and digest are those of the chunks read, and must
     agree with its headers, else the job fails; of a revisit, which has no
-    payload, those its headers state of the full payload.
+    payload, those its headers state of the full payload.  Repeated and null
+    ids give a row for each record; without records there are no rows.
     """
     one = chunks.groupBy("file", "record").agg(
         F.sum("chunk_bytes").alias("read_bytes"), F.max_by("sha1_so_far", "chunk_no").alias("sha1"),
