@@ -44,7 +44,7 @@ class WordTokens:
     ``<``, which may begin a special token, go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, most_words: int = 120_000, most_runs: int = 200_000):
+    def __init__(self, path: str, most_words: int = 240_000, most_runs: int = 400_000):
         import regex
         from tokenizers import Tokenizer
 
