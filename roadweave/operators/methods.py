@@ -30,7 +30,8 @@ def aggregate_methods(segs: DataFrame, key: str = "ID_ARC", order: str = "ord",
     """Per arc djma_mK, pct_cam_mK, djma_cam_mK, n_segs_mK for the methods in ``which``, in one shuffle on the arc.
 
     ``segs``: key, djma_val, cam_val, longueur_m, des_clasf, and ``order``,
-    which makes ranks among equal values definite.  m1 plain mean, m2 mean
+    by which ranks among equal values go, then by the truck share: rows equal
+    in all three give the same result, whichever is taken.  m1 plain mean, m2 mean
     by length, m3 by class weight (plain, if the weights add up to 0), m4 the segment at the 80th
     percentile by nearest rank.  m1, m3 and m4 take counts cut to integers, m2
     as they are.  Truck shares: m1 and m3 over all known ones, m2 over those of
@@ -41,7 +42,7 @@ def aggregate_methods(segs: DataFrame, key: str = "ID_ARC", order: str = "ord",
     rows = segs.withColumns({"v": v, "w": codec.lookup(F.col("des_clasf"), weights, 1)})
     if 4 in which:
         by = Window.partitionBy(key)
-        rows = rows.withColumn("rank", F.row_number().over(by.orderBy(F.col("v").isNull(), "v", order))).withColumn("known", F.count("v").over(by))
+        rows = rows.withColumn("rank", F.row_number().over(by.orderBy(F.col("v").isNull(), "v", order, "cam_val"))).withColumn("known", F.count("v").over(by))
     has, truck = F.col("v").isNotNull(), F.col("cam_val")
     out = []
     total = lambda x, c=None: F.sum(exact(x) if c is None else F.when(c, exact(x)))

@@ -141,6 +141,14 @@ def test_percentiles_are_exact(spark):
     assert got["b"]["q1"] == 4 and "c" not in got
 
 
+def test_ranks_of_equal_counts_and_orders_are_definite(spark):
+    """The order of rows decides nothing: of segments equal in count and order, the truck share does."""
+    rows = [(1, 10.0, c, 1.0, "x", 1) for c in (5.0, 2.0, None, 9.0, 7.0)]
+    schema = "ID_ARC long, djma_val double, cam_val double, longueur_m double, des_clasf string, ord int"
+    got = {methods.aggregate_methods(spark.createDataFrame(r, schema).coalesce(1), which=(4,)).first()["pct_cam_m4"] for r in (rows, rows[::-1], sorted(rows, key=lambda r: r[2] or 0))}
+    assert got == {7.0}
+
+
 def test_weightless_classes_count_plainly(spark):
     segs = spark.createDataFrame([(1, 10.0, 1.0, 1.0, "x", 1), (1, 30.0, 3.0, 1.0, "x", 2)], "ID_ARC long, djma_val double, cam_val double, longueur_m double, des_clasf string, ord int")
     r = methods.aggregate_methods(segs, weights={"x": 0}).first()
