@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec, geometry as geo
@@ -54,13 +55,6 @@ def complete_series(counts: DataFrame, features: list[str] | None = None, watche
     return rows.withColumns(texts)
 
 
-@dataclass
-class Routed:
-    arcs: DataFrame
-    segments: DataFrame
-    traces: DataFrame
-
-
 @dataclass(frozen=True)
 class Reach:
     """Distances of the matching: of segments from the trace, of their centroids from its ends, of roads that clip it and of those it lists; the angle; the grid's cell."""
@@ -82,47 +76,80 @@ def route_arcs(arcs: DataFrame, nodes: DataFrame, routes: DataFrame, roads: Data
     noeud_manquant, the route's own failure, hors_quebec (no road near),
     aucun_djma (no segment passes), ok.  ``degrees``: whether traces come in
     degrees, to be projected.
-
-    Each of the three joins by grid runs once: traces, their parts near roads,
-    the lists and the matched segments are stored, dealt by ID_ARC, and all
-    three layers are put together from them without another shuffle of theirs.
     """
     end = lambda x: nodes.select(F.col("ID").alias(f"ID_{x}"), F.struct("x", "y").alias(f"_{x}"))
     routed = layers.routes(routes).select("ID_ARC", F.col("statut").alias("_route"), F.col("line").alias("_deg"), "distance_m")
     rows = arcs.drop("fid").join(end("A"), "ID_A", "left").join(end("B"), "ID_B", "left").join(routed, "ID_ARC", "left")
     rows = rows.withColumn("_status", F.when(F.col("_A").isNull() | F.col("_B").isNull(), "noeud_manquant").otherwise(F.coalesce("_route", F.lit("erreur_api"))))
     rows = rows.withColumn("trace", F.when(F.col("_status") == "ok", layers.project(F.col("_deg")) if degrees else F.col("_deg"))).drop("_deg", "_route")
-    rows = _dealt(rows)
-    traces = rows.where("trace is not null").select(F.col("ID_ARC").alias("id"), F.col("trace").alias("line"), F.col("_A").alias("a"), F.col("_B").alias("b"))
-    road_lines = roads.select(F.col("num_rts").alias("id"), "line")
-    pieces = spatial.clip_pieces(traces, road_lines, reach.clip, reach.cell).join(traces.select("id", geo.edges(F.col("line")).alias("e")), "id")
-    edge = F.try_element_at("e", F.col("edge_no") + 1)
-    at = lambda t: geo.point(edge["a"]["x"] + (edge["b"]["x"] - edge["a"]["x"]) * F.col(t), edge["a"]["y"] + (edge["b"]["y"] - edge["a"]["y"]) * F.col(t))
-    parts = pieces.select("id", F.array(at("t0"), at("t1")).alias("line"), "length", "edge_no", "t0")
-    parts = cut(parts)
-    inside = parts.groupBy("id").agg(F.sum("length").alias("inside"))
-    near_roads = spatial.pairs_within(parts, road_lines, reach.search, cell=reach.cell).join(roads.select(F.col("num_rts").alias("r"), half_even(F.col("seg_long_m"), 1).alias("m"), F.col("des_clasf_").alias("c")), "r")
-    ordered = lambda: F.sort_array(F.collect_list(F.struct("r", "m", "c")))
-    lists = near_roads.groupBy(F.col("l").alias("ID_ARC")).agg(ordered().alias("_r"))
-    lists = _dealt(lists)
-    near = spatial.pairs_within(parts, counts.select(F.col("ide_sectn_trafc").alias("id"), "line"), reach.distance, cell=reach.cell)
-    seg = counts.select(F.col("ide_sectn_trafc").alias("r"), F.col("line").alias("segment"), "djma_val", "djma_annee", "cam_val", "cam_annee")
-    segments = seg.select(F.col("r").alias("id"), F.col("segment").alias("line"))
-    passed = spatial.along_trace(spatial.off_nodes(near.select("l", "r"), traces, segments, reach.nodes), traces, segments, reach.angle).join(seg, "r")
-    matched = passed.select(F.col("l").alias("ID_ARC"), F.col("r").alias("ide_sectn_trafc"), "djma_val", "djma_annee", "cam_val", "cam_annee", geo.length(F.col("segment")).alias("longueur_m"), F.col("segment").alias("geometry"))
-    matched = _dealt(matched)
-    text = F.struct(F.col("ide_sectn_trafc").alias("i"), codec.encode_value_year(F.col("djma_val"), F.col("djma_annee")).alias("v"), codec.encode_value_year(F.col("cam_val"), F.col("cam_annee")).alias("t"))
-    found = matched.groupBy("ID_ARC").agg(F.sort_array(F.collect_list(text)).alias("_s"), F.count("*").cast("int").alias("n_segs_djma"), half_even(F.try_divide(100.0 * F.count("djma_val"), F.count("*").cast("double")), 1).alias("statut_djma_pct"))
-    out = rows.join(inside.withColumnRenamed("id", "ID_ARC"), "ID_ARC", "left").join(lists, "ID_ARC", "left").join(found, "ID_ARC", "left")
-    status = F.when(F.col("_status") != "ok", F.col("_status")).when(F.col("inside").isNull(), "hors_quebec").when(F.col("n_segs_djma").isNull(), "aucun_djma").otherwise("ok")
-    pick = lambda a, f: codec.encode_list(F.transform(a, lambda x: x[f]))
-    reached = F.col("statut").isin("aucun_djma", "ok")
-    out = out.withColumn("statut", status)
-    new = {"ids_segs_rtss_id": pick("_r", "r"), "ids_segs_rtss_dist": pick("_r", "m"), "ids_segs_rtss_type": pick("_r", "c"), "ids_segs_djma_id": pick("_s", "i"), "ids_segs_djma_val": pick("_s", "v"), "ids_segs_djma_val_cam": pick("_s", "t")}
-    new |= {"longueur_trace_km": F.when(reached, half_even(geo.length(F.col("trace")) / 1000, 2)), "longueur_qc_km": F.when(reached, half_even(F.col("inside") / 1000, 2)), "n_segs_djma": F.coalesce("n_segs_djma", F.lit(0)), "methode": F.lit("v4")}
-    out = out.withColumns(new)
-    trace_rows = out.where("trace is not null").select("ID_ARC", half_even(geo.length(F.col("trace")) / 1000, 2).alias("longueur_trace_km"), F.col("trace").alias("geometry"))
-    return Routed(out.drop("_A", "_B", "_status", "_r", "_s", "inside", "trace", "distance_m"), matched, trace_rows)
+    return Routed(rows, roads, counts, reach)
+
+
+class Routed:
+    """The three layers of the routing stage; each is worked out when it is asked for, from what it needs alone.
+
+    Traces, their parts near roads, the lists of each arc, and the ids of arcs
+    with their segments are stored.  Nothing else is of pairs of arcs and roads
+    or segments, which may grow with the square: a segment's line is joined to
+    its id where the layer is read.
+    """
+
+    def __init__(self, rows: DataFrame, roads: DataFrame, counts: DataFrame, reach: Reach):
+        self._routes, self._roads, self._counts, self._reach = rows, roads, counts, reach
+
+    @cached_property
+    def _rows(self) -> DataFrame:
+        return _dealt(self._routes)
+
+    @cached_property
+    def _parts(self) -> DataFrame:
+        """id, line (the parts near roads), course (the whole trace), a, b, inside; a row for each trace that has such parts."""
+        traces = self._rows.where("trace is not null").select(F.col("ID_ARC").alias("id"), F.col("trace").alias("line"), F.col("_A").alias("a"), F.col("_B").alias("b"))
+        pieces = spatial.clip_pieces(traces, self._roads.select(F.col("num_rts").alias("id"), "line"), self._reach.clip, self._reach.cell)
+        pieces = pieces.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("edge_no", "t0", "t1"))).alias("p"), F.sum("length").alias("inside"))
+
+        def part(p: Column) -> Column:
+            edge = F.get("e", p["edge_no"])
+            at = lambda t: geo.point(edge["a"]["x"] + (edge["b"]["x"] - edge["a"]["x"]) * t, edge["a"]["y"] + (edge["b"]["y"] - edge["a"]["y"]) * t)
+            return F.array(at(p["t0"]), at(p["t1"]))
+
+        rows = pieces.join(traces.withColumn("e", geo.edges(F.col("line"))), "id")
+        return cut(rows.select("id", F.transform("p", part).alias("line"), F.col("line").alias("course"), "a", "b", "inside"))
+
+    def _matched(self, segments: DataFrame, *keep: str) -> DataFrame:
+        """trace_id, segment_id, and columns of the segments."""
+        found = spatial.matched_segments(self._parts.drop("inside"), segments.withColumnRenamed("ide_sectn_trafc", "id"), self._reach.distance, self._reach.angle, self._reach.nodes, self._reach.cell, keep=keep)
+        return found.select("trace_id", "segment_id", *keep)
+
+    @cached_property
+    def segments(self) -> DataFrame:
+        pairs = cut(self._matched(self._counts.select("ide_sectn_trafc", "line")))
+        own = self._counts.select("ide_sectn_trafc", "djma_val", "djma_annee", "cam_val", "cam_annee", geo.length(F.col("line")).alias("longueur_m"), F.col("line").alias("geometry"))
+        return pairs.withColumnsRenamed({"trace_id": "ID_ARC", "segment_id": "ide_sectn_trafc"}).join(own, "ide_sectn_trafc").select("ID_ARC", *own.columns)
+
+    @cached_property
+    def traces(self) -> DataFrame:
+        return self._routes.where("trace is not null").select("ID_ARC", half_even(geo.length(F.col("trace")) / 1000, 2).alias("longueur_trace_km"), F.col("trace").alias("geometry"))
+
+    @cached_property
+    def arcs(self) -> DataFrame:
+        roads = self._roads.select(F.col("num_rts").alias("id"), "line", half_even(F.col("seg_long_m"), 1).alias("m"), F.col("des_clasf_").alias("c"))
+        near_roads = spatial.pairs_within(self._parts, roads, self._reach.search, cell=self._reach.cell, keep=("m", "c"))
+        lists = cut(near_roads.groupBy(F.col("l").alias("ID_ARC")).agg(F.sort_array(F.collect_list(F.struct("r", "m", "c"))).alias("_r")))
+        text = F.struct(F.col("segment_id").alias("i"), codec.encode_value_year(F.col("djma_val"), F.col("djma_annee")).alias("v"), codec.encode_value_year(F.col("cam_val"), F.col("cam_annee")).alias("t"))
+        counts = self._counts.select("ide_sectn_trafc", "line", "djma_val", "djma_annee", "cam_val", "cam_annee")
+        found = self._matched(counts, *counts.columns[2:]).groupBy(F.col("trace_id").alias("ID_ARC")).agg(F.sort_array(F.collect_list(text)).alias("_s"), F.count("*").cast("int").alias("n_segs_djma"), half_even(F.try_divide(100.0 * F.count("djma_val"), F.count("*").cast("double")), 1).alias("statut_djma_pct"))
+        found = cut(found)
+        inside = self._parts.select(F.col("id").alias("ID_ARC"), "inside")
+        out = self._rows.join(inside, "ID_ARC", "left").join(lists, "ID_ARC", "left").join(found, "ID_ARC", "left")
+        status = F.when(F.col("_status") != "ok", F.col("_status")).when(F.col("inside").isNull(), "hors_quebec").when(F.col("n_segs_djma").isNull(), "aucun_djma").otherwise("ok")
+        pick = lambda a, f: codec.encode_list(F.transform(a, lambda x: x[f]))
+        reached = F.col("statut").isin("aucun_djma", "ok")
+        out = out.withColumn("statut", status)
+        new = {"ids_segs_rtss_id": pick("_r", "r"), "ids_segs_rtss_dist": pick("_r", "m"), "ids_segs_rtss_type": pick("_r", "c"), "ids_segs_djma_id": pick("_s", "i"), "ids_segs_djma_val": pick("_s", "v"), "ids_segs_djma_val_cam": pick("_s", "t")}
+        new |= {"longueur_trace_km": F.when(reached, half_even(geo.length(F.col("trace")) / 1000, 2)), "longueur_qc_km": F.when(reached, half_even(F.col("inside") / 1000, 2)), "n_segs_djma": F.coalesce("n_segs_djma", F.lit(0)), "methode": F.lit("v4")}
+        out = out.withColumns(new)
+        return out.drop("_A", "_B", "_status", "_r", "_s", "inside", "trace", "distance_m")
 
 
 def _dealt(df: DataFrame, key: str = "ID_ARC") -> DataFrame:

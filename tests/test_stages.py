@@ -68,3 +68,20 @@ def test_routing_reads_its_joins_once(spark):
     rows = got.arcs.collect()
     assert {r["statut"] for r in rows} == {"ok"} and {r["ids_segs_djma_val"] for r in rows} == {"5@2020|5@2020"}
     assert got.segments.count() == 12 and got.traces.count() == 6
+
+
+def test_routing_layers_store_what_they_need(spark, monkeypatch):
+    """Traces alone meet no road; what is stored for segments are ids, not lines."""
+    line = lambda *p: F.array(*[geo.point(F.lit(float(x)), F.lit(float(y))) for x, y in p])
+    ids = spark.range(3).withColumnRenamed("id", "ID_ARC")
+    nodes = ids.select(F.col("ID_ARC").alias("ID"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    routes = ids.select("ID_ARC", F.lit('{"code":"Ok","routes":[{"distance":1,"geometry":{"coordinates":[[0,0],[9,0]]}}]}').alias("response"))
+    roads = spark.range(1).select(F.lit("r").alias("num_rts"), F.lit("c").alias("des_clasf_"), line((0, 0.1), (9, 0.1)).alias("line"), F.lit(9.0).alias("seg_long_m"))
+    counts = spark.range(2).select(F.col("id").alias("ide_sectn_trafc"), line((3, 0.1), (6, 0.1)).alias("line"), F.lit(5.5).alias("djma_val"), F.lit(2020).alias("djma_annee"), F.lit(None).cast("double").alias("cam_val"), F.lit(2020).alias("cam_annee"))
+    stored: list = []
+    monkeypatch.setattr(pipelines, "cut", lambda df, own=pipelines.cut: (stored.append(df.columns), own(df))[1])
+    got = pipelines.route_arcs(ids.select("ID_ARC", F.col("ID_ARC").alias("ID_A"), F.col("ID_ARC").alias("ID_B")), nodes, routes, roads, counts, pipelines.Reach(0.5, 45.0, 1.0, 0.5, 0.5), degrees=False)
+    assert got.traces.count() == 3 and len(stored) <= 1
+    rows = got.segments.collect()
+    assert len(rows) == 6 and {len(r["geometry"]) for r in rows} == {2}
+    assert ["trace_id", "segment_id"] in stored and not any("ide_sectn_trafc" in c or "geometry" in c for c in stored)
